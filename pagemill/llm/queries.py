@@ -17,6 +17,39 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagemill.llm.token_store import tokenize_and_read
+
+    return tokenize_and_read(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.brown_lm import score
+
+    return score(_documents(spark, sf_dir))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.mixing import mix
+
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.langid import fit, identify
+
+    docs = _documents(spark, sf_dir)
+    return identify(docs, fit(docs))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.html_extract import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.quality import judged
 
@@ -30,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_brown_lm, op4_mixing, op7_language_id, op8_html_extract, op9_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
