@@ -37,6 +37,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.chain_dedup import fuzzy_repeats
+
+    return fuzzy_repeats(_documents(spark, sf_dir))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.decontam import contaminated
+
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.langid import fit, identify
 
@@ -63,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_brown_lm, op4_mixing, op7_language_id, op8_html_extract, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_brown_lm, op4_mixing, op5_chain_dedup, op6_decontamination, op7_language_id, op8_html_extract, op9_quality_rules, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -203,3 +203,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, with the columns that ``docs`` came with: the smallest doc_id (nulls last).
+
+    Rows are told apart by a hash of doc_id and text, so repeated rows count as copies of one another.
+    """
+    marked = docs.withColumn("__k", F.xxhash64(F.col("doc_id"), F.col("text")))
+    found = saved(near_duplicates(marked, "__k").select(F.col("doc_id").alias("key"), "component_id"))
+    ids = marked.select(F.col("__k").alias("k2"), F.col("doc_id").alias("id2")).distinct()
+    first = F.min(F.struct(F.col("id2").isNull(), F.col("id2"), F.col("key"))).alias("first")
+    stay = found.distinct().join(ids, F.col("key") == F.col("k2")).groupBy("component_id").agg(first).select(F.col("first.key").alias("__s"))
+    kept = marked.join(stay, F.col("__k") == F.col("__s"), "left_semi")
+    if found.count() != found.select("key").distinct().count():  # rows that are equal in full
+        kept = kept.dropDuplicates(["__k"])
+    return kept.drop("__k")
