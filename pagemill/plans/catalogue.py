@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pagemill.plans import q_eval, q_ranking, q_text  # noqa: F401  (registers its queries)
+from pagemill.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
