@@ -106,7 +106,7 @@ def protocol(docs: DataFrame, folds: int = 5, lockbox_ratio: float = 0.2, val_ra
         rows = [(d["doc_id"], "lockbox" if d["doc_id"] in locked else "cv", fold.get(d["doc_id"], -1), "none" if d["doc_id"] in locked else "val" if d["doc_id"] in val else "train") for d in every]
         return pd.DataFrame(rows, columns=["doc_id", "role", "fold", "legacy"])
 
-    return docs.groupBy(F.lit(1)).applyInPandas(run, "doc_id string, role string, fold int, legacy string")
+    return docs.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "doc_id string, role string, fold int, legacy string")
 
 
 def leave_one_domain_out(questions: DataFrame) -> DataFrame:

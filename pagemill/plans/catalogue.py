@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.plans import q_eval, q_ranking, q_text  # noqa: F401  (registers its queries)
+from pagemill.plans import q_eval, q_plans, q_ranking, q_rel, q_text  # noqa: F401  (registers its queries)
 from pagemill.plans.registry import ORACLES, QUERIES
 
 

@@ -110,13 +110,13 @@ def manifest_diff(spark, d):
 
 
 @query("""WITH docs AS (SELECT label::VARCHAR AS doc_id, 'domain_' || (label % 2 + 1)::VARCHAR AS domain, 10 + label * 7 AS n_pages, count(*) AS question_count FROM embeddings GROUP BY label)
-SELECT doc_id, domain, n_pages, question_count, 'q' || (least(3, floor((row_number() OVER (ORDER BY n_pages, doc_id) - 1) / greatest(1, ceil(count(*) OVER () / 4.0))) + 1)::BIGINT::VARCHAR AS length_bucket FROM docs""")
+SELECT doc_id, domain, n_pages, question_count, 'q' || (least(3, floor((row_number() OVER (ORDER BY n_pages, doc_id) - 1) / greatest(1, ceil(count(*) OVER () / 4.0)))) + 1)::BIGINT::VARCHAR AS length_bucket FROM docs""")
 def split_length_buckets(spark, d):
     return splits.doc_records(truth(spark, d))
 
 
 @query("""WITH docs AS (SELECT label::VARCHAR AS doc_id, 'domain_' || (label % 2 + 1)::VARCHAR AS domain, 10 + label * 7 AS n_pages, count(*) AS question_count FROM embeddings GROUP BY label),
-b AS (SELECT *, 'q' || (least(3, floor((row_number() OVER (ORDER BY n_pages, doc_id) - 1) / greatest(1, ceil(count(*) OVER () / 4.0))) + 1)::BIGINT::VARCHAR AS length_bucket FROM docs),
+b AS (SELECT *, 'q' || (least(3, floor((row_number() OVER (ORDER BY n_pages, doc_id) - 1) / greatest(1, ceil(count(*) OVER () / 4.0)))) + 1)::BIGINT::VARCHAR AS length_bucket FROM docs),
 t AS (SELECT *, row_number() OVER (PARTITION BY domain, length_bucket ORDER BY question_count DESC, n_pages DESC, domain, doc_id) AS turn FROM b)
 SELECT doc_id, length_bucket, turn, row_number() OVER (ORDER BY turn, domain, length_bucket) AS deal FROM t""")
 def split_round_robin(spark, d):

@@ -74,7 +74,7 @@ def extract_answer(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.answer("text").alias("letter"))
 
 
-_OPT = "'A. ' || text || chr(10) || 'B. ' || upper(text) || chr(10) || 'C. ' || left(text, 20) || chr(10) || 'D. ' || right(text, 20) || chr(10) || 'E. e' || chr(10) || 'F. f'"
+_OPT = "'A. ' || text || chr(10) || 'B. ' || reverse(text) || chr(10) || 'C. ' || left(text, 20) || chr(10) || 'D. ' || right(text, 20) || chr(10) || 'E. e' || chr(10) || 'F. f'"
 _ASKED = "'Питання: ' || text"
 _NN = " || chr(10) || chr(10) || "
 
@@ -82,9 +82,9 @@ _NN = " || chr(10) || chr(10) || "
 @query(f"""SELECT item_id, md5('ctx'{_NN}{_ASKED}{_NN}'Варіанти:' || chr(10) || {_OPT}{_NN}'Відповідь (лише буква):') AS direct,
 md5('Документ:' || chr(10) || 'ctx'{_NN}{_ASKED}{_NN}'Варіанти:' || chr(10) || {_OPT}{_NN}{_ASKED} || chr(10) || 'Правильний варіант:') AS refocus,
 md5('Документ:' || chr(10) || 'ctx'{_NN}{_ASKED}{_NN}'Варіанти:' || chr(10) || {_OPT}{_NN}'Знайди відповідний фрагмент тексту, потім вибери правильний варіант.' || chr(10) || 'Правильний варіант:') AS evidence,
-md5(text || ' ' || upper(text)) AS augmented FROM benchmark""")
+md5(text || ' ' || reverse(text)) AS augmented FROM benchmark""")
 def prompt_build(spark, d):
-    options = {"A": F.col("text"), "B": F.upper("text"), "C": F.left("text", F.lit(20)), "D": F.right("text", F.lit(20)), "E": F.lit("e"), "F": F.lit("f")}
+    options = {"A": F.col("text"), "B": F.reverse("text"), "C": F.left("text", F.lit(20)), "D": F.right("text", F.lit(20)), "E": F.lit("e"), "F": F.lit("f")}
     made = {"direct": "direct", "refocus": "v5_refocus", "evidence": "v4_evidence"}
     as_map = F.create_map(*[x for k, v in options.items() for x in (F.lit(k), v)])
     return table(spark, d, "benchmark").select("item_id", *[F.md5(tx.prompt(F.lit("ctx"), "text", options, v)).alias(k) for k, v in made.items()], F.md5(tx.augmented("text", as_map, F.lit("B"))).alias("augmented"))
