@@ -170,7 +170,8 @@ def classify(blocks: list[Block], stop_words: frozenset = STOP_WORDS) -> None:
         for i in range(n) if step > 0 else range(n - 1, -1, -1):
             if last is not None and blocks[i].article == blocks[place].article:
                 found[i] = (abs(i - place), last)
-            if blocks[i].label in ("good", "bad"):
+            # a dropped part inside an article says nothing about the text around it
+            if blocks[i].label in ("good", "bad") and not (blocks[i].article and blocks[i].dropped):
                 place, last = i, blocks[i].label
         return found
 
