@@ -34,9 +34,14 @@ def score_questions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
-    """K2: (scope, n, answer, doc, page, composite) over all and by domain."""
-    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(a) for c, a in (("answer_correct", "answer"), ("doc_correct", "doc"), ("page_proximity", "page"), ("score", "composite"))]
-    return scored.groupingSets([[], [F.col("Domain")]], F.col("Domain")).agg(F.count(F.lit(1)).alias("n"), *means, F.grouping("Domain").alias("g")).select(F.when(F.col("g") == 1, "all").otherwise(F.col("Domain")).alias("scope"), "n", "answer", "doc", "page", "composite")
+    """K2: (scope, n, answer, doc, page, composite) over all (zeros without any row) and by domain.
+
+    Questions are added up once by domain; the total is made from these few rows.
+    """
+    names = {"answer": "answer_correct", "doc": "doc_correct", "page": "page_proximity", "composite": "score"}
+    by = scored.groupBy(F.col("Domain").alias("scope")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(a) for a, c in names.items()])
+    whole = by.agg(F.lit("all").alias("scope"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(a), F.lit(0.0)).alias(a) for a in names])
+    return whole.unionByName(by).select("scope", "n", *[(F.col(a) / F.greatest("n", F.lit(1))).alias(a) for a in names])
 
 
 def rank_of(rankings: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import NO_TEXT, strip, tokens
 from pagemill.operators.retrieve import dense_scores
 
-_BY_QUERY = Window.partitionBy("qid")
+def _by_query():
+    return Window.partitionBy("qid")
+
 
 
 def doc_ranking(pages: DataFrame) -> DataFrame:
     """Each document at the place, and with the score, of its first page."""
     docs = pages.groupBy("qid", "doc_id").agg(F.min("rank").alias("first"), F.min_by("score", "rank").alias("score"))
-    return docs.withColumn("rank", F.row_number().over(_BY_QUERY.orderBy("first"))).drop("first")
+    return docs.withColumn("rank", F.row_number().over(_by_query().orderBy("first"))).drop("first")
 
 
 def guarded_ranking(pages: DataFrame, top_pages: int = 2, weight: float = 0.35) -> DataFrame:
@@ -24,7 +26,7 @@ def guarded_ranking(pages: DataFrame, top_pages: int = 2, weight: float = 0.35)
     inside = Window.partitionBy("qid", "doc_id").orderBy("rank")
     numbered = pages.withColumn("n", F.row_number().over(inside)).where(F.col("n") <= top_pages)
     docs = numbered.groupBy("qid", "doc_id").agg(F.sum(F.when(F.col("n") == 1, F.col("score")).otherwise(weight * F.col("score"))).alias("score"), F.min("rank").alias("first"))
-    return docs.withColumn("rank", F.row_number().over(_BY_QUERY.orderBy(F.round("score", 9).desc(), "first"))).drop("first")
+    return docs.withColumn("rank", F.row_number().over(_by_query().orderBy(F.round("score", 9).desc(), "first"))).drop("first")
 
 
 def top_margin() -> Column:
@@ -49,7 +51,7 @@ def locked_order(pages: DataFrame, flags: DataFrame) -> DataFrame:
     """E5: where locked, pages of the locked document first; both parts in the order they had."""
     joined = pages.join(flags.select("qid", "top_doc", "locked"), "qid")
     other = F.col("locked") & (F.col("doc_id") != F.col("top_doc"))
-    return joined.withColumn("rank", F.row_number().over(_BY_QUERY.orderBy(other, "rank"))).drop("top_doc", "locked")
+    return joined.withColumn("rank", F.row_number().over(_by_query().orderBy(other, "rank"))).drop("top_doc", "locked")
 
 
 def exhaustive_lock(pages: DataFrame, flags: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def exhaustive_lock(pages: DataFrame, flags: DataFrame, vectors: DataFrame, quer
     inside = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "page_num")
     first = full.select("qid", "doc_id", "page_num", "score", F.lit(0).alias("part"), F.row_number().over(inside).alias("rank"))
     rest = pages.join(locked, ["qid", "doc_id"], "left_anti").select("qid", "doc_id", "page_num", "score", F.lit(1).alias("part"), "rank")
-    return first.unionByName(rest).withColumn("rank", F.row_number().over(_BY_QUERY.orderBy("part", "rank"))).drop("part")
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(_by_query().orderBy("part", "rank"))).drop("part")
 
 
 def guard_changed(pages: DataFrame, top_pages: int = 2, weight: float = 0.35) -> DataFrame:
@@ -83,7 +85,7 @@ def doc_previews(pages: DataFrame, texts: DataFrame, most_docs: int = 6, preview
 
 def skip_flags(pages: DataFrame, top_n: int = 3, margin: float = 0.035) -> DataFrame:
     """(qid, skip): one page, one document, or the first n of one document and far enough ahead."""
-    top = pages.withColumn("top", F.first("doc_id").over(_BY_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    top = pages.withColumn("top", F.first("doc_id").over(_by_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     same = F.count_if((F.col("rank") <= top_n) & (F.col("doc_id") == F.col("top")))
     lead = F.max(F.when(F.col("rank") == 1, F.col("score")))
     other = F.min_by(F.when(F.col("doc_id") != F.col("top"), F.col("score")), F.when(F.col("doc_id") != F.col("top"), F.col("rank")))
@@ -103,7 +105,7 @@ def rerank_pages(pages: DataFrame, queries: DataFrame, texts: DataFrame, scorer:
         return pages
     pairs = pages.join(queries.select("qid", "question"), "qid").join(texts.select("doc_id", "page_num", "text"), ["doc_id", "page_num"], "left")
     scored = pairs.select("qid", "doc_id", "page_num", scorer(F.col("question"), F.coalesce("text", F.lit(""))).alias("score"), F.col("rank").alias("before"))
-    return scored.withColumn("rank", F.row_number().over(_BY_QUERY.orderBy(F.round("score", 9).desc(), "before"))).drop("before")
+    return scored.withColumn("rank", F.row_number().over(_by_query().orderBy(F.round("score", 9).desc(), "before"))).drop("before")
 
 
 def yes_probability(no: Column | str, yes: Column | str) -> Column:
@@ -117,7 +119,7 @@ def rerank_docs(previews: DataFrame, queries: DataFrame, scorer: Callable[[Colum
     if scorer is None:
         return previews.select("qid", "doc_id", "score", "rank")
     scored = previews.join(queries.select("qid", "question"), "qid").select("qid", "doc_id", scorer(F.col("question"), F.col("preview")).alias("score"), F.col("rank").alias("before"))
-    return scored.withColumn("rank", F.row_number().over(_BY_QUERY.orderBy(F.round("score", 9).desc(), "before"))).drop("before")
+    return scored.withColumn("rank", F.row_number().over(_by_query().orderBy(F.round("score", 9).desc(), "before"))).drop("before")
 
 
 def rerank_docs_unless_sure(pages: DataFrame, texts: DataFrame, queries: DataFrame, top_n: int = 3, margin: float = 0.035, **preview) -> DataFrame:

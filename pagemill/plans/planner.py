@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,11 @@ from pagemill.plans import models
 from pagemill.plans.config import check_contracts
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    """Several later steps read this: computed once (top-k rows per query, or vectors that a model had to make)."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @dataclass
 class Plan:
     predictions: DataFrame
@@ -33,7 +39,7 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
     search, choose, llm, rerank_cfg = config["retrieval"], config["page_selection"], config["llm"], config["rerank"]
     events = check_contracts(config, config["contracts"]["require_reranker"] or rerank_cfg["model_preference"][0], config["contracts"]["require_gguf_filename"], config["contracts"]["require_n_ctx"]) if strict else []
     texts = retrieve.neighbor_bleed(pages, config["extraction"]["neighbor_bleed_chars"]).select("doc_id", "page_num", F.col("bled").alias("text"))
-    vectors = texts.select("doc_id", "page_num", encoder(F.col("text")).alias("emb"))
+    vectors = _keep(texts.select("doc_id", "page_num", encoder(F.col("text")).alias("emb")))
     asked = questions.select("qid", encoder(F.col("question")).alias("emb"))
     meta = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
 
@@ -48,11 +54,13 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
         sparse = retrieve.bm25_topk(texts, questions.select("qid", F.col("question").alias("text")), max(search["top_k"], search["sparse_top_k"]))
         candidates = retrieve.hybrid(dense, sparse, search["top_k"], search["hybrid_rrf_k"], (search["hybrid_dense_weight"], search["hybrid_sparse_weight"]))
 
+    candidates = _keep(candidates)
     by_doc = rerank_cfg["mode"] == "doc"
     ordered = candidates if by_doc else rank.rerank_pages(candidates, questions, texts, reranker)
     if choose.get("lock_to_dense_top_doc"):
         flags = rank.lock_flags(candidates, meta, choose.get("lock_to_dense_top_doc_min_pages", 0), choose.get("lock_dense_by_margin_threshold"))
         ordered = rank.exhaustive_lock(ordered, flags, vectors, asked) if choose.get("lock_exhaustive_dense") else rank.locked_order(ordered, flags)
+    ordered = candidates if ordered is candidates else _keep(ordered)
     if by_doc:
         docs = rank.rerank_docs_unless_sure(candidates, texts, questions, rerank_cfg["doc_skip_topn"], rerank_cfg["doc_skip_margin"], most_docs=rerank_cfg["doc_candidates_max"], preview_pages=rerank_cfg["doc_preview_pages"], page_chars=rerank_cfg["page_text_chars"]).drop("skipped")
     elif structured and search["structure_doc_guard_enabled"]:
@@ -60,6 +68,7 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
     else:
         docs = rank.doc_ranking(ordered)
 
+    docs = _keep(docs)
     shown = an.doc_mode_order(candidates, docs) if by_doc else ordered
     contexts = an.build_context(shown, texts, llm["top_k_context"], llm["max_chars_per_page"])
     tops = docs.where("rank = 1").select("qid", "doc_id")
@@ -67,7 +76,7 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
     effort = an.passes("doc_margin", "n_docs", "page_margin", "top_pages", llm["base_passes"], llm["hard_passes"], llm["vote_margin"], llm["long_doc_hard_pages"], llm["confidence_gate_enabled"], llm["easy_passes"], llm["easy_doc_margin"], llm["easy_page_margin"])
     tries = margins.select("qid", F.explode(F.sequence(F.lit(1), effort)).alias("pass_no"))
     votes = tries.join(contexts, "qid").join(questions.select("qid", "options"), "qid").select("qid", "pass_no", answerer(F.col("context"), F.col("options"), F.col("pass_no")).alias("letter"))
-    voted = an.majority(votes)
+    voted = _keep(an.majority(votes))
 
     if choose["answer_conditioning"] == "disabled":
         queries = asked
