@@ -159,8 +159,20 @@ def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=schema)
 
 
+#: Most rows and bytes of an Arrow batch: a worker, and the buffers that feed it, hold a few of these.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bounds of Arrow batches, which are rows only and far too many for long texts by default."""
+    for key, value in BATCH.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """(rows, bytes of text) in all documents."""
+    bound_batches(docs.sparkSession)
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()
     return row["n"] or 0, row["b"] or 0
 
@@ -200,6 +212,7 @@ def saved(df: DataFrame) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/pagemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

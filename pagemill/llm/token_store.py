@@ -31,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Words, blocks, chunk_count, mix, powers, shared_dir, text_bytes, texts_of
+from pagemill.llm.common import CHUNK_BYTES, Words, blocks, mix, powers, shared_dir, text_bytes, texts_of
 
 END_ID = 1
 #: Fixed values of the format: ids per word and bits per id, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15])
 ESCAPE = (1 << 15) - 1
-MAX_CACHED = 1_000_000
+MAX_CACHED = 600_000
 _PAD = int(COUNTS[0])
+_SIGN = np.zeros(256, bool)
+_SIGN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+# byte-level alphabet: bytes that are no printable Latin-1 characters are named by the code points from 256 on
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _LENGTHS = np.searchsorted(1 << np.arange(16), np.arange(1 << 15), "right").astype(np.uint8)
 
 
@@ -57,8 +61,8 @@ def _only_letters(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Tokenizer:
     """Ids of texts, by distinct piece of a word, with a bounded cache.
 
-    A piece is a word in lower case (the vocabulary's normaliser does the same) without a final comma or full
-    stop that follows a-z, which is a piece of its own: the pre-tokenizer always cuts there.
+    A piece is a word in lower case (the vocabulary's normaliser does the same) without the ASCII signs at its end,
+    which are a piece of their own if a letter or digit is before them: the pre-tokenizer always cuts there.
     """
 
     def __init__(self, path: str):
@@ -66,9 +70,7 @@ class Tokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this worker one core
         self.library = Library.from_file(path)
-        vocabulary = self.library.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.library.model
         self.clear()
 
     def clear(self) -> None:
@@ -81,15 +83,12 @@ class Tokenizer:
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
         keys, start, end, n_plain = keys[order], start[order], end[order], int(plain.sum())
         pieces = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
-        # a piece of letters is one word of the pre-tokenizer, so many can be encoded as one text and cut after their word ends
-        joined = [np.array(self.library.encode(" ".join(pieces[a : a + 512]), add_special_tokens=False).ids, np.int64) for a in range(0, n_plain, 512)]
-        joined = np.concatenate(joined) if joined else np.zeros(0, np.int64)
-        cuts = np.flatnonzero(self.ends_word[joined]) + 1 if len(joined) else joined
-        if len(cuts) != n_plain or (n_plain and cuts[-1] != len(joined)):
-            n_plain, joined, cuts = 0, joined[:0], joined[:0]
+        # a piece of letters is one word of the pre-tokenizer, so the library's model can have it without the other steps
+        found = [[t.id for t in self.model.tokenize(x if x.isascii() else x.lower().encode().decode("latin-1").translate(_BYTE_LEVEL))] for x in pieces[:n_plain]]
         rest = [x.ids for x in self.library.encode_batch_fast(pieces[n_plain:], add_special_tokens=False)]
-        sizes = np.concatenate([np.diff(cuts, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))]).astype(np.int64)
-        ids, n = np.concatenate([joined, np.fromiter(chain.from_iterable(rest), np.int64)]), len(self.keys)
+        found += rest
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids, n = np.fromiter(chain.from_iterable(found), np.int64), len(self.keys)
         total = len(ids)
         back = np.argsort(keys)
         if self.used + total > len(self.flat):
@@ -114,9 +113,13 @@ class Tokenizer:
         start, end = w.start, w.end
         if len(end) and not special:
             buf = w.data
-            last, before = buf[end - 1], buf[np.maximum(end - 2, 0)]
-            cut = np.flatnonzero(((last == 44) | (last == 46)) & (end - start > 1) & (before >= 97) & (before <= 122))
-            start, end = np.insert(start, cut + 1, end[cut] - 1), np.insert(end, cut, end[cut] - 1)
+            # where the run of ASCII signs at a word's end begins, and whether a letter or digit is before it
+            body = np.maximum.accumulate(np.where(_SIGN[buf], -1, np.arange(len(buf))))[end - 1] + 1
+            last = buf[np.maximum(body - 1, 0)]
+            latin = (buf[np.maximum(body - 2, 0)] == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
+            plain = ((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57))
+            cut = np.flatnonzero((body > start) & (body < end) & (plain | latin))
+            start, end = np.insert(start, cut + 1, body[cut]), np.insert(end, cut, body[cut])
         sums, (_, down) = w.sums(), powers(len(w.data) + 1)
         own = mix((sums[end] - sums[start]) * down[start])
         order = np.argsort(own)
@@ -232,7 +235,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str =
     """Tokenize ``docs`` and write the store at ``path``, in ascending doc_id order over its shards and blocks."""
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     _, n_bytes = text_bytes(picked)
-    ranged = picked.repartitionByRange(chunk_count(n_bytes), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").withColumn("shard", F.spark_partition_id())
+    # no more tasks than the bytes need: each short task may start a Python worker of its own
+    ranged = picked.repartitionByRange(max(12, -(-n_bytes // CHUNK_BYTES)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text").withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, number = tokenizer(tokenizer_path), 0
