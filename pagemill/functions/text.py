@@ -31,6 +31,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -45,7 +50,7 @@ def tokens(c: Column | str) -> Column:
     """Lower-cased Unicode words; without any, the pieces between white space."""
     low = F.lower(col(c))
     words = F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), F.lit(1))
-    return F.when(F.size(words) > 0, words).otherwise(F.filter(F.split(low, r"(?U)\s+"), lambda x: x != ""))
+    return let(words, lambda w: F.when(F.size(w) > 0, w).otherwise(F.filter(F.split(low, r"(?U)\s+"), lambda x: x != "")))
 
 
 def int_or(c: Column | str, default: int = 1, least: int | None = None) -> Column:
@@ -68,20 +73,27 @@ def segments(c: Column | str, window: int, stride: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - window), F.lit(stride))
     cut = F.transform(starts, lambda s: F.struct(s.alias("start"), strip(F.substr(text, s + 1, F.lit(window))).alias("segment")))
     kept = F.filter(cut, lambda x: x["segment"] != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.left(text, F.lit(window)).alias("segment"))))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.left(text, F.lit(window)).alias("segment")))))
 
 
 def page_summary(text: Column | str, page_num: Column | str, chars: int = 320, heading_chars: int = 120, first_lines: int = 12) -> Column:
     """Page tag, first heading, and the first lines up to ``chars`` characters."""
     whole = col(text)
-    every = lines(whole)
-    heading = F.coalesce(F.try_element_at(F.filter(every, lambda x: heading_like(x, heading_chars)), F.lit(1)), F.lit(""))
-    body_lines = F.filter(F.slice(every, 1, first_lines), lambda x: x != heading)
+    tag = F.format_string(PAGE_TAG, col(page_num).cast("int"))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
     step = lambda s, x: F.when(s["n"] >= chars, s).otherwise(F.struct(F.when(s["n"] == 0, x).otherwise(F.concat_ws(" ", s["text"], x)).alias("text"), (s["n"] + F.length(x) + 1).alias("n")))
-    body = strip(F.left(F.aggregate(body_lines, start, step, lambda s: s["text"]), F.lit(chars)))
-    tag = F.format_string(PAGE_TAG, col(page_num).cast("int"))
-    return F.when((heading != "") & (body != ""), F.concat_ws(" ", tag, heading, body)).when(body != "", F.concat_ws(" ", tag, body)).otherwise(F.concat(tag, F.lit(" "), strip(F.left(whole, F.lit(chars)))))
+
+    def first_heading(every: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(every, lambda x: heading_like(x, heading_chars)), F.lit(1)), F.lit(""))
+
+    def body(every: Column, heading: Column) -> Column:
+        kept = F.filter(F.slice(every, 1, first_lines), lambda x: x != heading)
+        return strip(F.left(F.aggregate(kept, start, step, lambda s: s["text"]), F.lit(chars)))
+
+    def put(heading: Column, found: Column) -> Column:
+        return F.when((heading != "") & (found != ""), F.concat_ws(" ", tag, heading, found)).when(found != "", F.concat_ws(" ", tag, found)).otherwise(F.concat(tag, F.lit(" "), strip(F.left(whole, F.lit(chars)))))
+
+    return let(lines(whole), lambda every: let(first_heading(every), lambda heading: let(body(every, heading), lambda found: put(heading, found))))
 
 
 def structure_chunks(text: Column | str, page_num: Column | str, chunk: int = 700, overlap: int = 120, heading_chars: int = 120, least: int = 180) -> Column:
@@ -94,22 +106,24 @@ def structure_chunks(text: Column | str, page_num: Column | str, chunk: int = 70
         return F.struct(chunks.alias("chunks"), held.alias("held"), n.cast("int").alias("n"), heading.alias("heading"))
 
     def flush(s):
-        body = strip(F.array_join(s["held"], "\n"))
-        head = F.when(s["heading"].isNotNull() & (s["heading"] != "") & ~F.contains(body, s["heading"]), F.concat(tag, F.lit(" "), s["heading"])).otherwise(tag)
-        tail = strip(F.right(body, F.lit(overlap))) if overlap > 0 else F.lit("")
-        out = F.concat(s["chunks"], F.array(F.left(F.concat_ws("\n", head, body), F.lit(chunk + 64))))
-        done = state(out, F.when(tail != "", F.array(tail)).otherwise(empty), F.length(tail), none)
-        return F.when(F.size(s["held"]) > 0, done).otherwise(s)
+        def close(body):
+            head = F.when(s["heading"].isNotNull() & (s["heading"] != "") & ~F.contains(body, s["heading"]), F.concat(tag, F.lit(" "), s["heading"])).otherwise(tag)
+            out = F.concat(s["chunks"], F.array(F.left(F.concat_ws("\n", head, body), F.lit(chunk + 64))))
+            rest = strip(F.right(body, F.lit(overlap))) if overlap > 0 else F.lit("")
+            return let(rest, lambda tail: state(out, F.when(tail != "", F.array(tail)).otherwise(empty), F.length(tail), none))
+
+        return F.when(F.size(s["held"]) > 0, let(strip(F.array_join(s["held"], "\n")), close)).otherwise(s)
 
     def step(s, line):
-        title = heading_like(line, heading_chars)
-        cut = flush(s)
-        after_title = state(cut["chunks"], cut["held"], cut["n"], line)
-        grown = state(s["chunks"], F.concat(s["held"], F.array(line)), s["n"] + F.length(line) + 1, F.when(title & s["heading"].isNull(), line).otherwise(s["heading"]))
-        return F.when(title & (s["n"] >= least), after_title).when(grown["n"] >= chunk, flush(grown)).otherwise(grown)
+        def go(title):
+            after_title = let(flush(s), lambda c: state(c["chunks"], c["held"], c["n"], line))
+            grown = state(s["chunks"], F.concat(s["held"], F.array(line)), s["n"] + F.length(line) + 1, F.when(title & s["heading"].isNull(), line).otherwise(s["heading"]))
+            return F.when(title & (s["n"] >= least), after_title).otherwise(let(grown, lambda g: F.when(g["n"] >= chunk, flush(g)).otherwise(g)))
+
+        return let(heading_like(line, heading_chars), go)
 
     found = F.aggregate(lines(text), state(empty, empty, F.lit(0), none), step, lambda s: flush(s)["chunks"])
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(tag, F.lit("\n"), F.left(col(text), F.lit(chunk)))))
+    return let(found, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.concat(tag, F.lit("\n"), F.left(col(text), F.lit(chunk))))))
 
 
 def prompt(context: Column | str, question: Column | str, options: dict[str, Column | str], variant: str = "v4_evidence") -> Column:

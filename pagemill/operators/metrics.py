@@ -74,6 +74,17 @@ def proximity_at(rankings: DataFrame, truth: DataFrame, cuts: tuple[int, ...] =
     return truth.select("qid").join(best, "qid", "left").agg(*[F.avg(F.coalesce(f"p{k}", F.lit(0.0))).alias(f"proximity_{k}") for k in cuts])
 
 
+def counters(flags: DataFrame, *names: str) -> DataFrame:
+    """K9, H2: number of questions and of those with each flag."""
+    return flags.agg(F.count(F.lit(1)).alias("questions"), *[F.count_if(F.col(c)).alias(c) for c in names])
+
+
+def report(evaluated: DataFrame) -> str:
+    """K8: the averages as text, all questions first."""
+    rows = sorted(evaluated.collect(), key=lambda r: (r["scope"] != "all", r["scope"]))
+    return "\n".join(f"{r['scope']}: n={r['n']} answer={r['answer']:.4f} doc={r['doc']:.4f} page={r['page']:.4f} composite={r['composite']:.4f}" for r in rows)
+
+
 def random_baseline(truth: DataFrame, seed: int = 42) -> DataFrame:
     """K7: a document of the same domain, a letter and a page, drawn by hashes of the question."""
     draw = lambda tag: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}:{tag}"), "Question_ID")), 1, 8), 16, 10).cast("long")

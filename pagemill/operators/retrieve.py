@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +84,13 @@ def dense_scores(pairs: DataFrame, left: str = "q_emb", right: str = "emb") -> D
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
-    """(term, df): documents that have each term."""
-    return docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, df, length): documents that have each term; the null term has the number and total length of all documents.
+
+    One pass over the tokens gives both, and partial sums leave one row per term and task.
+    """
+    terms = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("length")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("terms").alias("length")))
+    return docs.select(F.explode(F.concat(terms, whole)).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("x.length").alias("length"))
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -93,9 +99,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Query terms count as often as they occur; negative idf becomes EPSILON times the mean idf of all terms.
     """
     tokenized = docs.select("doc_id", "page_num", tokens("text").alias("terms"))
-    stats = term_stats(tokenized)
-    size = tokenized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean")).first()
-    n, mean_length = size["n"] or 0, size["mean"] or 1.0
+    every = term_stats(tokenized).persist(StorageLevel.MEMORY_AND_DISK)
+    size, stats = every.where("term is null").first(), every.where("term is not null")
+    n, mean_length = (size["df"], size["length"] / size["df"] or 1.0) if size else (0, 1.0)
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     out = None
     schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("page_num", pa.int64()), ("score", pa.float64())])

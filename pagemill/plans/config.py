@@ -120,3 +120,8 @@ def check_contracts(config: dict, reranker: str | None, gguf: str | None = None,
     if events and need.get("fail_on_component_fallback"):
         raise ContractError("; ".join(events))
     return events
+
+
+def repeats(n: int, base_seed: int = 42) -> list[dict]:
+    """Seed and number of each repeat of a run."""
+    return [{"seed": base_seed + i, "repeat": i} for i in range(n)]

@@ -228,7 +228,9 @@ def build_context(spark, d):
     return an.build_context(_bm_pages(spark, d), text_docs(spark, d)).select("qid", F.md5("context").alias("context"))
 
 
-@query(None)
+@query(f"""WITH {bm25_sql(10)}, shown AS (SELECT bm.qid, bm.doc_id, bm.rank AS before, CASE WHEN {_STRIPPED} = '' THEN '[No text]' ELSE '[Page 1]' || chr(10) || left({_STRIPPED}, 2000) END AS preview FROM bm JOIN documents dd USING (doc_id) WHERE bm.rank <= 6),
+scored AS (SELECT s.qid, s.doc_id, s.before, len(list_intersect(qq.w, {tokens_sql("s.preview")}))::DOUBLE / len(qq.w) AS score FROM shown s JOIN (SELECT item_id AS qid, list_distinct({tokens_sql("text")}) AS w FROM benchmark) qq USING (qid))
+SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, before) AS rank, false AS skipped FROM scored""")
 def rerank_docs_unless_sure(spark, d):
     return rank.rerank_docs_unless_sure(_bm_pages(spark, d), text_docs(spark, d), text_queries(spark, d)).select("qid", "doc_id", R("score"), "rank", "skipped")
 
@@ -309,3 +311,18 @@ def choose_passes(spark, d):
     return joined.select("qid", plain.alias("passes"), gated.alias("gated"))
 
 
+
+
+@query(f"WITH {VEC} SELECT qid, round(1 / (1 + exp(emb[1] - emb[2])), 9) AS p_yes FROM q")
+def yes_probability(spark, d):
+    return vec_queries(spark, d).select("qid", F.round(rank.yes_probability(F.element_at("emb", 1), F.element_at("emb", 2)), 9).alias("p_yes"))
+
+
+@query(f"""WITH {dense_sql()}, {_LOCK}, {DOCS}, {_GUARD}, top AS (SELECT qid, arg_min(doc_id, rank) AS top FROM dense GROUP BY qid),
+sk AS (SELECT d.qid, count(*) AS n, sum(CASE WHEN rank <= 3 AND doc_id = top THEN 1 ELSE 0 END) AS same, max(CASE WHEN rank = 1 THEN score END) AS lead, arg_min(score, rank) FILTER (WHERE doc_id <> top) AS other FROM dense d JOIN top USING (qid) GROUP BY d.qid),
+f AS (SELECT flags.qid, locked, n <= 1 OR other IS NULL OR (same >= 3 AND round(lead - other, 9) >= 0.035) AS skip, (SELECT a.doc_id <> b.doc_id FROM docs a JOIN guarded b ON a.qid = b.qid WHERE a.qid = flags.qid AND a.rank = 1 AND b.rank = 1) AS changed FROM flags JOIN sk USING (qid))
+SELECT count(*) AS questions, count(*) FILTER (WHERE locked) AS locked, count(*) FILTER (WHERE skip) AS skip, count(*) FILTER (WHERE changed) AS changed FROM f""")
+def diagnostics(spark, d):
+    pages = dense(spark, d)
+    flags = _flags(spark, d, pages).select("qid", "locked").join(rank.skip_flags(pages), "qid").join(rank.guard_changed(pages).select("qid", "changed"), "qid")
+    return metrics.counters(flags, "locked", "skip", "changed")

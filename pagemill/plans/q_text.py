@@ -157,3 +157,9 @@ def table_aware_text(spark, d):
     pid = F.col("page_id").cast("string")
     tables = F.array(F.array(pid, F.lit("  "), F.col("url")), F.array(F.lit(" ").cast("string")), F.array(F.lit("x "), F.lit(None).cast("string"), F.lit("y")))
     return table(spark, d, "pages").select("page_id", F.md5(tx.with_tables("url", tables)).alias("text"))
+
+
+@query("""SELECT item_id, sha256('{"item_id":' || item_id::VARCHAR || ',"n":' || length(text)::VARCHAR || '}') AS sha256, sha1('{"item_id":' || item_id::VARCHAR || ',"n":' || length(text)::VARCHAR || '}') AS sha1, printf('%.6f', length(text) / 8.0::DOUBLE) AS fixed FROM benchmark""")
+def fingerprints(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.struct("item_id", F.length("text").alias("n")).alias("s"))
+    return b.select("item_id", tx.fingerprint(F.col("s"), 256).alias("sha256"), tx.fingerprint(F.col("s")).alias("sha1"), tx.fixed6(F.col("s.n") / 8).alias("fixed"))

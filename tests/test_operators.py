@@ -140,3 +140,11 @@ def test_empty_rankings(spark):
     texts = spark.createDataFrame([], "doc_id string, page_num int, text string")
     assert rank.doc_ranking(none).count() == rank.guarded_ranking(none).count() == retrieve.rrf([none, none]).count() == 0
     assert answer.build_context(none, texts).count() == rank.doc_previews(none, texts).count() == 0
+
+
+def test_report_and_repeats(spark):
+    from pagemill.plans.config import repeats
+
+    df = spark.createDataFrame([("d", 1, 1.0, 0.5, 0.25, 0.6875), ("all", 1, 1.0, 0.5, 0.25, 0.6875)], "scope string, n long, answer double, doc double, page double, composite double")
+    assert metrics.report(df).splitlines()[0] == "all: n=1 answer=1.0000 doc=0.5000 page=0.2500 composite=0.6875"
+    assert repeats(2, 7) == [{"seed": 7, "repeat": 0}, {"seed": 8, "repeat": 1}]
