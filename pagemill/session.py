@@ -19,3 +19,24 @@ def session(app: str = "pagemill", master: str | None = None, **conf: str) -> Sp
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, where they would not find it by PYTHONPATH or their working folder."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    root = package.parent
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in places) or getattr(context, "_pagemill_shipped", False):
+        return
+    path = f"{tempfile.mkdtemp()}/pagemill.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(root)))
+    context.addPyFile(path)  # Spark's own file service brings it to every executor
+    context._pagemill_shipped = True
