@@ -48,7 +48,7 @@ def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dense_topk(pages: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """Inner products of ``queries`` (qid long, emb) with all ``pages`` (doc_id long, page_num long, emb), best k."""
+    """D3, D4 (rows without a vector are left out): inner products of ``queries`` (qid long, emb) with all ``pages`` (doc_id long, page_num long, emb), best k."""
     out = None
     schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("page_num", pa.int64()), ("score", pa.float64())])
 
@@ -71,8 +71,8 @@ def dense_topk(pages: DataFrame, queries: DataFrame, k: int, exclude_self: bool
 
         return run
 
-    picked = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_num").cast("long").alias("page_num"), F.col("emb").cast("array<double>").alias("emb"))
-    for block in _query_blocks(queries.select(F.col("qid").cast("long").alias("qid"), F.col("emb").cast("array<double>").alias("emb"))):
+    picked = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_num").cast("long").alias("page_num"), F.col("emb").cast("array<double>").alias("emb")).where("emb is not null")
+    for block in _query_blocks(queries.select(F.col("qid").cast("long").alias("qid"), F.col("emb").cast("array<double>").alias("emb")).where("emb is not null")):
         part = picked.limit(0).select(F.lit(0).cast("long").alias("qid"), "doc_id", "page_num", F.lit(0.0).alias("score")) if not block else picked.mapInArrow(scorer(block), "qid long, doc_id long, page_num long, score double")
         out = part if out is None else out.unionByName(part)
     return top_k(out, k)
@@ -98,7 +98,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Query terms count as often as they occur; negative idf becomes EPSILON times the mean idf of all terms.
     """
-    tokenized = docs.select("doc_id", "page_num", tokens("text").alias("terms"))
+    tokenized = docs.select("doc_id", "page_num", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     every = term_stats(tokenized).persist(StorageLevel.MEMORY_AND_DISK)
     size, stats = every.where("term is null").first(), every.where("term is not null")
     n, mean_length = (size["df"], size["length"] / size["df"] or 1.0) if size else (0, 1.0)
@@ -132,7 +132,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return run
 
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), tokens("text").alias("terms"))
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     for block in _query_blocks(asked):
         terms = sorted({t for r in block for t in r["terms"]})
         vocabulary = {t: i for i, t in enumerate(terms)}

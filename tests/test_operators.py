@@ -148,3 +148,12 @@ def test_report_and_repeats(spark):
     df = spark.createDataFrame([("d", 1, 1.0, 0.5, 0.25, 0.6875), ("all", 1, 1.0, 0.5, 0.25, 0.6875)], "scope string, n long, answer double, doc double, page double, composite double")
     assert metrics.report(df).splitlines()[0] == "all: n=1 answer=1.0000 doc=0.5000 page=0.2500 composite=0.6875"
     assert repeats(2, 7) == [{"seed": 7, "repeat": 0}, {"seed": 8, "repeat": 1}]
+
+
+def test_retrieval_of_nulls_and_nothing(spark):
+    pages = spark.createDataFrame([(1, 1, [1.0, 0.0], "a b"), (2, 1, None, None), (3, 1, [0.6, 0.8], "")], "doc_id long, page_num long, emb array<double>, text string")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], "b"), (8, None, None)], "qid long, emb array<double>, text string")
+    assert [(r.qid, r.doc_id) for r in retrieve.dense_topk(pages, asked, 5).orderBy("rank").collect()] == [(7, 1), (7, 3)]
+    assert retrieve.bm25_topk(pages, asked, 5).where("qid = 7").orderBy("rank").first().doc_id == 1
+    assert retrieve.dense_topk(pages.limit(0), asked, 5).count() == retrieve.dense_topk(pages, asked.limit(0), 5).count() == 0
+    assert retrieve.bm25_topk(pages.limit(0), asked, 5).count() == retrieve.bm25_topk(pages, asked.limit(0), 5).count() == 0
