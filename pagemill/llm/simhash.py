@@ -38,6 +38,7 @@ from pagemill.llm.common import arrow_rows, saved, texts_of
 RADIUS = 3
 #: Buckets up to this size are compared pair by pair; larger ones by look-ups.
 SMALL_BUCKET = 2048
+EDGES_PER_FILE = 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _VECTORS = np.random.default_rng(3).permutation(np.arange(64) % 15 + 1)
 
@@ -176,6 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
     on a hub's edges is an ordinary sort-merge join that can be split.  Each round
     is written to the shared folder, so lost executors cost one round at most.
     """
+    # a round writes as many files as its edges need, not as many as there are shuffle partitions
+    keep = lambda df, n: saved(df.coalesce(max(12, n // EDGES_PER_FILE)))
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     mark = stamp(now)
@@ -185,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = saved(small.select("e.u", "e.v").where("u <> v").distinct())
+        now = keep(small.select("e.u", "e.v").where("u <> v").distinct(), mark[0])
         mark, last = stamp(now), mark
         if mark == last:
             break
