@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import _BYTE_VALUES, blocks, chunk_count, mix, powers, text_bytes, texts_of, window_min
+from pagemill.llm.common import _BYTE_VALUES, blocks, chunk_count, mix, powers, saved, text_bytes, texts_of, window_min
 
 WIDTH = 50
 GRAM = 24
@@ -303,12 +303,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     _, n_bytes = text_bytes(picked)
-    chunks = buckets = chunk_count(n_bytes)
+    chunks = chunk_count(n_bytes)
+    buckets = max(256, 2 * chunks)  # more than chunks: a task then holds several small ones, evenly
     # copies: same text, first row by doc_id; two 64-bit hashes and the length stand for the text
     key = [F.xxhash64("text"), F.hash("text"), F.octet_length("text")]
     order_id = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     firsts = picked.select(order_id.alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(key)]).groupBy("k0", "k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    leaders = firsts.where("n > 1").select(F.col("k0").alias("j0"), F.col("k1").alias("j1"), F.col("k2").alias("j2"), "first")
+    # written: a join of two plain shuffles can be split if a group of copies is large, and a small table is broadcast by its measured size
+    leaders = saved(firsts.where("n > 1")).select(F.col("k0").alias("j0"), F.col("k1").alias("j1"), F.col("k2").alias("j2"), "first")
     copies = picked.select(order_id.alias("cid"), *[k.alias(f"k{i}") for i, k in enumerate(key)]).join(leaders, (F.col("k0") == F.col("j0")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).where("cid > first").select("cid", F.col("k0").alias("ck")).distinct()
     tagged = picked.withColumn("k0", F.xxhash64("text"))
     flagged = tagged.join(copies, (order_id == F.col("cid")) & (F.col("k0") == F.col("ck")), "left").select("doc_id", "text", F.col("cid").isNotNull().alias("copy"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
@@ -398,17 +400,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             for k, m in zip(sorted(x), masks[b].tolist()):
                 mask_of[k[:4]] = m
         gone = np.zeros(len(c.data) + 1, np.int32)
-        starts = []
-        for k, d, p in zip(keys, docs_, c.pos[picked].tolist()):
-            m = mask_of[k]
-            own = int(c.ids[d]) > int(c.ids[least[k]])
-            for a in range(k[3], k[2] + 1):
-                if own or m >> a & 1:
-                    starts.append(p - a)
-        if starts:
-            s = np.array(starts, np.int64)
-            np.add.at(gone, s, 1)
-            np.add.at(gone, s + WIDTH, -1)
+        low, high = [], []
+        for (_, _, near, far), k, d, p in zip(keys, keys, docs_, c.pos[picked].tolist()):
+            least_doc = least[k]
+            every = (1 << near + 1) - (1 << far)
+            m = every if int(c.ids[d]) > int(c.ids[least_doc]) else mask_of[k] & every
+            if m == every:  # all windows of the anchor in one span
+                low.append(p - near)
+                high.append(p - far + WIDTH)
+            elif m:
+                ones = [p - x for x in range(far, near + 1) if m >> x & 1]
+                low += ones
+                high += [x + WIDTH for x in ones]
+        if low:
+            np.add.at(gone, np.array(low, np.int64), 1)
+            np.add.at(gone, np.array(high, np.int64), -1)
         for i in np.flatnonzero(c.whole).tolist():
             a, b = int(c.offsets[i]), int(c.offsets[i + 1])
             if b - a >= WIDTH:
