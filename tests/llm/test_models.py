@@ -110,6 +110,17 @@ def test_fuzzy_passage(spark):
     assert abs(found[0].start - 30) <= 1 and abs(found[0].end - 119) <= 1 and found[0].common >= 84
 
 
+@pytest.mark.parametrize("own_gap,other_gap", [(110, 110), (150, 0), (0, 150)])
+def test_two_passages_of_the_same_documents(spark, own_gap, other_gap):
+    rng = np.random.default_rng(15)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    p, q = some(60), some(60)
+    a, b = some(20) + p + some(other_gap) + q + some(20), some(35) + p + some(own_gap) + q + some(15)
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    found = sorted((r.start, r.end, r.source_start, r.source_end, r.common) for r in chain_dedup.passages(df)[1].collect())
+    assert found == [(35, 95, 20, 80, 60), (95 + own_gap, 155 + own_gap, 80 + other_gap, 140 + other_gap, 60)]
+
+
 def test_fenwick_chains_against_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(30):
