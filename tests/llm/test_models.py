@@ -121,6 +121,39 @@ def test_two_passages_of_the_same_documents(spark, own_gap, other_gap):
     assert found == [(35, 95, 20, 80, 60), (95 + own_gap, 155 + own_gap, 80 + other_gap, 140 + other_gap, 60)]
 
 
+def edited(rng, passage, share, word):
+    """A passage with ``share`` of its words replaced, left out or preceded by another word."""
+    out = list(passage)
+    for i in sorted(rng.choice(len(passage), round(share * len(passage)), replace=False).tolist(), reverse=True):
+        out[i : i + 1] = ([word()], [word()], [word()], [], [word(), out[i]])[rng.integers(5)]
+    return out
+
+
+@pytest.mark.parametrize("share,least", [(0.1, 0.95), (0.2, 0.95), (0.28, 0.6)])
+def test_recall_of_edited_passages(spark, share, least):
+    rng = np.random.default_rng(25)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows, want = [], set()
+    for i in range(60):
+        passage = [word() for _ in range(70)]
+        other = edited(rng, passage, share, word)
+        if chain_dedup.common(passage, other) >= chain_dedup.IDENTITY * max(len(passage), len(other)):
+            want.add((2 * i + 1, 2 * i))
+        rows += [(2 * i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(40)])), (2 * i + 1, " ".join([word() for _ in range(50)] + other + [word() for _ in range(20)]))]
+    got = {(r.doc_id, r.source) for r in chain_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()}
+    print("recall", share, len(got & want) / len(want), "of", len(want))
+    assert len(want) >= 50 and len(got & want) >= least * len(want) and all(a == b + 1 for a, b in got)
+
+
+def test_passage_of_three_owners(spark):
+    rng = np.random.default_rng(35)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    parts = [some(20) for _ in range(3)]
+    texts = [some(30) + p + some(30) for p in parts] + [some(25) + sum(parts, []) + some(35), some(40) + sum(parts, []) + some(10)]
+    found = chain_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))[1].collect()
+    assert [(r.doc_id, r.source, r.start, r.end, r.common) for r in found] == [(4, 3, 40, 100, 60)]
+
+
 def test_fenwick_chains_against_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(30):
