@@ -144,6 +144,14 @@ def lcs(region: list[int], masks: dict[int, int], n: int) -> int:
     return n - row.bit_count()
 
 
+def window_lengths(longest: int) -> list[int]:
+    """``LENGTHS``, carried on in steps of a half or a third up to the longest item."""
+    out = list(LENGTHS)
+    while out[-1] < longest:
+        out.append(out[-2] * 2)
+    return out
+
+
 class Items:
     """A block of items, ready for the search."""
 
@@ -171,11 +179,13 @@ class Items:
         norm = np.linalg.norm(latent, axis=1)
         self.latent = latent / np.maximum(norm, 1e-12)[:, None]
         self.size = np.diff(first)
-        lengths = np.array(LENGTHS)
+        self.lengths = window_lengths(int(self.size.max(initial=0)))
+        lengths = np.array(self.lengths)
         self.kind = np.abs(lengths[None, :] - self.size[:, None]).argmin(1)
         self.kind[norm == 0] = -1
-        # a window longer than the item holds other words too
-        self.least = COSINE * np.sqrt(np.minimum(1, self.size / lengths[self.kind])).astype(np.float32)
+        # a window longer than the item holds other words too, one shorter lacks some of its words
+        share = self.size / lengths[self.kind]
+        self.least = COSINE * np.sqrt(np.minimum(share, 1 / np.maximum(share, 1e-9))).astype(np.float32)
 
 
 def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items, vectors: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
@@ -192,7 +202,7 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
         cell += vectors[own]
     np.cumsum(cell, axis=0, dtype=np.float64, out=sums[1:])
     best: dict[tuple[int, int], tuple] = {}
-    for kind, length in enumerate(LENGTHS):
+    for kind, length in enumerate(items.lengths):
         own = np.flatnonzero(items.kind == kind)
         if not len(own):
             continue

@@ -202,6 +202,17 @@ def test_lcs(a, b, n):
     assert chain_dedup.common([ord(t) for t in a], [ord(t) for t in b]) == n
 
 
+@pytest.mark.parametrize("n", [70, 112, 200, 500, 1500])
+def test_long_items(spark, n):
+    rng = np.random.default_rng(n)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    item = some(n)
+    texts = [some(150) for _ in range(40)] + [some(75) + " " + item + " " + some(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.lcs, r.item_words) for r in found] == [(40, n, n)]
+
+
 def test_decontamination_of_odd_rows(spark, documents, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "same text here as well as there same text here as well as there")], "item_id long, text string")
     assert {r.doc_id for r in decontam.contaminated(documents, items).collect()} <= {900006, 900007, None}
