@@ -6,7 +6,7 @@
     of Z = A'(A O) for a Gaussian O; the sum has TERMS x SKETCH cells at any corpus
     size.  The driver gets the right singular vectors by the Nystrom step
     V S = Z (O'Z)^(-1/2).
-3.  Every window of every document (lengths of about an item's, half overlapping) is projected
+3.  Every window of every document (lengths of about an item's, a quarter apart) is projected
     and whitened without its first component (which all passages share); windows with a cosine of
     ``COSINE`` to an item are candidates.
 4.  A candidate must share enough of the item's words (an upper bound of the next step), then the longest common
@@ -35,7 +35,7 @@ PASSAGE = 48
 SKETCH = 40
 CELL = 8
 LENGTHS = (16, 32, 48, 64)
-COSINE = 0.5
+COSINE = 0.3  # the cosine of a text with LCS_LIKELY of the words, half a step off, less the noise of the sketch
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.5
 ITEM_BLOCK = 4000
 TASK_BYTES = 64 << 20
@@ -207,7 +207,7 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
         if not len(own):
             continue
         span = length // CELL
-        step = max(1, span // 2)
+        step = max(1, span // 4)
         per = np.where(cells > 0, 1 + np.maximum(0, -(-(cells - span) // step)), 0)
         doc = np.repeat(np.arange(len(count)), per)
         start = cell_first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step

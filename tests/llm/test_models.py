@@ -202,6 +202,29 @@ def test_lcs(a, b, n):
     assert chain_dedup.common([ord(t) for t in a], [ord(t) for t in b]) == n
 
 
+@pytest.mark.parametrize("kept,least", [(0.65, 1), (0.75, 1), (0.85, 1)])
+def test_recall_of_paraphrases(spark, kept, least):
+    rng = np.random.default_rng(45)
+    vocabulary = np.array(sorted({w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).collect() for w in words_of(r.text)}))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows, truth = [], set()
+    for k, item in enumerate(items.collect() * 3):
+        own = words_of(item.text)
+        words = list(own)
+        for i in rng.choice(len(words), int((1 - kept) * len(words)), replace=False).tolist():
+            words[i] = str(rng.choice(vocabulary))
+        before = rng.choice(vocabulary, rng.integers(20, 60)).tolist()
+        rows.append((10**6 + k, " ".join(before + words + rng.choice(vocabulary, 40).tolist())))
+        tail = own[len(own) - max(3, -(-len(own) // 4)) :]
+        common, answer = chain_dedup.common(words, own), chain_dedup.common(words, tail)
+        if common >= decontam.LCS_SURE * len(own) or (common >= decontam.LCS_LIKELY * len(own) and answer >= decontam.ANSWER * len(tail)):
+            truth.add((10**6 + k, item.item_id))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    print("recall", kept, len(got & truth) / len(truth), "of", len(truth))
+    assert len(got & truth) >= least * len(truth)
+
+
 @pytest.mark.parametrize("n", [70, 112, 200, 500, 1500])
 def test_long_items(spark, n):
     rng = np.random.default_rng(n)
