@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import OPTION_LETTERS, page_summary, structure_chunks
+from pagemill.functions.text import OPTION_LETTERS, structure_chunks, with_page_summary
 from pagemill.operators import answer as an
 from pagemill.operators import locate, rank, retrieve
 from pagemill.plans import models
@@ -87,7 +87,7 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
     if strategy == "same_doc_answer_aware":
         placed = locate.same_doc(ordered, tops, queries, vectors)
     elif strategy == "summary_then_answer_aware":
-        summaries = texts.select("doc_id", "page_num", encoder(page_summary("text", "page_num", choose["summary_chars"], choose["summary_heading_max_chars"])).alias("emb"))
+        summaries = with_page_summary(texts, choose["summary_chars"], choose["summary_heading_max_chars"]).select("doc_id", "page_num", encoder(F.col("summary")).alias("emb"))
         placed = locate.summary_then_answer(tops, asked, queries, summaries, vectors, choose["summary_topk"])
     else:
         segments = None

@@ -38,3 +38,8 @@ def run_hybrid_rrf(spark, d):
 @query(None)
 def run_structure_guard(spark, d):
     return run(spark, d, "candidate_structure_chunks_v2_doc_guard")
+
+
+@query(None)
+def run_page_summary(spark, d):
+    return run(spark, d, "candidate_page_summary_selector_v1")

@@ -50,6 +50,17 @@ def test_configurations_run(spark, inputs, name):
     assert all(r.Correct_Answer in "ABCDEF" and r.Doc_ID and int(r.Page_Num) >= 1 for r in rows)
 
 
+def test_page_summary_under_an_encoder(spark, inputs):
+    from pagemill.functions.text import page_summary, with_page_summary
+    from pagemill.plans.models import hashed_encoder
+
+    pages = inputs[1]
+    for _ in range(10):
+        found = with_page_summary(pages)
+        assert found.select(hashed_encoder(F.col("summary"))).count() == pages.count()
+    assert found.where(~F.col("summary").eqNullSafe(page_summary("text", "page_num"))).count() == 0
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "quoted"\nline', None), ("2", "b,c", "x")], "Question_ID string, Question string, A string")
     files.write_csv(df, str(tmp_path / "q.csv"))
