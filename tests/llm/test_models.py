@@ -154,6 +154,67 @@ def test_passage_of_three_owners(spark):
     assert [(r.doc_id, r.source, r.start, r.end, r.common) for r in found] == [(4, 3, 40, 100, 60)]
 
 
+def test_passage_whose_seeds_others_have(spark):
+    """Two documents share 64 words; short slices of them stand in earlier documents."""
+    rng = np.random.default_rng(36)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    passage = some(64)
+    for copies in (1, 5):  # with five, the short seeds have more documents than owners
+        slices = [passage[a:b] for a, b in ((0, 20), (14, 36), (30, 50), (46, 64)) for _ in range(copies)]
+        texts = [some(30) + x + some(30) for x in slices] + [some(25) + passage + some(35), some(40) + passage + some(10)]
+        n = len(texts)
+        found = chain_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))[1].collect()
+        assert [(r.doc_id, r.source, r.start, r.end, r.common) for r in found] == [(n - 1, n - 2, 40, 104, 64)]
+
+
+def test_recall_on_mosaics_against_all_pairs(spark):
+    """Documents made of pieces that others have too: each word in a passage that brute force finds in an earlier document."""
+    rng = np.random.default_rng(37)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    pieces = [[word() for _ in range(int(rng.integers(10, 80)))] for _ in range(40)]
+    texts = []
+    for _ in range(70):
+        own = []
+        for _ in range(4):
+            p = pieces[rng.integers(len(pieces))]
+            p = p[int(rng.integers(max(1, len(p) - 30))) :]
+            own += edited(rng, p, (0, 0, 0.1)[rng.integers(3)], word) + [word() for _ in range(int(rng.integers(0, 60)))]
+        texts.append(own)
+    got = {r.doc_id: r for r in chain_dedup.fuzzy_repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    ids: dict = {}
+    arrays = [np.array([ids.setdefault(w, len(ids)) for w in t], np.uint32) for t in texts]
+    truth = found = extra = 0
+    for d, mine in enumerate(arrays):
+        covered = np.zeros(len(mine), bool)
+        for other in arrays[:d]:
+            at: dict = {}
+            for j in range(len(other) - 4):
+                at.setdefault(tuple(other[j : j + 5]), []).append(j)
+            matches = sorted((i, j) for i in range(len(mine) - 4) for j in at.get(tuple(mine[i : i + 5]), ()))
+            for chain in chain_dedup.chains([i for i, _ in matches], [j for _, j in matches]) if len(matches) > 1 else ():
+                x, y, n = chain_dedup.runs(*(np.array([matches[c][k] for c in chain]) for k in (0, 1)))
+                for a, b, *_ in chain_dedup.found_in([(mine, other, x, y, n)])[0]:
+                    covered[a:b] = True
+        truth += covered.sum()
+        found += min(covered.sum(), got[d].n_dup_words)
+        extra += max(0, got[d].n_dup_words - covered.sum())
+    print("mosaics", found / truth, extra / truth)
+    assert found >= 0.9 * truth and extra <= 0.02 * truth
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rng = np.random.default_rng(38)
+    some = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    passage, clean = some(60), some(300)
+    leak = some(20) + passage
+    rows = [(1, " ".join(passage + some(10))), (2, " ".join(leak)), (2, " ".join(clean)), (None, " ".join(some(30) + passage[:50])), (None, " ".join(some(70))), (2, " ".join(leak)), (3, " ".join(leak)), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key2", "2 as k0", "'x' as words", "3 as leader", "4L as chunk", "5 as source")
+    got = sorted(((r.doc_id, r.n_words, r.n_dup_words, tuple(r.sources), r.n_linked) for r in chain_dedup.fuzzy_repeats(df).collect()), key=repr)
+    # the null document comes first; 1 has 50 words of it, 2 and its copies 60 of 1
+    assert got == sorted([(None, 80, 0, (), 2), (None, 70, 0, (), 0), (1, 70, 50, (None,), 1), (2, 80, 60, (None, 1), 1), (2, 80, 60, (None, 1), 1), (2, 300, 0, (), 0), (3, 80, 80, (2,), 0), (4, 0, 0, (), 0), (5, 0, 0, (), 0)], key=repr)
+    assert chain_dedup.fuzzy_repeats(df.limit(0)).collect() == []
+
+
 def test_fenwick_chains_against_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(30):
