@@ -8,14 +8,20 @@ Conventions that hold for every operator of this subpackage:
 
 * a null text counts as the empty text; a null ``doc_id`` is kept as a row;
 * only the columns that an operator names are read, so extra columns, whatever
-  they are called, cannot clash with its working columns;
+  they are called, cannot clash with its working columns; where a filtering operator hands the
+  columns on, its own ones have a prefix that no given column has;
 * an empty table gives an empty result with the documented schema;
 * nothing is cut: whole texts, all rows, groups of any size.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
+import math
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,6 +161,14 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def unused_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of ``docs`` has: for working columns beside columns of any name."""
+    names, out = [c.lower() for c in docs.columns], "__w"
+    while any(c.startswith(out) for c in names):
+        out += "_"
+    return out
+
+
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=schema)
 
@@ -178,8 +192,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 
 def chunk_count(n_bytes: int) -> int:
-    """Chunks grow with the input, so that a chunk's size does not."""
-    return max(64, -(-int(n_bytes) // CHUNK_BYTES))
+    """Chunks grow with the input, so that a chunk's size does not; beyond a terabyte both grow with the root of it,
+    as chunks that exchange messages in pairs send so many of them."""
+    size = CHUNK_BYTES * max(1.0, (int(n_bytes) / (1 << 40)) ** 0.5)
+    return max(64, math.ceil(int(n_bytes) / size))
 
 
 def chunk_of(column: str, chunks: int):
@@ -193,26 +209,54 @@ def slices(bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if set_dir:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(set_dir)
-        return set_dir
-    import tempfile
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse, or on a local master a temporary folder."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        alone = context.master.split("[")[0] == "local"
+        found = (tempfile.gettempdir() if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")) + "/pagemill-shared"
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(found)
+    return found
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder; what is written there is removed when the driver's Python ends, or by ``discard``."""
+    path = f"{shared_dir(spark).rstrip('/')}/pagemill-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_written)
+    _written[path] = spark
+    return path
 
-    own = tempfile.gettempdir() + "/pagemill-shared"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove_written() -> None:
+    """Removes every table that ``saved`` has written in this process: results that are not yet read are lost with them."""
+    for path in list(_written):
+        with contextlib.suppress(Exception):  # the cluster may have ended before
+            _remove(path)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: cuts lineage and survives lost executors."""
-    import uuid
-
     spark = df.sparkSession
     bound_batches(spark)
-    path = f"{shared_dir(spark).rstrip('/')}/pagemill-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pagemill_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of ``saved`` that nothing will read again."""
+    _remove(df._pagemill_path)

@@ -7,7 +7,7 @@
     size.  The driver gets the right singular vectors by the Nystrom step
     V S = Z (O'Z)^(-1/2).
 3.  Every window of every document (lengths of about an item's, a quarter apart) is projected
-    and whitened without its first component (which all passages share); windows with a cosine of
+    and whitened, weak components less than fully (in a small corpus they tell near copies apart); windows with a cosine of
     ``COSINE`` to an item are candidates.
 4.  A candidate must share enough of the item's words (an upper bound of the next step), then the longest common
     subsequence of the item and the surroundings decides: a share of ``LCS_SURE`` of
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Words, blocks, text_bytes, texts_of
+from pagemill.llm.common import Words, blocks, text_bytes, texts_of, unused_prefix
 
 TERMS = 1 << 14  # the top 14 bits of a word id
 PASSAGE = 48
@@ -87,7 +87,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def singular_vectors(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Whitened right singular vectors (TERMS x (SKETCH - 1)) of the TF-IDF matrix, the first left out, by one pass over all passages."""
+    """Whitened right singular vectors (TERMS x SKETCH) of the TF-IDF matrix, by one pass over all passages."""
     random = np.random.default_rng(_SEED).normal(size=(TERMS, SKETCH)).astype(np.float32)
     # one contiguous column per component: it stays in the cache while all terms of a block look it up
     weighted = np.ascontiguousarray((random * idf[:, None].astype(np.float32)).T)
@@ -129,8 +129,7 @@ def singular_vectors(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
         return np.zeros((TERMS, 1), np.float32)
     u, s, _ = np.linalg.svd(z @ (vector[:, keep] / np.sqrt(value[keep])), full_matrices=False)
     good = s > s[0] * 1e-6
-    good[0] = good.sum() == 1
-    return (u[:, good] / s[good] * idf[:, None]).astype(np.float32)
+    return (u[:, good] / np.hypot(s[good], s[good].mean()) * idf[:, None]).astype(np.float32)
 
 
 def lcs(region: list[int], masks: dict[int, int], n: int) -> int:
@@ -253,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # few tasks keep what the sketch sends small against the input
     narrow = picked.select("text").coalesce(max(12, -(-n_bytes // TASK_BYTES)))
     df = document_frequencies(narrow)
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1))
+    idf = np.log1p(df[-1] / np.maximum(df[:-1], 1))  # positive for terms of all passages, too
     vectors = singular_vectors(narrow, idf)
     table = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int32()), ("item_words", pa.int32()), ("answer_lcs", pa.int32()), ("start_word", pa.int32())])
@@ -286,6 +285,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item, with the columns that they came with."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    """The documents that leak no item, with the columns that they came with.
+
+    Rows are told apart by a hash of doc_id and text, so rows that share a doc_id, or have none, are judged one by one.
+    """
+    own = unused_prefix(docs)
+    marked = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    leaks = contaminated(marked, benchmark, doc_id=own).select(F.col("doc_id").alias(f"{own}leak")).distinct()
+    return marked.join(leaks, F.col(own) == F.col(f"{own}leak"), "left_anti").drop(own)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import saved
+from pagemill.llm.common import saved, unused_prefix
 
 #: Weights of the sources in turn, share of all words, most copies of a source.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -136,9 +136,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns that it came with."""
-    keyed = docs.withColumn("__k", F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")))
-    number = F.row_number().over(Window.partitionBy("__k").orderBy("doc_id"))
-    taken = mix(keyed, key=F.col("__k")).where("copies > 0").select(F.col("key").alias("__j"), "copies", "doc_id")
-    taken = taken.withColumn("__m", F.row_number().over(Window.partitionBy("__j").orderBy("copies"))).drop("doc_id").withColumnRenamed("copies", "__c")
-    numbered = keyed.withColumn("__n", number)
-    return numbered.join(taken, (F.col("__k") == F.col("__j")) & (F.col("__n") == F.col("__m"))).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c")))).select(*docs.columns)
+    own = unused_prefix(docs)
+    key, n, take, m, copies, i = (f"{own}{x}" for x in ("k", "n", "j", "m", "c", "i"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.col("text"), F.col("source")))
+    taken = mix(keyed, key=F.col(key)).where("copies > 0").select(F.col("key").alias(take), F.col("copies").alias(copies))
+    taken = taken.withColumn(m, F.row_number().over(Window.partitionBy(take).orderBy(copies)))
+    numbered = keyed.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy("doc_id")))
+    return numbered.join(taken, (F.col(key) == F.col(take)) & (F.col(n) == F.col(m))).withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import Words, arrow_rows, blocks, gram_ids, mix, powers, saved, texts_of
+from pagemill.llm.common import Words, arrow_rows, blocks, gram_ids, mix, powers, saved, texts_of, unused_prefix
 
 RELATIVE = 0.01
 FENCE = 6.0
@@ -190,13 +190,17 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     The verdict depends on the row's own content and its group's cuts; rows are
     matched by doc_id and a hash of the text, so rows that share a doc_id are judged one by one.
     """
-    marked = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rated = rates(saved(measures(marked, ["doc_id", "lang", "source", "__h"])))
+    own = unused_prefix(docs)
+    key = [f"{own}{x}" for x in ("id", "lang", "source")]
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rated = rates(saved(measures(marked, ["doc_id", "lang", "source", own]).withColumnRenamed(own, "hash")))
     cut = cuts(rated).withColumnsRenamed({"lang": "lang2", "source": "source2"})
     inside = [F.coalesce(F.col(m).between(F.col("cuts")[m]["low"], F.col("cuts")[m]["high"]), F.lit(True)) for m in MEASURES]
     verdict = ~F.col("base_failed")
     for x in inside:
         verdict &= x
-    good = rated.join(cut, F.col("lang").eqNullSafe(F.col("lang2")) & F.col("source").eqNullSafe(F.col("source2")), "left").where(verdict).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"), F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")) & F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
-    return marked.join(good, same, "left_semi").drop("__h")
+    good = rated.join(cut, F.col("lang").eqNullSafe(F.col("lang2")) & F.col("source").eqNullSafe(F.col("source2")), "left").where(verdict).select(F.col("hash").alias(f"{own}hash"), *[F.col(a).alias(b) for a, b in zip(("doc_id", "lang", "source"), key)]).distinct()
+    same = F.col(own) == F.col(f"{own}hash")
+    for a, b in zip(("doc_id", "lang", "source"), key):
+        same &= F.col(a).eqNullSafe(F.col(b))
+    return marked.join(good, same, "left_semi").drop(own)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_rows, saved, texts_of
+from pagemill.llm.common import arrow_rows, discard, saved, texts_of, unused_prefix
 
 RADIUS = 3
 #: Buckets up to this size are compared pair by pair; larger ones by look-ups.
@@ -188,8 +188,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = keep(small.select("e.u", "e.v").where("u <> v").distinct(), mark[0])
+        before, now = now, keep(small.select("e.u", "e.v").where("u <> v").distinct(), mark[0])
         mark, last = stamp(now), mark
+        discard(before)
         if mark == last:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -205,20 +206,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return fps.join(named.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns that ``docs`` came with: the smallest doc_id (nulls last).
 
     Rows are told apart by a hash of doc_id and text, so repeated rows count as copies of one another.
     """
-    marked = docs.withColumn("__k", F.xxhash64(F.col("doc_id"), F.col("text")))
-    found = saved(near_duplicates(marked, "__k").select(F.col("doc_id").alias("key"), "component_id"))
-    ids = marked.select(F.col("__k").alias("k2"), F.col("doc_id").alias("id2")).distinct()
+    own = unused_prefix(docs)
+    marked = docs.withColumn(own, F.xxhash64(F.col("doc_id"), F.col("text")))
+    found = saved(near_duplicates(marked, own).select(F.col("doc_id").alias("key"), "component_id"))
+    ids = marked.select(F.col(own).alias("k2"), F.col("doc_id").alias("id2")).distinct()
     first = F.min(F.struct(F.col("id2").isNull(), F.col("id2"), F.col("key"))).alias("first")
-    stay = found.distinct().join(ids, F.col("key") == F.col("k2")).groupBy("component_id").agg(first).select(F.col("first.key").alias("__s"))
-    kept = marked.join(stay, F.col("__k") == F.col("__s"), "left_semi")
+    stay = found.distinct().join(ids, F.col("key") == F.col("k2")).groupBy("component_id").agg(first).select(F.col("first.key").alias(f"{own}s"))
+    kept = marked.join(stay, F.col(own) == F.col(f"{own}s"), "left_semi")
     if found.count() != found.select("key").distinct().count():  # rows that are equal in full
-        kept = kept.dropDuplicates(["__k"])
-    return kept.drop("__k")
+        kept = kept.dropDuplicates([own])
+    return kept.drop(own)

@@ -21,7 +21,6 @@ row each, next to one another, ordered by text; null doc_id: first; empty table:
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import CHUNK_BYTES, Words, blocks, mix, powers, shared_dir, text_bytes, texts_of
+from pagemill.llm.common import CHUNK_BYTES, Words, blocks, mix, powers, new_path, text_bytes, texts_of
 
 END_ID = 1
 #: Fixed values of the format: ids per word and bits per id, by selector.
@@ -296,7 +295,7 @@ def token_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/pagemill-tokens-{uuid.uuid4().hex}"
+    return new_path(spark)
 
 
 def tokenize_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -304,6 +304,28 @@ def test_decontamination_of_odd_rows(spark, documents, none):
     assert decontam.clean_documents(documents, items.limit(0)).count() == documents.count()
 
 
+def test_clean_rows_of_shared_ids_stay(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = max((r.text for r in items.collect()), key=len)
+    rows = [(None, "before it " + item + " after it"), (None, "a clean text of its own " * 6), (5, "some words " + item), (5, "another clean text " * 7), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as __w", "2 as __leak", "3 as __wleak", "4 as __h", "5 as __k")
+    kept = decontam.clean_documents(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:7]) for r in kept.collect()) == [(0, "a clean"), (5, "another"), (6, "")]
+
+
+def test_filters_hand_on_columns_of_any_name(spark, small):
+    """Working columns never clash with given ones, and keep their values."""
+    from pagemill.llm import quality, simhash
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("*", *[f"doc_id * {i} as {c}" for i, c in enumerate(("__w", "__wk", "__h", "__k", "__n", "__m", "__c", "__i", "__id", "key", "copies"))])
+    for stage in (quality.quality_filter, simhash.keep_one, mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert out.where("__wk <> doc_id or __i <> 7 * doc_id or copies <> 10 * doc_id").count() == 0 < out.count()
+        assert stage(docs.limit(0)).count() == 0
+
+
 def test_language_id(spark, documents, none):
     train = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(train)
@@ -368,8 +390,11 @@ def test_pipeline_stages(spark, documents):
         if name == "near_dedup":
             assert len(after) == after.total() == len({r.component_id for r in simhash.near_duplicates(docs).collect()})
         if name == "decontaminate":
-            leaks = {r.doc_id for r in decontam.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-            assert after == Counter({k: n for k, n in before.items() if k not in leaks})
+            items = spark.read.parquet(f"{sf}/benchmark.parquet")
+            every = docs.select("doc_id", "text").collect()
+            numbered = spark.createDataFrame([(i, r.text) for i, r in enumerate(every)], "doc_id long, text string")
+            leaks = {r.doc_id for r in decontam.contaminated(numbered, items).collect()}
+            assert after == Counter(r.doc_id for i, r in enumerate(every) if i not in leaks)
         if name == "mix":
             assert set(after) <= set(before) and after.total() > before.total()
         if name != "tokens":
