@@ -9,7 +9,8 @@
 3.  Every window of every document (lengths of about an item's, a quarter apart) is projected
     and whitened, weak components less than fully (in a small corpus they tell near copies apart); windows with a cosine of
     ``COSINE`` to an item are candidates.
-4.  A candidate must share enough of the item's words (an upper bound of the next step), then the longest common
+4.  A candidate must share enough of the item's words (an upper bound of the next step, counted for all windows and items at
+    once and so applied before the cosine), and be a peak of shared words among the windows around it; then the longest common
     subsequence of the item and the surroundings decides: a share of ``LCS_SURE`` of
     the item, or of ``LCS_LIKELY`` with half of the item's answer (its last quarter) in it as well.
 
@@ -38,6 +39,7 @@ LENGTHS = (16, 32, 48, 64)
 COSINE = 0.3  # the cosine of a text with LCS_LIKELY of the words, half a step off, less the noise of the sketch
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.5
 ITEM_BLOCK = 4000
+ITEMS_AT_ONCE = 256
 TASK_BYTES = 64 << 20
 _SEED = 6
 _PIECE = 1 << 19
@@ -184,9 +186,32 @@ class Items:
         self.kind[norm == 0] = -1
         # a window longer than the item holds other words too, one shorter lacks some of its words
         share = self.size / lengths[self.kind]
+        by_kind = {k: np.flatnonzero(self.kind == k) for k in range(len(lengths))}
+        #: for each window length, (items, their member columns), a few at a time
+        self.parts = {k: [(few, np.ascontiguousarray(self.member[few].T)) for few in (own[x : x + ITEMS_AT_ONCE] for x in range(0, len(own), ITEMS_AT_ONCE))] for k, own in by_kind.items()}
         self.least = COSINE * np.sqrt(np.minimum(share, 1 / np.maximum(share, 1e-9))).astype(np.float32)
 
 
+def peaks(doc: np.ndarray, item: np.ndarray, start: np.ndarray, common: np.ndarray, radius: int) -> np.ndarray:
+    """The windows that have more common words than any other of the same document and item within ``radius`` cells,
+    and those without such a window within ``radius``: the region around a peak holds that of the windows beside it."""
+    order = np.lexsort((start, item, doc))
+    doc, item, start, common = doc[order], item[order], start[order], common[order]
+    n = len(order)
+    top, beside = np.ones(n, bool), np.zeros(n, bool)
+    pairs = []
+    for r in range(1, radius + 1):
+        a = np.flatnonzero((doc[r:] == doc[:-r]) & (item[r:] == item[:-r]) & (start[r:] - start[:-r] <= radius)) if n > r else np.zeros(0, np.int64)
+        b = a + r
+        pairs.append((a, b))
+        top[a[common[b] > common[a]]] = False
+        top[b[common[a] >= common[b]]] = False
+    for a, b in pairs:
+        beside[a[top[b]]] = True
+        beside[b[top[a]]] = True
+    return order[top | ~beside]
+
+
 def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items, vectors: np.ndarray) -> list[tuple[int, int, float, int, int, int]]:
     """(document, item, cosine, LCS, answer LCS, first word of the region): the best region of each pair."""
     count = np.diff(first)
@@ -202,8 +227,7 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
     np.cumsum(cell, axis=0, dtype=np.float64, out=sums[1:])
     best: dict[tuple[int, int], tuple] = {}
     for kind, length in enumerate(items.lengths):
-        own = np.flatnonzero(items.kind == kind)
-        if not len(own):
+        if not items.parts[kind]:
             continue
         span = length // CELL
         step = max(1, span // 4)
@@ -211,37 +235,48 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
         doc = np.repeat(np.arange(len(count)), per)
         start = cell_first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step
         end = np.minimum(start + span, cell_first[1:][doc])
-        latent, target, least = sums[end] - sums[start], items.latent[own].T, items.least[own]
+        latent = sums[end] - sums[start]
         latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]).astype(np.float32)
-        for low in range(0, len(doc), 1 << 14):
-            cosine = latent[low : low + (1 << 14)] @ target
-            w, j = np.nonzero(cosine >= least)
-            if not len(w):
+        near = []
+        for few, member in items.parts[kind]:
+            # words of each cell that the item has, as prefix sums; the item may reach over a window's ends by a quarter
+            held = np.zeros((len(columns[0]) + 1, len(few)), np.int32)
+            cell_held = member[columns[0]]
+            for c in columns[1:]:
+                cell_held += member[c]
+            np.cumsum(cell_held, axis=0, out=held[1:])
+            enough = np.ceil((LCS_LIKELY - 0.25) * items.size[few] - 1e-9).astype(np.int32)
+            target, least = items.latent[few].T, items.least[few]
+            for low in range(0, len(doc), 1 << 13):
+                part = slice(low, low + (1 << 13))
+                w, j = np.nonzero(held[end[part]] - held[start[part]] >= enough)
+                if len(w):
+                    # an item's words are rarer than its neighbours in the latent space: the cosine of few pairs is computed
+                    score = np.einsum("ij,ij->i", latent[part][w], target.T[j])
+                    good = score >= least[j]
+                    w, j, score = w[good] + low, j[good], score[good]
+                    near.append((w, few[j], score, held[end[w], j] - held[start[w], j]))
+        if not near:
+            continue
+        w, item, score, common = (np.concatenate(x) for x in zip(*near))
+        for x in peaks(doc[w], item, start[w], common, max(1, span // 3)).tolist():
+            d, i = int(doc[w[x]]), int(item[x])
+            at = int(start[w[x]] - cell_first[d]) * CELL
+            n = int(items.size[i])
+            a, b = max(0, at - length // 2 - CELL), min(int(count[d]), at + length + length // 2 + CELL)
+            region = word[first[d] + a : first[d] + b].tolist()
+            masks = items.masks[i]
+            if sum(masks[t].bit_count() for t in masks.keys() & set(region)) < LCS_LIKELY * n:
                 continue
-            score, w, j = cosine[w, j], w + low, own[j]
-            # words of the window that the item has; the item may reach over its ends by a quarter
-            place = np.minimum(start[w][:, None] * CELL + np.arange(length), len(slots) - 1)
-            held = np.where(place < end[w][:, None] * CELL, slots[place], TERMS)
-            common = items.member[j[:, None], held].sum(1)
-            for x in np.flatnonzero(common >= (LCS_LIKELY - 0.25) * items.size[j]).tolist():
-                d, i = int(doc[w[x]]), int(j[x])
-                at = int(start[w[x]] - cell_first[d]) * CELL
-                n = int(items.size[i])
-                a, b = max(0, at - length // 2 - CELL), min(int(count[d]), at + length + length // 2 + CELL)
-                region = word[first[d] + a : first[d] + b].tolist()
-                there = set(region)
-                masks = items.masks[i]
-                if sum(m.bit_count() for t, m in masks.items() if t in there) < LCS_LIKELY * n:
-                    continue
-                common_n = lcs(region, masks, n)
-                if common_n < LCS_LIKELY * n:
-                    continue
-                tail, tail_n = items.answers[i]
-                answer = lcs(region, tail, tail_n)
-                if common_n >= LCS_SURE * n or answer >= ANSWER * tail_n:
-                    now = (common_n, answer, float(score[x]), -a)
-                    if now > best.get((d, i), (-1,)):
-                        best[d, i] = now
+            common_n = lcs(region, masks, n)
+            if common_n < LCS_LIKELY * n:
+                continue
+            tail, tail_n = items.answers[i]
+            answer = lcs(region, tail, tail_n)
+            if common_n >= LCS_SURE * n or answer >= ANSWER * tail_n:
+                now = (common_n, answer, float(score[x]), -a)
+                if now > best.get((d, i), (-1,)):
+                    best[d, i] = now
     return [(d, i, s, n, t, -a) for (d, i), (n, t, s, a) in sorted(best.items())]
 
 
