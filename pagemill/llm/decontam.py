@@ -180,6 +180,7 @@ class Items:
         norm = np.linalg.norm(latent, axis=1)
         self.latent = latent / np.maximum(norm, 1e-12)[:, None]
         self.size = np.diff(first)
+        self.sizes, self.sets = self.size.tolist(), [set(m) for m in self.masks]
         self.lengths = window_lengths(int(self.size.max(initial=0)))
         lengths = np.array(self.lengths)
         self.kind = np.abs(lengths[None, :] - self.size[:, None]).argmin(1)
@@ -226,6 +227,7 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
         cell += vectors[own]
     np.cumsum(cell, axis=0, dtype=np.float64, out=sums[1:])
     best: dict[tuple[int, int], tuple] = {}
+    text = word.tolist()
     for kind, length in enumerate(items.lengths):
         if not items.parts[kind]:
             continue
@@ -235,8 +237,8 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
         doc = np.repeat(np.arange(len(count)), per)
         start = cell_first[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step
         end = np.minimum(start + span, cell_first[1:][doc])
-        latent = sums[end] - sums[start]
-        latent = (latent / np.maximum(np.linalg.norm(latent, axis=1), 1e-12)[:, None]).astype(np.float32)
+        latent = (sums[end] - sums[start]).astype(np.float32)
+        latent /= np.maximum(np.sqrt(np.einsum("ij,ij->i", latent, latent)), 1e-12)[:, None]
         near = []
         for few, member in items.parts[kind]:
             # words of each cell that the item has, as prefix sums; the item may reach over a window's ends by a quarter
@@ -249,24 +251,22 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
             target, least = items.latent[few].T, items.least[few]
             for low in range(0, len(doc), 1 << 13):
                 part = slice(low, low + (1 << 13))
-                w, j = np.nonzero(held[end[part]] - held[start[part]] >= enough)
+                cosine = latent[part] @ target
+                shared = held[end[part]] - held[start[part]]
+                w, j = np.nonzero((cosine >= least) & (shared >= enough))
                 if len(w):
-                    # an item's words are rarer than its neighbours in the latent space: the cosine of few pairs is computed
-                    score = np.einsum("ij,ij->i", latent[part][w], target.T[j])
-                    good = score >= least[j]
-                    w, j, score = w[good] + low, j[good], score[good]
-                    near.append((w, few[j], score, held[end[w], j] - held[start[w], j]))
+                    near.append((w + low, few[j], cosine[w, j], shared[w, j]))
         if not near:
             continue
         w, item, score, common = (np.concatenate(x) for x in zip(*near))
-        for x in peaks(doc[w], item, start[w], common, max(1, span // 3)).tolist():
-            d, i = int(doc[w[x]]), int(item[x])
-            at = int(start[w[x]] - cell_first[d]) * CELL
-            n = int(items.size[i])
-            a, b = max(0, at - length // 2 - CELL), min(int(count[d]), at + length + length // 2 + CELL)
-            region = word[first[d] + a : first[d] + b].tolist()
-            masks = items.masks[i]
-            if sum(masks[t].bit_count() for t in masks.keys() & set(region)) < LCS_LIKELY * n:
+        x = peaks(doc[w], item, start[w], common, max(1, span // 3))
+        d = doc[w[x]]
+        at = (start[w[x]] - cell_first[d]) * CELL
+        low, high = np.maximum(0, at - length // 2 - CELL), np.minimum(count[d], at + length + length // 2 + CELL)
+        for d, i, a, b, base, own_score in zip(d.tolist(), item[x].tolist(), low.tolist(), high.tolist(), first[d].tolist(), score[x].tolist()):
+            region, masks, n = text[base + a : base + b], items.masks[i], items.sizes[i]
+            there = items.sets[i].intersection(region)
+            if len(there) + n - len(masks) < LCS_LIKELY * n or sum(masks[t].bit_count() for t in there) < LCS_LIKELY * n:
                 continue
             common_n = lcs(region, masks, n)
             if common_n < LCS_LIKELY * n:
@@ -274,7 +274,7 @@ def matches(word: np.ndarray, term: np.ndarray, first: np.ndarray, items: Items,
             tail, tail_n = items.answers[i]
             answer = lcs(region, tail, tail_n)
             if common_n >= LCS_SURE * n or answer >= ANSWER * tail_n:
-                now = (common_n, answer, float(score[x]), -a)
+                now = (common_n, answer, own_score, -a)
                 if now > best.get((d, i), (-1,)):
                     best[d, i] = now
     return [(d, i, s, n, t, -a) for (d, i), (n, t, s, a) in sorted(best.items())]
