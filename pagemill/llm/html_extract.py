@@ -2,10 +2,17 @@
 
 A page is cut into blocks at block-level tags.  Pass one looks at each block by
 itself: blocks in parts that are never article text (menus, forms, footers, marked adverts, notices,
-comments, ...) and link-dense blocks are bad; long blocks rich in stop words are good; the
+comments, ...) and link-dense blocks are bad; long blocks rich in stop words, or made of whole sentences, are good; the
 rest is short or nearly good.  Pass two gives these the label of their nearest decided neighbours; inside an
 ``article`` or ``main`` element only blocks of that element are neighbours.
 
+Stop words are those of the fixed list and, as any language's commonest words are its shortest, all words of up to
+``SHORT_WORD`` letters.  Scripts without spaces between words count signs instead, each for ``SIGN`` letters, and clause marks for stop words.
+
+A class or id name marks a part for sure if it is a marking word itself, is made of marking words and words for boxes only, or has one of the
+``SURE_WORDS``.  A name that merely has a marking word in it (``social-science``) does so with a second sign: blocks there are bad if
+they are short, have many links or few stop words.
+
 Every page is handled whole and by itself, in time linear in its length.
 
 Defined results: null or empty html: empty text, 0; unclosed tags, comments and
@@ -31,44 +38,72 @@ STOP_WORDS = frozenset(
     "el los las y del por con para una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos".split()
 )
 # Elements that end a block, elements whose content is no text, parts of a page that are no article text.
-BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW_TAGS = "script|style|title|textarea|noscript|template|iframe|svg|math|object|noembed|noframes|xmp|select|button"
+BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+RAW_TAGS = "script|style|title|textarea|template|iframe|svg|noembed|noframes|xmp|select|button"
 DROP_TAGS = frozenset("nav footer aside form menu dialog fieldset head".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social related recommended comment comments reply replies disqus respond pagination pager search widget skip toolbar paywall".split())
+SURE_WORDS = frozenset("advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr login masthead nav navbar navigation newsletter pagination paywall popup promo promoted replies sidebar signup sponsored subscribe subscription".split())
+BOX_WORDS = frozenset("bar block bottom box container google inner left list outer page panel right site slot top unit wrap wrapper".split())
+NOT_WORDS = frozenset("closed free has no non not off open with without".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
+# Ends of sentences and marks between clauses, in several scripts.
+SENTENCE_ENDS = ".!?\u2026\u0589\u061f\u06d4\u0964\u1362\u3002\uff01\uff1f"
+CLAUSE_MARKS = SENTENCE_ENDS + ",;:\u3001\uff0c\uff1b\uff1a "
 
 MAX_LINK_DENSITY = 0.5
+SOME_LINKS = 0.25
 SHORT = 70
 LONG = 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
+SHORT_WORD = 3
+#: Letters that a sign of a script without spaces stands for, and the most signs of a clause of running text.
+SIGN, CLAUSE = 3, 30
+#: Words (or signs) of a sentence of running text.
+SENTENCE = (4, 60)
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
-_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# Han, kana, Thai, Lao, Tibetan, Burmese and Khmer: no spaces between words
+_SIGNS = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_ENDS = re.compile(rf"[{re.escape(SENTENCE_ENDS)}]+")
+_MARKS = re.compile(rf"[{re.escape(CLAUSE_MARKS)}]+")
+_NO, _PERHAPS, _SURE = range(3)
 
 
 class Block:
     __slots__ = ("article", "dropped", "label", "link", "text")
 
-    def __init__(self, text: str, link: int, dropped: bool, article: int):
+    def __init__(self, text: str, link: int, dropped: int, article: int):
         self.text, self.link, self.dropped, self.article, self.label = text, link, dropped, article, ""
 
 
-def _drops(tag: str, attributes: str, in_article: bool) -> bool:
+def _marked(name: str) -> int:
+    """Whether a class or id name marks a part that is no article text."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    if not any(p in DROP_WORDS or p in SURE_WORDS for p in parts):
+        return _NO
+    if any(p in NOT_WORDS for p in parts):
+        return _PERHAPS
+    return _SURE if all(p in DROP_WORDS or p in BOX_WORDS for p in parts) or any(p in SURE_WORDS for p in parts) else _PERHAPS
+
+
+def _drops(tag: str, attributes: str, in_article: bool) -> int:
     if tag in DROP_TAGS or (tag == "header" and not in_article):
-        return True
+        return _SURE
+    out = _PERHAPS if tag == "noscript" else _NO
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if tag not in ("body", "html", "article", "main") and any(w.lower() in DROP_WORDS for w in _CAMEL.findall(value)):
-                return True
+            if tag not in ("body", "html", "article", "main"):
+                out = max([out, *map(_marked, value.split())])
         elif name == "role" and value.lower() in DROP_ROLES:
-            return True
+            return _SURE
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+            return _SURE
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -76,14 +111,14 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     link: list[str] = []
-    drop: list[list] = []  # [tag, depth] of open parts that are dropped
+    drop: list[list] = []  # [tag, depth, how surely] of open parts that are marked
     article = depth = in_link = number = 0
 
     def flush() -> None:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, len(" ".join(html.unescape("".join(link)).split())), bool(drop), article))
+                out.append(Block(whole, len(" ".join(html.unescape("".join(link)).split())), max((d[2] for d in drop), default=_NO), article))
             text.clear()
             link.clear()
 
@@ -125,14 +160,17 @@ def blocks_of(page: str) -> list[Block]:
                 depth -= 1
                 if not depth:
                     article = 0
-        if drop and drop[-1][0] == tag:
+        how = _NO if closing else _drops(tag, attributes, bool(depth))
+        if how > max((d[2] for d in drop), default=_NO):
+            if tag not in BLOCK_TAGS:
+                flush()
+            drop.append([tag, 1, how])
+        elif drop and drop[-1][0] == tag:
+            if closing and drop[-1][1] == 1 and tag not in BLOCK_TAGS:
+                flush()
             drop[-1][1] += -1 if closing else 1
             if not drop[-1][1]:
                 drop.pop()
-        elif not closing and _drops(tag, attributes, bool(depth)):
-            if tag not in BLOCK_TAGS:
-                flush()
-            drop.append([tag, 1])
         elif closing and any(d[0] == tag for d in drop):
             while drop[-1][0] != tag:
                 drop.pop()
@@ -145,18 +183,34 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def measures(text: str, stop_words: frozenset = STOP_WORDS) -> tuple[float, float, bool]:
+    """(length in letters, share of stop words, whether it is two or more whole sentences) of a block."""
+    signs = len(_SIGNS.findall(text))
+    if 2 * signs > len(_WORDS.sub("", text)) + signs and signs > len(text) / 3:
+        n, size = signs, len(text) + (SIGN - 1) * signs
+        stops = min(1.0, STOP_HIGH * CLAUSE * len(_MARKS.findall(text)) / n)
+    else:
+        words = _WORDS.findall(text.lower())
+        n, size = len(words), len(text)
+        stops = sum(len(w) <= SHORT_WORD or w in stop_words for w in words) / n if n else 0.0
+    ends = len(_ENDS.findall(text))
+    return size, stops, ends > 1 and SENTENCE[0] <= n / ends <= SENTENCE[1]
+
+
 def classify(blocks: list[Block], stop_words: frozenset = STOP_WORDS) -> None:
     """Sets each block's label to good or bad."""
     for b in blocks:
-        words = _WORDS.findall(b.text.lower())
-        stops = sum(w in stop_words for w in words) / len(words) if words else 0.0
+        size, stops, whole = measures(b.text, stop_words)
         links = b.link / len(b.text)
-        if b.dropped or links > MAX_LINK_DENSITY:
+        prose = stops >= STOP_HIGH or (whole and links <= SOME_LINKS)
+        if b.dropped == _SURE or links > MAX_LINK_DENSITY:
+            b.label = "bad"
+        elif b.dropped and (size < SHORT or links > SOME_LINKS or stops < STOP_LOW):
             b.label = "bad"
-        elif len(b.text) < SHORT:
+        elif size < SHORT:
             b.label = "bad" if b.link and not b.article else "short"
-        elif stops >= STOP_HIGH:
-            b.label = "good" if len(b.text) >= LONG or b.article else "near"
+        elif prose:
+            b.label = "good" if size >= LONG or b.article else "near"
         elif stops >= STOP_LOW or b.article:
             b.label = "near"
         else:

@@ -366,6 +366,60 @@ def test_page_without_article():
     assert html_extract.main_text(page).count("\n\n") == 2 and "Menu" not in html_extract.main_text(page)
 
 
+ENGLISH = "It was the best of times and it was the worst of times, and all of them were there to see what would come of it in the end. " * 3
+PROSE = {
+    "en": ENGLISH,
+    "it": "La mattina il sole entrava dalla finestra e la casa era piena di luce. Nessuno parlava, ma tutti sapevano che il giorno sarebbe stato lungo e che la sera non avrebbe portato riposo. Il vecchio guardava il mare.",
+    "ru": "Утром над рекой стоял густой туман, и лодки у берега казались серыми тенями. Старик вышел из дома, посмотрел на небо и медленно пошёл к воде, где его ждали рыбаки. Никто не говорил ни слова, только тихо плескались волны.",
+    "pl": "Rano nad rzeką unosiła się gęsta mgła, a łodzie przy brzegu wyglądały jak szare cienie. Starzec wyszedł z domu, spojrzał na niebo i powoli ruszył w stronę wody, gdzie czekali na niego rybacy. Nikt nie powiedział ani słowa.",
+    "fi": "Aamulla joen yllä leijui sakea sumu, ja rannan veneet näyttivät harmailta varjoilta. Vanhus astui ulos talostaan, katsoi taivaalle ja lähti hitaasti kohti vettä, missä kalastajat odottivat häntä. Kukaan ei sanonut sanaakaan.",
+    "zh": "清晨的河面上笼罩着浓雾，岸边的小船看上去像灰色的影子。老人走出家门，抬头看了看天空，然后慢慢地向水边走去，渔夫们正在那里等他。没有人说话，只有波浪轻轻地拍打着岸边，远处传来几声鸟叫。",
+    "ja": "朝の川には濃い霧が立ちこめ、岸辺の舟は灰色の影のように見えた。老人は家を出て空を見上げ、漁師たちの待つ水辺へゆっくりと歩いていった。誰も口をきかず、波の音だけが静かに響いていた。遠くで鳥が鳴いた。",
+}
+
+
+def page_of(text, name="content"):
+    menu = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(6))
+    return f'<body><div class="menu"><ul>{menu}</ul></div><div class="{name}"><p>{text}</p><p>{text}</p></div><div><a href=z>Next page</a> <a href=y>Contact</a></div></body>'
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_any_language_without_article(lang):
+    text = PROSE[lang].strip()
+    assert html_extract.main_text(page_of(text)) == f"{text}\n\n{text}"
+
+
+@pytest.mark.parametrize("name", ["social-science", "ad-free", "widget-area", "related-work", "article-notice", "search-results-article", "content has-sidebar", "shareholders"])
+def test_innocent_class_names(name):
+    text = ENGLISH.strip()
+    assert html_extract.main_text(page_of(text, name)) == f"{text}\n\n{text}"
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "comment-body", "cookie-notice", "site-footer", "sidebar right", "newsletterSignup", "google_ad_slot", "main-nav"])
+def test_marked_parts_go(name):
+    page = page_of(ENGLISH).replace("</body>", f'<div class="{name}"><div><p>{"This is what the marked part of the page has to say to all of its readers. " * 4}</p></div></div></body>')
+    assert html_extract.main_text(page) == "\n\n".join([ENGLISH.strip()] * 2)
+
+
+def test_parts_inside_marked_parts():
+    page = f'<div class="related-work"><p>{ENGLISH}</p><div class="ad"><p>{ENGLISH} Buy.</p></div><p>{ENGLISH}</p></div><p>{ENGLISH}</p>'
+    assert html_extract.main_text(page) == "\n\n".join([ENGLISH.strip()] * 3)
+
+
+def test_mathematics_stays():
+    page = f"<article><p>{ENGLISH} We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>"
+    assert html_extract.main_text(page).endswith("We have x=2 here.")
+
+
+def test_pages_of_any_table(spark):
+    df = spark.createDataFrame([(1, None, page_of(ENGLISH)), (1, "u", page_of(ENGLISH)), (None, "u", None), (2, "u", "")], "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars", "3 as doc_id")
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    long = 2 * len(ENGLISH.strip()) + 2
+    assert sorted(((r.page_id or 0, r.url, r.n_chars) for r in got.collect()), key=repr) == sorted([(1, None, long), (1, "u", long), (0, "u", 0), (2, "u", 0)], key=repr)
+    assert html_extract.extract(df.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "a &am", "<!-- open", "<script>x", "</p></div>", "<p>" * 3000, "<article>" * 50 + "x"])
 def test_broken_pages(page):
     assert isinstance(html_extract.main_text(page), str)
