@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,6 +162,18 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, delta-coded and split by byte."""
+    parts = [np.ascontiguousarray(np.diff(np.ascontiguousarray(c).view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return zstandard.compress(b"".join(parts), 1)
+
+
+def stretch(data: bytes, n: int, k: int) -> list[np.ndarray]:
+    """The ``k`` columns of ``n`` numbers that ``squeeze`` packed."""
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(k, 8, n)
+    return [np.cumsum(np.ascontiguousarray(raw[i].T).view(np.uint64).reshape(-1), dtype=np.uint64) for i in range(k)]
+
+
 def unused_prefix(docs: DataFrame) -> str:
     """A prefix that no column of ``docs`` has: for working columns beside columns of any name."""
     names, out = [c.lower() for c in docs.columns], "__w"

@@ -3,7 +3,7 @@
 import hashlib
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -101,6 +101,84 @@ def test_language_model(documents, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_scores_by_hand(documents, rows):
+    """The whole model again, word by word: core, class-count vectors, sweeps, weight."""
+    texts = [(r.text or "").encode() for r in rows]
+    ids = [brown_lm.tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 0, 1)[0].tolist() for t in texts]
+    rest = [None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 7 for r in rows]
+    train = [t for t, x in zip(ids, rest) if x != 2]
+    end = int(brown_lm.END)
+    count = Counter(w for t in train for w in t)
+    n, v = sum(count.values()), len(count)
+    signed = lambda w: w - 2**64 if w >= 2**63 else w
+    often = [w for w in count if w != end and count[w] * brown_lm.COMMON * brown_lm.CORE >= n]
+    core = sorted([*sorted(often, key=lambda w: (-count[w], signed(w)))[: brown_lm.CORE], end])
+    at = {w: i for i, w in enumerate(core)}
+    bigrams = np.zeros((len(core), len(core)), np.float32)
+    for t in train:
+        for a, b in zip([end, *t], t):
+            if a in at and b in at:
+                bigrams[at[a], at[b]] += 1
+    of = brown_lm.exchange(bigrams, min(brown_lm.CLASSES, len(core)))
+    k = int(of.max()) + 1
+    cls = {w: int(of[i]) for w, i in at.items()}
+    others = sorted(w for w in count if w not in at)
+    assert len(others) > 1000
+    place = {w: i for i, w in enumerate(others)}
+    vectors = np.zeros((len(others), 2 * k))
+    for t in train:
+        for a, b, c in zip([end, *t], t, [*t[1:], None]):
+            if b in place:
+                if a in at:
+                    vectors[place[b], cls[a]] += 1
+                if c in at:
+                    vectors[place[b], k + cls[c]] += 1
+    core_moves = np.zeros((k, k))
+    for i, j in zip(*np.nonzero(bigrams)):
+        core_moves[of[i], of[j]] += bigrams[i, j]
+    model = brown_lm.Model(core_moves, np.maximum(core_moves.sum(0), 1))
+    for _ in range(brown_lm.WORD_SWEEPS):
+        own = model.classes(vectors, np.array([count[w] for w in others]))
+        moves, mass = core_moves.copy(), np.zeros(k)
+        for w in core:
+            mass[cls[w]] += count[w]
+        for i, w in enumerate(others):
+            mass[own[i]] += count[w]
+            moves[:, own[i]] += vectors[i, :k]
+            moves[own[i]] += vectors[i, k:]
+        model = brown_lm.Model(moves, np.maximum(mass, 1))
+    cls |= {w: int(c) for w, c in zip(others, own)}
+
+    def scored(t, weight, left_out):
+        out, before = 0.0, cls[end]
+        for w in t:
+            c, m = cls.get(w), count[w]
+            if left_out:
+                classed = (max(model.moves[before, c] - 1, 0) + brown_lm.ALPHA) / (max(model.moves[before].sum() - 1, 0) + brown_lm.ALPHA * k) * (m - 1) / max(model.mass[c] - 1, 1)
+                plain = m / (n + v)
+            else:
+                classed = 0.0 if c is None else (model.share[c] if before is None else model.transition[before, c]) * m / model.mass[c]
+                plain = (m + 1) / (n + v + 1)
+            out += math.log10(weight * classed + (1 - weight) * plain)
+            before = c
+        return out
+
+    total = {w: sum(scored(t, w, True) for t, x in zip(ids, rest) if x == brown_lm.CHECKED) for w in brown_lm.WEIGHTS}
+    weight = max(total, key=total.get)
+    got = defaultdict(list)
+    for r in brown_lm.score(documents).collect():
+        assert r.weight == weight
+        got[r.doc_id, r.n_tokens].append(r.score)
+    for r, t in zip(rows, ids):
+        assert min(abs(x / scored(t, weight, False) - 1) for x in got[r.doc_id, len(t)]) < 1e-6
+
+
+def test_language_model_without_training(spark, documents):
+    none = documents.where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+    got = brown_lm.score(none).collect()
+    assert got and all(r.n_known == r.train_tokens == r.base_score == 0 for r in got)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(1)
     kind = rng.permutation(np.arange(40) % 2)
