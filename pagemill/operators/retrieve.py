@@ -1,9 +1,8 @@
 """Retrieval: dense, BM25 and fused rankings, neighbour bleed, structure-chunk search.
 
 Rankings are long rows (qid, doc_id, page_num, score, rank).  A stated query set
-(collected in blocks of ``QUERY_BLOCK``) meets all pages as one matrix product per Arrow
-batch, and a batch sends on its best k per query only, so what is shuffled is
-k rows per query and batch, whatever the number of pages.
+(in blocks of ``QUERY_BYTES``) meets all pages, and a task keeps and sends on its best k per query only,
+ties included, so what is shuffled is k rows per query and task, whatever the number of pages.
 """
 
 from __future__ import annotations
@@ -18,7 +17,10 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import dot, tokens
 
-QUERY_BLOCK = 2000
+#: Bytes of queries that meet all pages in one scan.
+QUERY_BYTES = 32 << 20
+#: Rows and queries of one matrix of scores, and its most cells.
+ROWS, COLUMNS, CELLS = 2000, 2000, 4_000_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -28,54 +30,99 @@ def top_k(scored: DataFrame, k: int, by: str = "qid", *ties: Column) -> DataFram
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    held = []
+def _query_blocks(queries: DataFrame, size) -> Iterator[list]:
+    """The queries' rows in blocks of about ``QUERY_BYTES``; ``size``: bytes of a row."""
+    held, total = [], 0
     for row in queries.toLocalIterator():
         held.append(row)
-        if len(held) == QUERY_BLOCK:
+        total += size(row)
+        if total >= QUERY_BYTES:
             yield held
-            held = []
+            held, total = [], 0
     yield held
 
 
-def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the best k rows of each column, ties included."""
-    n = len(score)
-    if n <= k:
-        return tuple(x.ravel() for x in np.indices(score.shape))
-    least = np.partition(score, n - k, axis=0)[n - k]
-    return np.nonzero(score >= least - 1e-9)
+_RANKED = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("page_num", pa.int64()), ("score", pa.float64())])
+_RANKED_DDL = "qid long, doc_id long, page_num long, score double"
+
+
+class Best:
+    """The best k (score, then doc and page) of each of ``n`` queries among all the scores that a task has seen."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.size = n, k, 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, low: int, score: np.ndarray, doc: np.ndarray, page: np.ndarray) -> None:
+        """Scores of (row, query ``low`` + column); rows in the order of doc and page; -inf is no score."""
+        score = np.round(score, 9)
+        m = len(score)
+        if m > self.k:
+            least = np.partition(score, m - self.k, axis=0)[m - self.k]
+            above, level = score > least, score == least
+            # of rows at the least score the first ones stay, so that a query never has more than k
+            keep = above | (level & (np.cumsum(level, axis=0) <= self.k - above.sum(0)))
+            row, q = np.nonzero(keep & np.isfinite(score))
+        else:
+            row, q = np.nonzero(np.isfinite(score))
+        self.parts.append((q + low, -score[row, q], doc[row], page[row]))
+        self.size += len(q)
+        if self.size > 4 * self.n * self.k + (1 << 16):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        q, score, doc, page = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0), *[np.zeros(0, np.int64)] * 2)
+        order = np.lexsort((page, doc, score, q))
+        start = np.searchsorted(q[order], np.arange(self.n))
+        order = order[np.arange(len(order)) - start[q[order]] < self.k]
+        self.parts = [(q[order], score[order], doc[order], page[order])]
+        self.size = len(order)
+        return self.parts[0]
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        q, score, doc, page = self.cut()
+        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(doc), pa.array(page), pa.array(-score)], schema=_RANKED)
+
+
+def _in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
+    doc, page = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+    return batch.take(pa.array(np.lexsort((page, doc))))
+
+
+def _ranked(pages: DataFrame, blocks: Iterator[list], scorer, k: int) -> DataFrame:
+    """Best k of all blocks of queries; every task sends on at most k rows a query."""
+    out = None
+    for block in blocks:
+        part = pages.mapInArrow(scorer(block), _RANKED_DDL) if block else pages.sparkSession.createDataFrame([], _RANKED_DDL)
+        out = part if out is None or not block else out.unionByName(part)
+    return top_k(out, k)
 
 
 def dense_topk(pages: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """D3, D4 (rows without a vector are left out): inner products of ``queries`` (qid long, emb) with all ``pages`` (doc_id long, page_num long, emb), best k."""
-    out = None
-    schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("page_num", pa.int64()), ("score", pa.float64())])
 
     def scorer(rows: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.array([r["qid"] for r in rows], np.int64)
             matrix = np.array([r["emb"] for r in rows], np.float64)
+            best = Best(len(ids), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                doc, page = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-                flat = batch.column(2).flatten()
-                score = np.asarray(flat, np.float64).reshape(batch.num_rows, -1) @ matrix.T
-                if exclude_self:
-                    score[page[:, None] == ids[None, :]] = -np.inf
-                p, q = _best(score, k)
-                own = score[p, q]
-                keep = np.isfinite(own)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q][keep]), pa.array(doc[p][keep]), pa.array(page[p][keep]), pa.array(own[keep])], schema=schema)
+                for low in range(0, batch.num_rows, ROWS):
+                    part = _in_order(batch.slice(low, ROWS))
+                    doc, page = np.asarray(part.column(0)), np.asarray(part.column(1))
+                    emb = np.asarray(part.column(2).flatten(), np.float64).reshape(part.num_rows, -1)
+                    for q in range(0, len(ids), COLUMNS):
+                        score = emb @ matrix[q : q + COLUMNS].T
+                        if exclude_self:
+                            score[page[:, None] == ids[None, q : q + COLUMNS]] = -np.inf
+                        best.add(q, score, doc, page)
+            yield best.rows(ids)
 
         return run
 
     picked = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_num").cast("long").alias("page_num"), F.col("emb").cast("array<double>").alias("emb")).where("emb is not null")
-    for block in _query_blocks(queries.select(F.col("qid").cast("long").alias("qid"), F.col("emb").cast("array<double>").alias("emb")).where("emb is not null")):
-        part = picked.limit(0).select(F.lit(0).cast("long").alias("qid"), "doc_id", "page_num", F.lit(0.0).alias("score")) if not block else picked.mapInArrow(scorer(block), "qid long, doc_id long, page_num long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k)
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("emb").cast("array<double>").alias("emb")).where("emb is not null")
+    return _ranked(picked, _query_blocks(asked, lambda r: 8 * len(r["emb"])), scorer, k)
 
 
 def dense_scores(pairs: DataFrame, left: str = "q_emb", right: str = "emb") -> DataFrame:
@@ -96,59 +143,67 @@ def term_stats(docs: DataFrame) -> DataFrame:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Okapi BM25 of ``queries`` (qid, text) over ``docs`` (doc_id long, page_num long, text), best k.
 
-    Query terms count as often as they occur; negative idf becomes EPSILON times the mean idf of all terms.
+    Query terms count as often as they occur; a query without known terms gets the first pages; negative idf becomes EPSILON times the mean idf of all terms.  A page's score is summed over
+    the terms that it has and the queries that have these, so the work is that of the postings met, not of pages times terms.
     """
     tokenized = docs.select("doc_id", "page_num", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     every = term_stats(tokenized).persist(StorageLevel.MEMORY_AND_DISK)
     size, stats = every.where("term is null").first(), every.where("term is not null")
     n, mean_length = (size["df"], size["length"] / size["df"] or 1.0) if size else (0, 1.0)
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    out = None
-    schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("page_num", pa.int64()), ("score", pa.float64())])
-    ddl = "qid long, doc_id long, page_num long, score double"
     mean_idf = stats.agg(F.avg(idf).alias("m")).first()["m"] or 0.0
 
-    def scorer(ids: list, vocabulary: dict, weights: np.ndarray):
+    def scorer(rows: list):
+        names = sorted({t for r in rows for t in r["terms"]})
+        wanted = queries.sparkSession.createDataFrame([(t,) for t in names], "term string")
+        found = {r["term"]: r["idf"] for r in stats.join(wanted, "term", "left_semi").select("term", idf.alias("idf")).collect()}
+        # postings of the block: for each term the queries that have it, with idf times occurrences
+        held: dict[str, dict[int, float]] = {}
+        for j, r in enumerate(rows):
+            for t in r["terms"]:
+                if t in found:
+                    own = held.setdefault(t, {})
+                    own[j] = own.get(j, 0.0) + (found[t] if found[t] >= 0 else EPSILON * mean_idf)
+        names = sorted(held)
+        count = np.array([len(held[t]) for t in names], np.int64)
+        first = np.cumsum(count) - count
+        asking = np.array([j for t in names for j in held[t]], np.int64)
+        weight = np.array([w for t in names for w in held[t].values()])
+        ids = np.array([r["qid"] for r in rows], np.int64)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids = np.array(ids, np.int64)
-            names = pa.array(list(vocabulary), pa.string())
+            vocabulary, best, n_q = pa.array(names, pa.string()), Best(len(ids), k), len(ids)
+            rows_at_once = max(1, min(ROWS, CELLS // n_q))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                doc, page, terms = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
-                flat = terms.flatten()
-                length = np.asarray(terms.value_lengths().fill_null(0)).astype(float)
-                at = pa.compute.index_in(flat, value_set=names)
-                row = np.repeat(np.arange(batch.num_rows), length.astype(np.int64))
-                known = np.asarray(at.is_valid())
-                term = np.asarray(at.fill_null(0))[known].astype(np.int64)
-                for low in range(0, batch.num_rows, 2000):
-                    high = min(low + 2000, batch.num_rows)
-                    own = (row[known] >= low) & (row[known] < high)
-                    tf = np.bincount((row[known][own] - low) * len(names) + term[own], minlength=(high - low) * len(names)).reshape(high - low, -1).astype(float)
-                    score = (tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length[low:high] / mean_length))[:, None])) @ weights
-                    p, q = _best(score, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[q]), pa.array(doc[low:high][p]), pa.array(page[low:high][p]), pa.array(score[p, q])], schema=schema)
+                for low in range(0, batch.num_rows, rows_at_once):
+                    part = _in_order(batch.slice(low, rows_at_once))
+                    terms, m = part.column(2), part.num_rows
+                    length = np.asarray(terms.value_lengths().fill_null(0)).astype(np.int64)
+                    at = pa.compute.index_in(terms.flatten(), value_set=vocabulary)
+                    known = np.asarray(at.is_valid())
+                    cell, tf = np.unique(np.repeat(np.arange(m), length)[known] * len(names) + np.asarray(at.fill_null(0))[known].astype(np.int64), return_counts=True)
+                    row, term = cell // max(1, len(names)), cell % max(1, len(names))
+                    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean_length))
+                    score = np.zeros(m * n_q)
+                    # as many (row, term) cells at once as have CELLS postings
+                    edge = np.cumsum(count[term])
+                    a = 0
+                    while a < len(cell):
+                        b = max(a + 1, int(np.searchsorted(edge, (edge[a - 1] if a else 0) + CELLS, "right")))
+                        times = count[term[a:b]]
+                        ends = np.cumsum(times)
+                        posting = np.arange(ends[-1]) + np.repeat(first[term[a:b]] - (ends - times), times)
+                        score += np.bincount(np.repeat(row[a:b], times) * n_q + asking[posting], np.repeat(value[a:b], times) * weight[posting], m * n_q)
+                        a = b
+                    best.add(0, score.reshape(m, n_q), np.asarray(part.column(0)), np.asarray(part.column(1)))
+            yield best.rows(ids)
 
         return run
 
     asked = queries.select(F.col("qid").cast("long").alias("qid"), tokens(F.coalesce("text", F.lit(""))).alias("terms"))
-    for block in _query_blocks(asked):
-        terms = sorted({t for r in block for t in r["terms"]})
-        vocabulary = {t: i for i, t in enumerate(terms)}
-        if not terms:
-            part = tokenized.select(F.lit(0).cast("long").alias("qid"), "doc_id", "page_num", F.lit(0.0).alias("score")).limit(0)
-        else:
-            wanted = queries.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-            weights = np.zeros((len(terms), len(block)))
-            found = {r["term"]: r["idf"] for r in stats.join(wanted, "term", "left_semi").select("term", idf.alias("idf")).collect()}
-            for j, r in enumerate(block):
-                for t in r["terms"]:
-                    if t in found:
-                        weights[vocabulary[t], j] += found[t] if found[t] >= 0 else EPSILON * mean_idf
-            part = tokenized.mapInArrow(scorer([r["qid"] for r in block], vocabulary, weights), ddl)
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k)
+    out = _ranked(tokenized.select(F.col("doc_id").cast("long"), F.col("page_num").cast("long"), "terms"), _query_blocks(asked, lambda r: 64 * len(r["terms"]) + 64), scorer, k)
+    every.unpersist()
+    return out
 
 
 def rrf(lists: list[DataFrame], k: int = 60, weights: list[float] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-worked expectations and properties of the operators."""
 
+import numpy as np
 import pytest
 
 from pagemill.operators import analyses, answer, compare, locate, metrics, rank, retrieve, splits
@@ -157,3 +158,21 @@ def test_retrieval_of_nulls_and_nothing(spark):
     assert retrieve.bm25_topk(pages, asked, 5).where("qid = 7").orderBy("rank").first().doc_id == 1
     assert retrieve.dense_topk(pages.limit(0), asked, 5).count() == retrieve.dense_topk(pages, asked.limit(0), 5).count() == 0
     assert retrieve.bm25_topk(pages.limit(0), asked, 5).count() == retrieve.bm25_topk(pages, asked.limit(0), 5).count() == 0
+
+
+def test_rankings_send_k_rows_a_query_and_task(spark):
+    """Ties at the last place, empty queries and repeated scores: exactly the first k by score, doc and page."""
+    rng = np.random.default_rng(4)
+    words = [" ".join(rng.choice(["a", "b", "c", "d"], 4)) for _ in range(500)]
+    pages = spark.createDataFrame([(i // 7, i % 7, t, [float(x) for x in rng.integers(0, 2, 3)]) for i, t in enumerate(words)], "doc_id long, page_num long, text string, emb array<double>").repartition(3).cache()
+    queries = spark.createDataFrame([(1, "a a b"), (2, ""), (3, "zzz"), (4, None)], "qid long, text string")
+    got = [(r.qid, r.doc_id, r.page_num) for r in retrieve.bm25_topk(pages, queries, 5).orderBy("qid", "rank").collect()]
+    assert [x[1:] for x in got if x[0] != 1] == [(0, i) for i in range(5)] * 3 and len(got) == 20
+    asked = spark.createDataFrame([(1, [1.0, 0.5, 0.0]), (2, [0.0, 0.0, 0.0])], "qid long, emb array<double>")
+    rows = pages.collect()
+    want = [(q, r.doc_id, r.page_num) for q, v in ((1, (1.0, 0.5, 0.0)), (2, (0.0, 0.0, 0.0))) for r in sorted(rows, key=lambda r: (-sum(a * b for a, b in zip(v, r.emb)), r.doc_id, r.page_num))[:9]]
+    assert [(r.qid, r.doc_id, r.page_num) for r in retrieve.dense_topk(pages, asked, 9).orderBy("qid", "rank").collect()] == want
+    best = retrieve.Best(3, 2)
+    for _ in range(40):
+        best.add(0, rng.integers(0, 3, (50, 3)).astype(float), np.arange(50), np.zeros(50, np.int64))
+    assert max(len(x[0]) for x in best.parts) <= 6 and best.rows(np.arange(3)).num_rows == 6
