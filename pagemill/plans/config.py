@@ -23,21 +23,13 @@ BASE = {
     "contracts": {"fail_on_component_fallback": False, "require_reranker": None, "require_gguf_filename": None, "require_n_ctx": None, "require_bm25_backend": False},
     "runtime": {"enable_runtime_governor": False, "time_budget_hours": 8.5, "fast_mode_warmup_q": 25, "fast_context_pages_cap": 3, "fast_max_chars_per_page_cap": 2500, "fast_disable_page_stage2": True},
 }
-_GGUF = "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf"
-
-
-def _need(reranker: str, **more) -> dict:
-    return {"require_reranker": reranker, "require_gguf_filename": _GGUF, "require_n_ctx": 8192} | more
-
-
-_LADDER = ["qwen3_8b", "qwen3_4b", "qwen3_0_6b", "bge"]
 _GOVERNED = {"enable_runtime_governor": True}
 _LOCK = {"lock_to_dense_top_doc": True}
 PRESETS: dict[str, dict] = {
     "base_local": BASE,
-    "v7_baseline": {"inherits": "base_local", "rerank": {"model_preference": ["qwen3_0_6b", "bge"], "max_length": 2048, "batch_size": 4}, "llm": {"base_passes": 3, "hard_passes": 3}, "contracts": _need("qwen3_0_6b")},
+    "v7_baseline": {"inherits": "base_local", "rerank": {"model_preference": ["qwen3_0_6b", "bge"], "max_length": 2048, "batch_size": 4}, "llm": {"base_passes": 3, "hard_passes": 3}, "contracts": {"require_reranker": "qwen3_0_6b", "require_gguf_filename": "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf", "require_n_ctx": 8192}},
     "v8_quality_branch": {"inherits": "base_local", "rerank": {"model_preference": ["qwen3_4b", "bge"], "batch_size": 4}, "llm": {"top_k_context": 5, "max_chars_per_page": 4000, "base_passes": 3, "hard_passes": 3}, "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "precompute", "segment_window": 1100, "segment_stride": 256, "stage2_mode": "always"}},
-    "v9_regression": {"inherits": "base_local", "retrieval": {"top_k": 16}, "rerank": {"mode": "doc", "model_preference": ["qwen3_4b", "bge"], "batch_size": 4}, "llm": {"max_chars_per_page": 3200, "hard_passes": 3}, "contracts": _need("qwen3_4b"), "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "lazy", "stage2_mode": "adaptive"}, "runtime": _GOVERNED},
+    "v9_regression": {"inherits": "base_local", "retrieval": {"top_k": 16}, "rerank": {"mode": "doc", "model_preference": ["qwen3_4b", "bge"], "batch_size": 4}, "llm": {"max_chars_per_page": 3200, "hard_passes": 3}, "contracts": {"require_reranker": "qwen3_4b", "require_gguf_filename": "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf", "require_n_ctx": 8192}, "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "lazy", "stage2_mode": "adaptive"}, "runtime": _GOVERNED},
     "candidate_lazy_segments_v1": {"inherits": "v7_baseline", "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "lazy", "stage2_mode": "adaptive"}},
     "candidate_locked_top_doc_v1": {"inherits": "v7_baseline", "page_selection": {"strategy": "locked_top_doc_all_pages"}},
     "candidate_structure_chunks_v1": {"inherits": "v7_baseline", "retrieval": {"index_mode": "structure_chunks"}},
@@ -45,10 +37,10 @@ PRESETS: dict[str, dict] = {
     "candidate_structure_chunks_v2_doc_guard": {"inherits": "candidate_structure_chunks_v1", "retrieval": {"structure_doc_guard_enabled": True}},
     "candidate_page_summary_selector_v1": {"inherits": "v7_baseline", "page_selection": {"strategy": "summary_then_answer_aware"}},
     "candidate_avir_threshold_v1": {"inherits": "v7_baseline", "page_selection": {"strategy": "avir_threshold"}},
-    "candidate_stronger_reranker_v1": {"inherits": "v7_baseline", "rerank": {"model_preference": _LADDER[1:], "max_length": 1024}},
-    "candidate_stronger_reranker_v2_fair": {"inherits": "v7_baseline", "rerank": {"model_preference": _LADDER[1:]}, "contracts": _need("qwen3_4b")},
+    "candidate_stronger_reranker_v1": {"inherits": "v7_baseline", "rerank": {"model_preference": ["qwen3_4b", "qwen3_0_6b", "bge"], "max_length": 1024}},
+    "candidate_stronger_reranker_v2_fair": {"inherits": "v7_baseline", "rerank": {"model_preference": ["qwen3_4b", "qwen3_0_6b", "bge"]}, "contracts": {"require_reranker": "qwen3_4b", "require_gguf_filename": "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf", "require_n_ctx": 8192}},
     "candidate_v5refocus_reranker4b_fair": {"inherits": "candidate_stronger_reranker_v2_fair", "llm": {"prompt_variant": "v5_refocus"}},
-    "candidate_stronger_reranker_v3_8b_fair": {"inherits": "v7_baseline", "rerank": {"model_preference": _LADDER}, "contracts": _need("qwen3_8b")},
+    "candidate_stronger_reranker_v3_8b_fair": {"inherits": "v7_baseline", "rerank": {"model_preference": ["qwen3_8b", "qwen3_4b", "qwen3_0_6b", "bge"]}, "contracts": {"require_reranker": "qwen3_8b", "require_gguf_filename": "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf", "require_n_ctx": 8192}},
     "candidate_stronger_reranker_v3_8b_feasibility": {"inherits": "candidate_stronger_reranker_v3_8b_fair"},
     "candidate_conditional_voting_v1": {"inherits": "v7_baseline", "llm": {"base_passes": 1, "hard_passes": 3}},
     "candidate_runtime_guard_v1": {"inherits": "candidate_conditional_voting_v1", "runtime": _GOVERNED},
@@ -60,7 +52,7 @@ PRESETS: dict[str, dict] = {
     "candidate_dense_doc_lock_v1": {"inherits": "v7_baseline", "page_selection": _LOCK},
     "candidate_dense_doc_lock_v2": {"inherits": "v7_baseline", "page_selection": _LOCK | {"lock_to_dense_top_doc_min_pages": 25}},
     "candidate_dense_doc_lock_v3": {"inherits": "v7_baseline", "page_selection": _LOCK | {"lock_to_dense_top_doc_min_pages": 27}},
-    "candidate_dense_doc_lock_v3_reranker4b_fair": {"inherits": "candidate_dense_doc_lock_v3", "rerank": {"model_preference": _LADDER[1:]}, "contracts": _need("qwen3_4b")},
+    "candidate_dense_doc_lock_v3_reranker4b_fair": {"inherits": "candidate_dense_doc_lock_v3", "rerank": {"model_preference": ["qwen3_4b", "qwen3_0_6b", "bge"]}, "contracts": {"require_reranker": "qwen3_4b", "require_gguf_filename": "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf", "require_n_ctx": 8192}},
     "candidate_v5refocus_ddl_v3_reranker4b_fair": {"inherits": "candidate_dense_doc_lock_v3_reranker4b_fair", "llm": {"prompt_variant": "v5_refocus"}},
     "candidate_chat_template_v1": {"inherits": "candidate_dense_doc_lock_v3", "llm": {"use_chat_template": True}},
     "candidate_chat_template_v2": {"inherits": "candidate_dense_doc_lock_v3", "llm": {"use_chat_template": True}},

@@ -22,7 +22,9 @@ class Encoder(Protocol):
 
 
 class Answerer(Protocol):
-    def __call__(self, context: Column, options: Column, pass_no: Column) -> Column: ...
+    """``request``: a struct of prompt, system (null without a chat template), temperature, max_tokens, pass_no, context and options."""
+
+    def __call__(self, request: Column) -> Column: ...
 
 
 DIM = 256
@@ -34,17 +36,17 @@ def hashed_encoder(text: Column) -> Column:
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for hashed in batches:
-            out = []
-            for h in hashed:
-                v = np.bincount(np.asarray(h, np.int64) % DIM, minlength=DIM).astype(np.float32) if h is not None and len(h) else np.zeros(DIM, np.float32)
-                out.append(v / max(float(np.linalg.norm(v)), 1e-12))
-            yield pd.Series(out)
+            sizes = np.array([0 if h is None else len(h) for h in hashed], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(h, np.int64) for h in hashed if h is not None]])
+            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * DIM + flat % DIM, minlength=len(sizes) * DIM).reshape(-1, DIM)
+            counts = counts / np.maximum(np.linalg.norm(counts, axis=1), 1e-12)[:, None]
+            yield pd.Series(list(counts.astype(np.float32)))
 
     return encode(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << 31))))
 
 
-def overlap_answerer(context: Column, options: Column, pass_no: Column) -> Column:
-    """The option with most of its distinct words in the context; the first if tied.  All passes agree."""
-    words = tokens(context)
-    scored = F.transform(F.map_entries(options), lambda e: F.struct((-F.size(F.array_intersect(F.array_distinct(tokens(e["value"])), words))).alias("score"), e["key"].alias("letter")))
+def overlap_answerer(request: Column) -> Column:
+    """The option with most of its distinct words in the context; the first if tied.  All passes agree, whatever prompt and temperature."""
+    words = tokens(request["context"])
+    scored = F.transform(F.map_entries(request["options"]), lambda e: F.struct((-F.size(F.array_intersect(F.array_distinct(tokens(e["value"])), words))).alias("score"), e["key"].alias("letter")))
     return F.element_at(F.array_sort(scored), 1)["letter"]

@@ -10,19 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import OPTION_LETTERS, structure_chunks, with_page_summary
+from pagemill.functions.text import CHAT_SYSTEM, OPTION_LETTERS, blocks_text, longer_text, prompt, structure_chunks, with_page_summary, with_tables
 from pagemill.operators import answer as an
 from pagemill.operators import locate, rank, retrieve
 from pagemill.plans import models
-from pagemill.plans.config import check_contracts
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    """Several later steps read this: computed once (top-k rows per query, or vectors that a model had to make)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from pagemill.plans.config import ContractError, check_contracts
 
 
 @dataclass
@@ -31,14 +26,93 @@ class Plan:
     rankings: dict[str, DataFrame]
     contexts: DataFrame
     votes: DataFrame
+    requests: DataFrame
     events: list[str] = field(default_factory=list)
+    models: dict[str, str | None] = field(default_factory=dict)
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Frees what the plan has cached, once its results are written."""
+        for df in self.kept:
+            df.unpersist()
 
 
-def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.hashed_encoder, answerer=models.overlap_answerer, reranker=rank.overlap_score, strict: bool = False) -> Plan:
-    """``questions``: (qid long, question, options map<letter, text>); ``pages``: (doc_id long, page_num long, text)."""
+def page_texts(pages: DataFrame, extraction: dict, events: list[str]) -> DataFrame:
+    """A5 to A5e: (doc_id, page_num, text) by the extraction mode.
+
+    Pages may bring ``blocks`` and ``words`` (arrays of x, y, text) and ``tables`` (arrays of rows of cells); a mode whose columns
+    are missing falls back to the raw text, with an event.
+    """
+    mode, there = extraction["mode"], set(pages.columns)
+    needs = {"raw": set(), "blocks": {"blocks"}, "words": {"words"}, "blocks_plus_words": {"blocks", "words"}}[mode]
+    text: Column = F.col("text")
+    if needs - there:
+        events.append(f"extraction: {mode} -> raw")
+    elif mode == "blocks":
+        text = blocks_text("blocks")
+    elif mode == "words":
+        text = blocks_text("words", "words")
+    elif mode == "blocks_plus_words":
+        text = longer_text(blocks_text("blocks"), blocks_text("words", "words"))
+    out = pages.withColumn("text", text)
+    if extraction["table_aware"]:
+        if "tables" in there:
+            out = out.withColumn("text", with_tables("text", "tables"))
+        else:
+            events.append("extraction: tables -> none")
+    return out.select("doc_id", "page_num", "text")
+
+
+def pick_reranker(config: dict, rerankers: dict, events: list[str], strict: bool) -> str | None:
+    """The first model of the ladder that is there; contracts are checked if ``strict``."""
+    ladder = config["rerank"]["model_preference"]
+    found = next((m for m in ladder if m in rerankers), None)
+    if strict:
+        need = config["contracts"]
+        events += check_contracts(config, found, need["require_gguf_filename"], need["require_n_ctx"])
+        if found is None and need["require_reranker"]:
+            raise ContractError(f"require_reranker: {need['require_reranker']} wanted, none found")
+    elif ladder and found != ladder[0]:
+        events.append(f"reranker: {ladder[0]} -> {found}")
+    return found
+
+
+def fast_flags(config: dict, questions: DataFrame, timings: DataFrame | None, before_seconds: float) -> DataFrame:
+    """(qid, fast): whether the governor has latched before each question, which come in the order of qid.
+
+    ``timings``: (qid, seconds) of the answering step, as measured by an earlier run; a question without one takes no time.
+    """
+    limits = config["runtime"]
+    asked = questions.select("qid", F.lit("run").alias("run"))
+    if timings is None:
+        steps = asked.withColumn("seconds", F.lit(0.0))
+    else:
+        steps = asked.join(timings.select("qid", "seconds"), "qid", "left").fillna(0.0, ["seconds"])
+    total = F.count(F.lit(1)).over(Window.partitionBy("run"))
+    steps = steps.withColumn("total", total)
+    run = an.governor(steps, F.col("total"), limits["time_budget_hours"] * 3600, limits["fast_mode_warmup_q"], before_seconds, order=("qid",))
+    return run.select("qid", F.coalesce(F.lag("fast").over(Window.partitionBy("run").orderBy("qid")), F.lit(False)).alias("fast"))
+
+
+def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.hashed_encoder, answerer=models.overlap_answerer, reranker=rank.overlap_score, strict: bool = False, rerankers: dict | None = None, timings: DataFrame | None = None, before_seconds: float = 0.0) -> Plan:
+    """``questions``: (qid long, question, options map<letter, text>); ``pages``: (doc_id long, page_num long, text, and see ``page_texts``).
+
+    ``rerankers``: the models that are there, by name; without it every model of the ladder is ``reranker``.
+    """
     search, choose, llm, rerank_cfg = config["retrieval"], config["page_selection"], config["llm"], config["rerank"]
-    events = check_contracts(config, config["contracts"]["require_reranker"] or rerank_cfg["model_preference"][0], config["contracts"]["require_gguf_filename"], config["contracts"]["require_n_ctx"]) if strict else []
-    texts = retrieve.neighbor_bleed(pages, config["extraction"]["neighbor_bleed_chars"]).select("doc_id", "page_num", F.col("bled").alias("text"))
+    events: list[str] = []
+    kept: list[DataFrame] = []
+
+    def _keep(df: DataFrame) -> DataFrame:
+        """Several later steps read this: computed once (top-k rows per query, or vectors that a model had to make)."""
+        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return kept[-1]
+
+    rerankers = {m: reranker for m in rerank_cfg["model_preference"]} if rerankers is None else rerankers
+    chosen = pick_reranker(config, rerankers, events, strict)
+    score_page = rerankers.get(chosen)
+    governed = config["runtime"]["enable_runtime_governor"]
+    texts = retrieve.neighbor_bleed(page_texts(pages, config["extraction"], events), config["extraction"]["neighbor_bleed_chars"]).select("doc_id", "page_num", F.col("bled").alias("text"))
     vectors = _keep(texts.select("doc_id", "page_num", encoder(F.col("text")).alias("emb")))
     asked = questions.select("qid", encoder(F.col("question")).alias("emb"))
     meta = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
@@ -56,12 +130,12 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
 
     candidates = _keep(candidates)
     by_doc = rerank_cfg["mode"] == "doc"
-    ordered = candidates if by_doc else rank.rerank_pages(candidates, questions, texts, reranker)
+    ordered = candidates if by_doc or score_page is None else rank.rerank_pages(candidates, questions, texts, score_page)
     if choose.get("lock_to_dense_top_doc"):
         flags = rank.lock_flags(candidates, meta, choose.get("lock_to_dense_top_doc_min_pages", 0), choose.get("lock_dense_by_margin_threshold"))
         ordered = rank.exhaustive_lock(ordered, flags, vectors, asked) if choose.get("lock_exhaustive_dense") else rank.locked_order(ordered, flags)
     ordered = candidates if ordered is candidates else _keep(ordered)
-    if by_doc:
+    if by_doc and score_page is not None:
         docs = rank.rerank_docs_unless_sure(candidates, texts, questions, rerank_cfg["doc_skip_topn"], rerank_cfg["doc_skip_margin"], most_docs=rerank_cfg["doc_candidates_max"], preview_pages=rerank_cfg["doc_preview_pages"], page_chars=rerank_cfg["page_text_chars"]).drop("skipped")
     elif structured and search["structure_doc_guard_enabled"]:
         docs = rank.guarded_ranking(ordered, search["structure_doc_guard_top_pages"], search["structure_doc_guard_secondary_weight"])
@@ -70,12 +144,55 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
 
     docs = _keep(docs)
     shown = an.doc_mode_order(candidates, docs) if by_doc else ordered
-    contexts = an.build_context(shown, texts, llm["top_k_context"], llm["max_chars_per_page"])
+    flags = _keep(fast_flags(config, questions, timings, before_seconds)) if governed else None
+    fast = F.col("fast") if governed else F.lit(False)
+    caps = config["runtime"]
+
+    def context_of(listed: DataFrame) -> DataFrame:
+        """G1, with fewer and shorter pages once the governor has latched."""
+        most, chars = llm["top_k_context"], llm["max_chars_per_page"]
+        if not governed:
+            return an.build_context(listed, texts, most, chars)
+        flagged = listed.join(flags, "qid")
+        few, short = min(most, caps["fast_context_pages_cap"]), min(chars, caps["fast_max_chars_per_page_cap"])
+        return an.build_context(flagged.where(~fast).drop("fast"), texts, most, chars).unionByName(an.build_context(flagged.where(fast).drop("fast"), texts, few, short))
+
+    contexts = context_of(shown)
     tops = docs.where("rank = 1").select("qid", "doc_id")
     margins = docs.groupBy("qid").agg(rank.top_margin().alias("doc_margin"), F.count(F.lit(1)).alias("n_docs")).join(rank.margins(ordered).withColumnRenamed("margin", "page_margin"), "qid").join(tops.join(meta, "doc_id", "left").select("qid", F.col("n_pages").alias("top_pages")), "qid", "left")
-    effort = an.passes("doc_margin", "n_docs", "page_margin", "top_pages", llm["base_passes"], llm["hard_passes"], llm["vote_margin"], llm["long_doc_hard_pages"], llm["confidence_gate_enabled"], llm["easy_passes"], llm["easy_doc_margin"], llm["easy_page_margin"])
+    if governed:
+        margins = margins.join(flags, "qid")
+    effort = an.passes("doc_margin", "n_docs", "page_margin", "top_pages", llm["base_passes"], llm["hard_passes"], llm["vote_margin"], llm["long_doc_hard_pages"], llm["confidence_gate_enabled"], llm["easy_passes"], llm["easy_doc_margin"], llm["easy_page_margin"], fast if governed else None)
     tries = margins.select("qid", F.explode(F.sequence(F.lit(1), effort)).alias("pass_no"))
-    votes = tries.join(contexts, "qid").join(questions.select("qid", "options"), "qid").select("qid", "pass_no", answerer(F.col("context"), F.col("options"), F.col("pass_no")).alias("letter"))
+    chat = llm.get("use_chat_template", False)
+
+    def requested(passes: DataFrame, about: DataFrame) -> DataFrame:
+        """One row for each call of the model; the first pass at temperature 0, the others at ``vote_temp``."""
+        asked_for = passes.join(about, "qid").join(questions.select("qid", "question", "options"), "qid")
+        listed = {k: F.try_element_at("options", F.lit(k)) for k in OPTION_LETTERS}
+        return asked_for.select(
+            "qid",
+            "pass_no",
+            prompt("context", "question", listed, llm["prompt_variant"]).alias("prompt"),
+            F.lit(llm.get("chat_system_prompt", CHAT_SYSTEM) if chat else None).cast("string").alias("system"),
+            F.when(F.col("pass_no") == 1, 0.0).otherwise(llm["vote_temp"]).alias("temperature"),
+            F.lit(4 if chat else 3).alias("max_tokens"),
+            "context",
+            "options",
+        )
+
+    def answered(requests: DataFrame) -> DataFrame:
+        return requests.select("qid", "pass_no", answerer(F.struct("prompt", "system", "temperature", "max_tokens", "pass_no", "context", "options")).alias("letter"))
+
+    requests = requested(tries, contexts)
+    votes = answered(requests)
+    if llm.get("dual_context_passes", 0) > 0:
+        other = context_of(dense)
+        both = contexts.join(other.withColumnRenamed("context", "other_context"), "qid")
+        more = both.where("context <> other_context").select("qid", F.explode(F.sequence(F.lit(1), F.lit(llm["dual_context_passes"]))).alias("pass_no"))
+        extra = requested(more, other)
+        votes = an.dual_votes(votes, answered(extra), both)
+        requests = requests.unionByName(extra)
     voted = _keep(an.majority(votes))
 
     if choose["answer_conditioning"] == "disabled":
@@ -104,7 +221,12 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
                 placed = listed.where("rank = 1")
             else:
                 wanted = F.lit(True) if choose["stage2_mode"] == "always" else F.col("stage2")
-                again = rank.rerank_pages(listed.where(wanted).select("qid", "doc_id", "page_num", "score", "rank"), questions, texts, reranker)
+                if governed and caps["fast_disable_page_stage2"]:
+                    listed = listed.join(flags, "qid")
+                    wanted &= ~fast
+                if score_page is None:
+                    wanted = F.lit(False)
+                again = rank.rerank_pages(listed.where(wanted).select("qid", "doc_id", "page_num", "score", "rank"), questions, texts, score_page or reranker)
                 placed = again.where("rank = 1").select("qid", "doc_id", "page_num", "score").unionByName(listed.where(~wanted & (F.col("rank") == 1)).select("qid", "doc_id", "page_num", "score"))
     predictions = questions.select("qid").join(voted.select("qid", "letter", "confidence"), "qid", "left").join(tops.withColumnRenamed("doc_id", "pred_doc"), "qid", "left").join(placed.select("qid", "page_num"), "qid", "left").select(F.col("qid").cast("string").alias("Question_ID"), F.coalesce("letter", F.lit(OPTION_LETTERS[0])).alias("Correct_Answer"), F.col("pred_doc").cast("string").alias("Doc_ID"), F.coalesce("page_num", F.lit(1)).cast("string").alias("Page_Num"))
-    return Plan(predictions, {"dense": dense, "candidates": candidates, "pages": ordered, "docs": docs}, contexts, votes, events)
+    return Plan(predictions, {"dense": dense, "candidates": candidates, "pages": ordered, "docs": docs}, contexts, votes, requests, events, {"reranker": chosen, "llm": config.get("llm_model", "default")}, kept)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import CHAT_SYSTEM
 from pagemill.plans import config, planner
 from pagemill.plans.q_plans import questions
 from pagemill.plans.registry import text_pages
@@ -50,6 +51,72 @@ def test_configurations_run(spark, inputs, name):
     assert all(r.Correct_Answer in "ABCDEF" and r.Doc_ID and int(r.Page_Num) >= 1 for r in rows)
 
 
+def test_settings_change_the_plan(spark, inputs):
+    """Configurations that differ in one setting from their parent differ in what they ask of the models."""
+    asks, pages = inputs
+    built = lambda name, over=None, given=pages, **more: planner.build(config.resolve(name, over), asks, given, **more)
+    base = built("v7_baseline")
+    refocus, chat, parent = built("candidate_v5_refocus_v1"), built("candidate_chat_template_v1"), built("candidate_dense_doc_lock_v3")
+    first = base.requests.where("qid = 0 and pass_no = 1").first()
+    again = refocus.requests.where("qid = 0 and pass_no = 1").first()
+    assert first.prompt != again.prompt and again.prompt.count(asks.where("qid = 0").first().question) == 2
+    assert {r.system for r in parent.requests.collect()} == {None} and {(r.system, r.max_tokens) for r in chat.requests.collect()} == {(CHAT_SYSTEM, 4)}
+    assert {(r.pass_no, r.temperature) for r in base.requests.collect()} == {(1, 0.0), (2, 0.5), (3, 0.5)}
+    assert {r.temperature for r in built("v7_baseline", {"llm": {"vote_temp": 0.9}}).requests.where("pass_no > 1").collect()} == {0.9}
+    assert built("candidate_lapalm_v1").models["llm"] == "lapalm" and parent.models["llm"] == "default"
+
+
+def test_extraction_modes(spark, inputs):
+    asks, pages = inputs
+    block = "array(struct(10.0D as x, 20.0D as y, 'below ' || text as text), struct(5.0D as x, 1.0D as y, 'above' as text))"
+    rich = pages.selectExpr("*", f"{block} as blocks", "array(array('cell one', null, ' two ')) as tables", "array(struct(1.0D as x, 1.0D as y, 'word' as text)) as words")
+    events: list = []
+    of = lambda mode, tables, given=rich: planner.page_texts(given, {"mode": mode, "table_aware": tables}, events).where("page_num = 1 and doc_id = 1").first().text
+    raw = of("raw", False)
+    assert of("blocks", False).split("\n")[0] == "above" and of("blocks", True).endswith("cell one | two") and of("words", False) == "word" and of("blocks_plus_words", False) == of("blocks", False)
+    assert not events and of("blocks", True, pages) == raw and events == ["extraction: blocks -> raw", "extraction: tables -> none"]
+    assert planner.build(config.resolve("candidate_extraction_blocks_v1"), asks, pages).events == events
+    plans = [planner.build(config.resolve(n), asks, rich).contexts.where("qid = 0").first().context for n in ("v7_baseline", "candidate_extraction_blocks_v1")]
+    assert plans[0] != plans[1] and "cell one | two" in plans[1]
+
+
+def test_governor_in_a_plan(spark, inputs):
+    asks, pages = inputs
+    slow = spark.createDataFrame([(0, 9000.0), (1, 9000.0), (2, 9000.0)], "qid long, seconds double")
+    over = {"runtime": {"fast_mode_warmup_q": 1, "time_budget_hours": 1.0, "fast_context_pages_cap": 1, "fast_max_chars_per_page_cap": 40}, "llm": {"base_passes": 2, "hard_passes": 3}}
+    plan = planner.build(config.resolve("candidate_runtime_guard_v1", over), asks, pages, timings=slow)
+    calm = planner.build(config.resolve("candidate_runtime_guard_v1", over), asks, pages)
+    n = lambda p: {r.qid: r.n for r in p.votes.groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    size = lambda p: {r.qid: len(r.context) for r in p.contexts.collect()}
+    assert n(plan)[0] == n(calm)[0] >= 2 and n(plan)[1] == n(plan)[2] == 1 < n(calm)[1]
+    assert size(plan)[0] == size(calm)[0] and all(size(plan)[q] <= 60 < size(calm)[q] for q in (1, 2))
+    again = {"page_selection": {"strategy": "locked_top_doc_all_pages", "stage2_mode": "always"}}
+    assert planner.build(config.resolve("candidate_runtime_guard_v1", over | again), asks, pages, timings=slow).predictions.count() == 3
+    plan.release()
+
+
+def test_votes_on_two_contexts(spark, inputs):
+    plan = planner.build(config.resolve("v7_baseline", {"llm": {"dual_context_passes": 2, "top_k_context": 1}}), *inputs)
+    votes = {r.qid: r.n for r in plan.votes.groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert set(votes.values()) <= {3, 5} and 5 in votes.values()
+    assert plan.requests.count() == sum(votes.values())
+
+
+def test_reranker_ladder(spark, inputs):
+    from pagemill.operators import rank
+
+    c = config.resolve("candidate_stronger_reranker_v1")
+    built = lambda there, strict=False, preset=c: planner.build(preset, *inputs, rerankers={m: rank.overlap_score for m in there}, strict=strict)
+    assert built(["bge", "qwen3_4b"]).models["reranker"] == "qwen3_4b" and not built(["bge", "qwen3_4b"]).events
+    assert (built(["bge"]).models["reranker"], built(["bge"]).events) == ("bge", ["reranker: qwen3_4b -> bge"])
+    none = built([])
+    assert none.models["reranker"] is None and none.rankings["pages"] is none.rankings["candidates"] and none.predictions.count() == 3
+    with pytest.raises(config.ContractError):
+        built(["bge"], True)
+    loose = config.resolve("v8_quality_branch")
+    assert built(["bge"], True, loose).events == ["reranker: qwen3_4b -> bge"]
+
+
 def test_page_summary_under_an_encoder(spark, inputs):
     from pagemill.functions.text import page_summary, with_page_summary
     from pagemill.plans.models import hashed_encoder
