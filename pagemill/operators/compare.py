@@ -36,6 +36,12 @@ def ir_swings(left: DataFrame, right: DataFrame) -> DataFrame:
     return pair.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_if(~top_a & top_b).alias("fixed"), F.count_if(top_a & ~top_b).alias("broken"), F.count_if(b < a).alias("improved"), F.count_if(b > a).alias("regressed"))
 
 
+def same_doc_swings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """L2: (improved, regressed): questions whose document both runs (scored questions) have right and whose page came nearer or went further."""
+    pair = left.where("doc_correct = 1").select("Question_ID", F.col("page_proximity").alias("a")).join(right.where("doc_correct = 1").select("Question_ID", F.col("page_proximity").alias("b")), "Question_ID")
+    return pair.agg(F.count_if(F.col("b") > F.col("a")).alias("improved"), F.count_if(F.col("b") < F.col("a")).alias("regressed"))
+
+
 def tree_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """L3: (path, left, right, delta) over the union of the paths; delta null where a side is missing."""
     return left.select("path", F.col("value").alias("left")).join(right.select("path", F.col("value").alias("right")), "path", "full").select("path", "left", "right", (F.col("right") - F.col("left")).alias("delta"))

@@ -23,10 +23,13 @@ def doc_records(questions: DataFrame) -> DataFrame:
     """M1, M2: one row per document: questions, pages, domain of the first question, length bucket."""
     first = F.row_number().over(Window.partitionBy("Doc_ID").orderBy(*question_order("Question_ID")))
     docs = questions.withColumn("_n", first).groupBy(F.col("Doc_ID").alias("doc_id")).agg(F.max(F.when(F.col("_n") == 1, F.coalesce("Domain", F.lit("unknown")))).alias("domain"), F.max(int_or("N_Pages", 1)).alias("n_pages"), F.count(F.lit(1)).alias("question_count"))
-    place = F.row_number().over(Window.orderBy("n_pages", "doc_id")) - 1
-    size = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / BUCKETS))
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor(place / size)) + 1
-    return docs.select("doc_id", "domain", "n_pages", "question_count", F.concat(F.lit("q"), bucket.cast("string")).alias("length_bucket"))
+    # the place of a document by pages and id: the documents with fewer pages, and its place among those with as many
+    sizes = docs.groupBy("n_pages").agg(F.count(F.lit(1)).alias("same"))
+    upto = sizes.select(F.col("n_pages").alias("_p"), (F.sum("same").over(Window.orderBy("n_pages")) - F.col("same")).alias("fewer"), F.sum("same").over(Window.partitionBy()).alias("every"))
+    placed = docs.join(upto, F.col("n_pages") == F.col("_p")).withColumn("place", F.col("fewer") + F.row_number().over(Window.partitionBy("n_pages").orderBy("doc_id")) - 1)
+    size = F.greatest(F.lit(1), F.ceil(F.col("every") / BUCKETS))
+    bucket = F.least(F.lit(BUCKETS - 1), F.floor(F.col("place") / size)) + 1
+    return placed.select("doc_id", "domain", "n_pages", "question_count", F.concat(F.lit("q"), bucket.cast("string")).alias("length_bucket"))
 
 
 def round_robin(docs: DataFrame) -> DataFrame:
@@ -40,7 +43,11 @@ def _ordered(pdf: pd.DataFrame) -> list[dict]:
 
 
 def pick_balanced(docs: list[dict], size: int) -> list[dict]:
-    """M3 to M5: documents chosen one by one, each time the one that leaves the subset nearest its targets."""
+    """M3 to M5: documents chosen one by one, each time the one that leaves the subset nearest its targets.
+
+    Documents of one domain, bucket and number of questions change the subset alike, so each step looks at the first of each such
+    class only (most pages, then id), and the work is that of steps times classes.
+    """
     if size <= 0:
         return []
     if size >= len(docs):
@@ -48,9 +55,13 @@ def pick_balanced(docs: list[dict], size: int) -> list[dict]:
     ratio = size / len(docs)
     want_q = ratio * sum(d["question_count"] for d in docs)
     want = {kind: {k: n * ratio for k, n in Counter(d[kind] for d in docs).items()} for kind in ("domain", "length_bucket")}
+    weights = {"domain": DOMAIN_WEIGHT, "length_bucket": BUCKET_WEIGHT}
     have: dict[str, Counter] = {"domain": Counter(), "length_bucket": Counter()}
+    alike: dict[tuple, list[dict]] = {}
+    # in reverse, so that the first one of a class is its last
+    for d in sorted(sorted(docs, key=lambda d: d["doc_id"], reverse=True), key=lambda d: d["n_pages"]):
+        alike.setdefault((d["domain"], d["length_bucket"], d["question_count"]), []).append(d)
     chosen: list[dict] = []
-    left = list(docs)
     n_questions = 0
 
     def off(value: float, target: float) -> float:
@@ -58,19 +69,21 @@ def pick_balanced(docs: list[dict], size: int) -> list[dict]:
 
     while len(chosen) < size:
 
-        def cost(d: dict) -> tuple:
-            total = DOCS_WEIGHT * off(len(chosen) + 1, size)
-            total += QUESTIONS_WEIGHT * off(n_questions + d["question_count"], want_q)
-            for kind, weight in (("domain", DOMAIN_WEIGHT), ("length_bucket", BUCKET_WEIGHT)):
-                total += sum(weight * off(have[kind][k] + (d[kind] == k), t) for k, t in want[kind].items())
-            return total, -d["question_count"], -d["n_pages"], d["doc_id"]
-
-        best = min(left, key=cost)
-        left.remove(best)
-        chosen.append(best)
-        n_questions += best["question_count"]
-        for kind, counter in have.items():
-            counter[best[kind]] += 1
+        def cost(key: tuple) -> tuple:
+            total = DOCS_WEIGHT * off(len(chosen) + 1, size) + QUESTIONS_WEIGHT * off(n_questions + key[2], want_q)
+            for kind, own in (("domain", key[0]), ("length_bucket", key[1])):
+                total += sum(weights[kind] * off(have[kind][k] + (own == k), t) for k, t in want[kind].items())
+            first = alike[key][-1]
+            return total, -key[2], -first["n_pages"], first["doc_id"]
+
+        best = min(alike, key=cost)
+        d = alike[best].pop()
+        if not alike[best]:
+            del alike[best]
+        chosen.append(d)
+        n_questions += best[2]
+        have["domain"][best[0]] += 1
+        have["length_bucket"][best[1]] += 1
     return chosen
 
 

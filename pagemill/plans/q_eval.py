@@ -80,16 +80,14 @@ def metric_tree_diff(spark, d):
     return compare.tree_diff(left, right).select("path", "left", "right", R("delta"))
 
 
-_SIDES = "l AS (SELECT * FROM a_p WHERE Question_ID NOT LIKE '%7'), r AS (SELECT * FROM b_p WHERE Question_ID NOT LIKE '%3')"
+_SIDES = "l AS (SELECT * FROM a_p), r AS (SELECT * FROM b_p)"
 
 
 @query(f"""WITH {TRUTH}, {A}, {B}, {_SIDES}, j AS (SELECT l.Question_ID AS x, r.Question_ID AS y, (l.pred_answer, l.pred_doc, l.pred_page) IS DISTINCT FROM (r.pred_answer, r.pred_doc, r.pred_page) AS differ FROM l FULL JOIN r ON l.Question_ID = r.Question_ID),
 s AS (SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS common, count(*) FILTER (WHERE y IS NULL) AS only_left, count(*) FILTER (WHERE x IS NULL) AS only_right, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL AND differ) AS different FROM j)
 SELECT *, only_left = 0 AND only_right = 0 AND different = 0 AS match FROM s""")
 def prediction_parity(spark, d):
-    left = run_predictions(spark, d, 0).where("Question_ID not like '%7'")
-    right = run_predictions(spark, d, 1).where("Question_ID not like '%3'")
-    return compare.prediction_parity(left, right)
+    return compare.prediction_parity(run_predictions(spark, d, 0), run_predictions(spark, d, 1))
 
 
 @query(f"WITH {TRUTH}, {A}, {B} SELECT Question_ID, l.pred_answer <> r.pred_answer AS answer_changed, l.pred_doc <> r.pred_doc AS doc_changed, l.pred_page <> r.pred_page AS page_changed FROM a_p l JOIN b_p r USING (Question_ID)")
@@ -148,13 +146,21 @@ def split_antijoin(spark, d):
 # -- analyses
 
 
-@query(f"""WITH {TRUTH}, {A}, {B}, {_DIFF}, n AS (SELECT count(*) AS n FROM diff), it AS (SELECT unnest(range(0, 200)) AS b),
-picks AS (SELECT b, (('0x' || substr(md5('42:' || Question_ID || ':' || b::VARCHAR), 1, 8))::BIGINT % n) AS i FROM diff CROSS JOIN it CROSS JOIN n),
-means AS (SELECT b, avg(delta) AS mean FROM picks JOIN diff ON diff.Question_ID = picks.i::VARCHAR GROUP BY b)
-SELECT (SELECT round(avg(delta), 6) FROM diff) AS delta, (SELECT n FROM n) AS n, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means""")
+_WEIGHT = "CASE " + " ".join(f"WHEN u < {t} THEN {w}" for w, t in enumerate(analyses.POISSON)) + f" ELSE {len(analyses.POISSON)} END"
+
+
+@query(f"""WITH {TRUTH}, {A}, {B}, {_DIFF}, it AS (SELECT unnest(range(0, {analyses.ITERATIONS // 4})) AS block),
+hashed AS (SELECT block, delta, md5('42:' || Question_ID || ':' || block::VARCHAR) AS h FROM diff CROSS JOIN it),
+drawn AS (SELECT block, slot, delta, ('0x' || substr(h, 1 + 8 * slot, 8))::BIGINT AS u FROM hashed CROSS JOIN (SELECT unnest(range(0, 4))::INTEGER AS slot)),
+means AS (SELECT block, slot, sum(delta * ({_WEIGHT})) / sum({_WEIGHT}) AS mean FROM drawn GROUP BY block, slot)
+SELECT (SELECT round(avg(delta), 6) FROM diff) AS delta, (SELECT count(*) FROM diff) AS n, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means""")
 def bootstrap_ci(spark, d):
-    deltas = diff(spark, d).select(F.col("Question_ID").cast("long").alias("i"), "delta")
-    return analyses.bootstrap(deltas, 200).select(R("delta"), "n", R("low"), R("high"))
+    return analyses.bootstrap(diff(spark, d).select(F.col("Question_ID").alias("i"), "delta")).select(R("delta"), "n", R("low"), R("high"))
+
+
+@query(f"WITH {TRUTH}, {A}, {B} SELECT count(*) FILTER (WHERE b.page_proximity > a.page_proximity) AS improved, count(*) FILTER (WHERE b.page_proximity < a.page_proximity) AS regressed FROM a JOIN b USING (Question_ID) WHERE a.doc_correct = 1 AND b.doc_correct = 1")
+def same_doc_swings(spark, d):
+    return compare.same_doc_swings(scored(spark, d, 0), scored(spark, d, 1))
 
 
 _CDF = ", ".join(f"round(avg(CASE WHEN dist <= {t} THEN 1.0 ELSE 0.0 END), 6) AS within_{t}" for t in analyses.DISTANCES)

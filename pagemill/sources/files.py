@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
 def read_questions(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """Questions, all or the first in file order."""
     found = read_csv(spark, path, QUESTION)
-    return found.limit(limit) if limit > 0 else found
+    if limit <= 0:
+        return found
+    # a file whose fields may hold line breaks is read by one task, whose running number is its order
+    numbered = found.withColumns({"_file": F.input_file_name(), "_row": F.monotonically_increasing_id()})
+    return numbered.orderBy("_file", "_row").limit(limit).drop("_file", "_row")
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -157,6 +163,68 @@ def write_splits(questions: DataFrame, assignment: DataFrame, path: str) -> None
     joined.write.mode("overwrite").partitionBy("role", "fold").parquet(path)
 
 
+def write_split_files(questions: DataFrame, docs: DataFrame, assignment: DataFrame, folder: str, seed: int = 42, val_ratio: float = 0.2) -> dict:
+    """The CSV files of every split (legacy, lockbox, folds, one domain left out) and the three manifests; returns split_info."""
+    from pagemill.operators.splits import leave_one_domain_out, summary
+
+    joined = questions.join(assignment.withColumnRenamed("doc_id", "Doc_ID"), "Doc_ID")
+    folds = sorted(r["fold"] for r in assignment.where("role = 'cv'").select("fold").distinct().collect())
+    domains = sorted(r["Domain"] for r in questions.select("Domain").distinct().collect())
+    cv, held = joined.where("role = 'cv'"), leave_one_domain_out(questions.join(joined.where("role = 'cv'").select("Question_ID"), "Question_ID", "left_semi"))
+    files = {"train": joined.where("legacy = 'train'"), "val": joined.where("legacy = 'val'"), "lockbox": joined.where("role = 'lockbox'")}
+    for k in folds:
+        files |= {f"fold_{k}_train": cv.where(F.col("fold") != k), f"fold_{k}_val": cv.where(F.col("fold") == k)}
+    for name in domains:
+        for role, file in (("train", f"lodo_train_no_{name}"), ("val", f"lodo_val_{name}")):
+            files[file] = questions.join(held.where((F.col("held_out") == name) & (F.col("role") == role)).select("Question_ID"), "Question_ID", "left_semi")
+    for name, rows in files.items():
+        write_csv(rows.select(*questions.columns), f"{folder}/{name}.csv")
+
+    def about(part: DataFrame) -> dict:
+        rows = [r.asDict() for r in summary(docs, part).collect()]
+        count = lambda key: {k: sum(r["n_docs"] for r in rows if r[key] == k) for k in sorted({r[key] for r in rows})}
+        return {"doc_count": sum(r["n_docs"] for r in rows), "question_count": sum(r["n_questions"] for r in rows), "doc_ids": sorted(r["doc_id"] for r in part.collect()), "domain_counts": count("domain"), "length_bucket_counts": count("length_bucket")}
+
+    locked = about(assignment.where("role = 'lockbox'"))
+    manifest = [{"fold_index": k, "train_doc_ids": (a := about(assignment.where(f"role = 'cv' and fold <> {k}")))["doc_ids"], "val_doc_ids": (b := about(assignment.where(f"role = 'cv' and fold = {k}")))["doc_ids"], "train_summary": a, "val_summary": b} for k in folds]
+    lockbox = {"doc_ids": locked["doc_ids"], "summary": {"question_count": locked["question_count"], "doc_count": locked["doc_count"], "domain_counts": locked["domain_counts"], "bucket_counts": locked["length_bucket_counts"]}}
+    lodo = {r["held_out"]: {"train": r["train"], "val": r["val"]} for r in held.groupBy("held_out").agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "val").alias("val")).collect()}
+    by_domain = {role: {r["Domain"]: r["n"] for r in files[role].groupBy("Domain").agg(F.count(F.lit(1)).alias("n")).collect()} for role in ("train", "val")}
+    info = {"seed": seed, "val_ratio": val_ratio, "standard": {**{role: sum(by_domain[role].values()) for role in by_domain}, **{f"{role}_by_domain": by_domain[role] for role in by_domain}}, "protocol": {"folds": manifest, "lockbox": lockbox, "lodo": lodo}, "lodo": lodo}
+    for name, value in (("split_info", info), ("folds", {"folds": manifest}), ("lockbox", lockbox)):
+        write_json(value, f"{folder}/{name}.json")
+    return info
+
+
+def write_evaluation(evaluated: DataFrame, folder: str, name: str = "evaluation") -> str:
+    """The averages by scope as JSON and as the text report, which is returned."""
+    from pagemill.operators.metrics import report
+
+    rows = {r["scope"]: {k: v for k, v in r.asDict().items() if k != "scope"} for r in evaluated.collect()}
+    write_json(rows, f"{folder}/{name}.json")
+    text = report(evaluated)
+    Path(f"{folder}/{name}.txt").write_text(text + "\n", encoding="utf-8")
+    return text
+
+
+class Timings:
+    """Seconds of each stage of a run, for the artifact bundle; ``with timings("retrieval"): ...``."""
+
+    def __init__(self):
+        self.seconds: dict[str, float] = {}
+
+    @contextlib.contextmanager
+    def __call__(self, stage: str):
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.seconds[stage] = self.seconds.get(stage, 0.0) + time.monotonic() - began
+
+    def as_dict(self) -> dict[str, float]:
+        return {**{k: round(v, 6) for k, v in self.seconds.items()}, "total": round(sum(self.seconds.values()), 6)}
+
+
 def output_dir(root: str, preset: str, split: str, fold: int | None = None, seed: int | None = None, repeat: int | None = None) -> str:
     """Folder name of a repeat."""
     parts = [preset, split] + [f"{k}-{v}" if k != "repeat" else f"repeat-{v:02d}" for k, v in (("fold", fold), ("seed", seed), ("repeat", repeat)) if v is not None]

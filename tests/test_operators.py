@@ -89,7 +89,7 @@ def test_rank_metrics(spark):
 
 
 def questions(spark, counts, domains=2):
-    rows = [(str(100 * i + j), f"domain_{i % domains + 1}", str(3 + 5 * i), f"doc{i:02d}", str(j + 1)) for i, n in enumerate(counts) for j in range(n)]
+    rows = [(str(100 * i + j), f"domain_{i % domains + 1}", str(3 + 5 * (i // 4)), f"doc{i}", str(j + 1)) for i, n in enumerate(counts) for j in range(n)]
     return spark.createDataFrame(rows, "Question_ID string, Domain string, N_Pages string, Doc_ID string, Page_Num string")
 
 
@@ -104,6 +104,48 @@ def test_split_protocol(spark):
     assert sum(r.legacy == "val" for r in out) == round(33 * 0.2)
 
 
+def test_balanced_choice_against_all_documents(spark):
+    """The choice by classes is that of a look at every document at every step."""
+    docs = [r.asDict() for r in splits.doc_records(questions(spark, [3 + i * 7 % 5 for i in range(37)], 3)).collect()]
+    n, ratio = 11, 11 / 37
+    want = {kind: {k: ratio * sum(d[kind] == k for d in docs) for k in {d[kind] for d in docs}} for kind in ("domain", "length_bucket")}
+    off = lambda value, target: ((value - target) / max(target, 1.0)) ** 2
+    picked: list = []
+    while len(picked) < n:
+
+        def cost(d):
+            new = [*picked, d]
+            total = splits.DOCS_WEIGHT * off(len(new), n) + splits.QUESTIONS_WEIGHT * off(sum(x["question_count"] for x in new), ratio * sum(x["question_count"] for x in docs))
+            for kind, w in (("domain", splits.DOMAIN_WEIGHT), ("length_bucket", splits.BUCKET_WEIGHT)):
+                total += w * sum(off(sum(x[kind] == k for x in new), t) for k, t in want[kind].items())
+            return round(total, 12), -d["question_count"], -d["n_pages"], d["doc_id"]
+
+        picked.append(min((d for d in docs if d not in picked), key=cost))
+    assert [d["doc_id"] for d in splits.pick_balanced(docs, n)] == [d["doc_id"] for d in picked]
+
+
+def test_bootstrap_interval(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0.2, 1, 400)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, delta double")
+    got = analyses.bootstrap(df, 2000).first()
+    means = [rng.choice(x, 400).mean() for _ in range(4000)]
+    assert got.n == 400 and abs(got.low - np.quantile(means, 0.025)) < 0.02 and abs(got.high - np.quantile(means, 0.975)) < 0.02
+
+
+def test_parity_of_unmatched_rows(spark):
+    names = "Question_ID string, Correct_Answer string, Doc_ID string, Page_Num string"
+    a, b = spark.createDataFrame([("1", "A", "d", "1"), ("2", "B", "d", "1")], names), spark.createDataFrame([("2", "C", "d", "1"), ("3", "B", "d", "1")], names)
+    got = compare.prediction_parity(a, b).first().asDict()
+    assert got == {"common": 1, "only_left": 1, "only_right": 1, "different": 1, "match": False}
+
+
+def test_swings_in_the_right_document(spark):
+    df = lambda *rows: spark.createDataFrame(rows, "Question_ID string, doc_correct double, page_proximity double")
+    got = compare.same_doc_swings(df(("1", 1.0, 0.5), ("2", 1.0, 0.5), ("3", 0.0, 0.0), ("4", 1.0, 1.0)), df(("1", 1.0, 0.7), ("2", 1.0, 0.1), ("3", 1.0, 1.0), ("4", 1.0, 1.0))).first()
+    assert (got.improved, got.regressed) == (1, 1)
+
+
 def test_dealing_follows_round_robin(spark):
     docs = splits.doc_records(questions(spark, [5 + i % 7 for i in range(20)]))
     order = [r.doc_id for r in splits.round_robin(docs).orderBy("deal").collect()]

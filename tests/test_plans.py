@@ -137,6 +137,46 @@ def test_csv_round_trip(spark, tmp_path):
     assert (tmp_path / "none.csv").read_text() == ""
 
 
+def test_first_questions_in_file_order(spark, tmp_path):
+    columns = "Question_ID,Domain,N_Pages,Question,A,B,C,D,E,F,Correct_Answer,Doc_ID,Page_Num"
+    (tmp_path / "q.csv").write_text(columns + "\n" + "\n".join(f'{900 - i},d,1,"two\nlines",a,b,c,d,e,f,A,x,1' for i in range(300)))
+    assert [r.Question_ID for r in files.read_questions(spark, str(tmp_path / "q.csv"), 5).collect()] == ["900", "899", "898", "897", "896"]
+
+
+def test_split_files(spark, tmp_path):
+    from pagemill.operators import splits
+
+    rows = [(str(100 * i + j), f"domain_{i % 2 + 1}", str(3 + 5 * i), f"doc{i:02d}", str(j + 1)) for i in range(14) for j in range(3 + i % 3)]
+    q = spark.createDataFrame(rows, "Question_ID string, Domain string, N_Pages string, Doc_ID string, Page_Num string")
+    docs = splits.doc_records(q)
+    info = files.write_split_files(q, docs, splits.protocol(docs).cache(), str(tmp_path))
+    of = lambda name: {r.Question_ID for r in files.read_csv(spark, str(tmp_path / f"{name}.csv")).collect()}
+    everything = {r[0] for r in rows}
+    lockbox = of("lockbox")
+    assert of("train") | of("val") | lockbox == everything and not of("train") & of("val")
+    for k in range(5):
+        assert of(f"fold_{k}_train") | of(f"fold_{k}_val") == everything - lockbox and not of(f"fold_{k}_train") & of(f"fold_{k}_val")
+    assert of("lodo_val_domain_1") == of("lodo_train_no_domain_2") and of("lodo_val_domain_1") | of("lodo_val_domain_2") == everything - lockbox
+    assert json.loads((tmp_path / "split_info.json").read_text()) == json.loads(json.dumps(info))
+    folds = json.loads((tmp_path / "folds.json").read_text())["folds"]
+    assert sorted(x for f in folds for x in f["val_doc_ids"]) == sorted({r[3] for r in rows} - set(json.loads((tmp_path / "lockbox.json").read_text())["doc_ids"]))
+
+
+def test_evaluation_files_and_timings(spark, tmp_path):
+    df = spark.createDataFrame([("all", 2, 1.0, 0.5, 0.25, 0.6875), ("d", 2, 1.0, 0.5, 0.25, 0.6875)], "scope string, n long, answer double, doc double, page double, composite double")
+    text = files.write_evaluation(df, str(tmp_path))
+    assert json.loads((tmp_path / "evaluation.json").read_text())["all"]["doc"] == 0.5 and (tmp_path / "evaluation.txt").read_text() == text + "\n"
+    clock = files.Timings()
+    with clock("a"), clock("b"):
+        pass
+    assert set(clock.as_dict()) == {"a", "b", "total"}
+
+
+def test_json_validity(spark):
+    df = spark.createDataFrame([('{"k": 1}',), ("{k",), (None,), ("[1, 2]",)], "props string")
+    assert [r.valid for r in df.selectExpr("try_parse_json(props) is not null as valid").collect()] == [True, False, False, True]
+
+
 def test_jsonl_skips_blank_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     assert sorted(r.a for r in files.read_jsonl(spark, str(tmp_path / "x.jsonl")).collect()) == [1, 2]
