@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +75,54 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+# -- the columns of the operators that SQL can say, from the whole operator, beside their SQL
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality_rules(spark, sf_dir).drop("kept")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def language_model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_brown_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# bit by bit, over the bytes of the decimal number (and its sign)
+_CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(id) + 1), lambda i: ascii(substr(id, i, 1))::BIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+_SQL = {
+    "quality_base": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS gram FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM d)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(generate_series(i, i + 7)) AS j FROM twice) GROUP BY r),
+m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d JOIN l USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m""",
+    "mixing_targets": rf"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM d GROUP BY source),
+p AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size::DOUBLE / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY 2 * source_size::DOUBLE / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM s),
+v AS (SELECT *, row_number() OVER (ORDER BY 2 * source_size::DOUBLE / weight, source) AS place, (total - capped) / open_weight AS level FROM p),
+f AS (SELECT place, level FROM v WHERE level * weight <= 2 * source_size ORDER BY place LIMIT 1)
+SELECT d.doc_id, d.size, v.source_size, round(CASE WHEN v.place < (SELECT place FROM f) THEN 2 * v.source_size::DOUBLE ELSE v.weight * (SELECT level FROM f) END, 4) AS target FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source""",
+    "language_model_base": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, doc_id::VARCHAR AS id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+h AS (SELECT r, doc_id, ws, coalesce({_CRC32} % 7 = 2, false) AS held_out FROM d),
+t AS (SELECT r, held_out, unnest(ws) AS w FROM h UNION ALL SELECT r, held_out, chr(0) || 'end' FROM h),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
+b AS (SELECT r, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 1)::DOUBLE / ((SELECT n FROM n) + (SELECT v FROM n) + 1))) AS base FROM t LEFT JOIN c USING (w) GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM n) AS train_tokens, round(base, 4) AS base_score FROM h JOIN b USING (r)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_brown_lm, op4_mixing, op5_chain_dedup, op6_decontamination, op7_language_id, op8_html_extract, op9_quality_rules, op10_simhash)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_brown_lm, op4_mixing, op5_chain_dedup, op6_decontamination, op7_language_id, op8_html_extract, op9_quality_rules, op10_simhash, quality_base, mixing_targets, language_model_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the narrow queries; whole operator results are held against brute force in the tests."""
+    return dict(_SQL)
