@@ -9,9 +9,13 @@ Training rows: a bounded sample of the labelled training documents; every langua
 ``PER_LANGUAGE`` rows (all, if it has fewer; less with over 33 languages), picked by the hash of doc_id so that
 reruns agree; whole texts are used.  ``SAMPLE_BOUND`` is the hard bound of the sample.
 
-Calibration: a temperature is fitted on a part of the sample that training does not see; ``score`` is the calibrated
-probability of the prediction, ``rejected`` is set if it is under the threshold below which
-accuracy on that part falls short of ``TARGET_ACCURACY``.  ``lang_pred`` stays the best language, as users may want
+No more than ``SAMPLE_BYTES`` of text are taken, in the order of the draw.
+
+Calibration: a temperature is fitted on a part of the sample that training does not see, on its whole texts and on a slice of each
+length of ``SLICES`` words of every text, as whole texts alone are hardly ever wrong.  The average says nothing of a text's length, so
+logits are multiplied by a power of the number of its n-grams, which is fitted as well; ``score`` is the calibrated
+probability of the prediction, ``rejected`` is set if it is under the threshold: the least score from which on
+accuracy on that part is ``TARGET_ACCURACY``.  ``coverage`` of the model is the share of that part at or above it.  ``lang_pred`` stays the best language, as users may want
 another threshold; only texts without any letter are ``und``.
 
 Defined results: null text or no letter: ``und``, score 0; no labelled training row at all: ``und`` for every text;
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import Words, blocks, texts_of
@@ -35,6 +39,8 @@ DIM = 16
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 600
 SAMPLE_BOUND = 20_000
+SAMPLE_BYTES = 128 << 20
+SLICES = (1, 2, 4, 8, 16, 32)
 EPOCHS = 12
 RATE = 4.0
 TARGET_ACCURACY = 0.99
@@ -83,13 +89,19 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    coverage: float = 0.0
+    growth: float = 0.0
+
+    def calibrated(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Probabilities from the average logits of texts of ``n`` n-grams."""
+        return softmax(z * (np.maximum(n, 1) ** self.growth / self.temperature)[:, None])
 
     def predict(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(index of the best language, calibrated probability) of each document."""
         bucket, doc = features(w)
         n = np.maximum(np.bincount(doc, minlength=w.n_docs), 1)
         z = np.stack([np.bincount(doc, self.logits[bucket, k], minlength=w.n_docs) for k in range(len(self.languages))], 1)
-        p = softmax((z / n[:, None] + self.bias) / self.temperature)
+        p = self.calibrated(z / n[:, None] + self.bias, n)
         best = p.argmax(1)
         return best, p[np.arange(len(p)), best]
 
@@ -99,21 +111,40 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[bytes], labels: list[str]) -> Model | None:
-    """Fit the model on labelled texts; None without any."""
-    if not texts:
-        return None
-    languages = sorted(set(labels))
+def _rows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, their shares, number of n-grams) of each text."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    rows: list[tuple[np.ndarray, np.ndarray, int]] = []
     for a, b in blocks(offsets):
         bucket, doc = features(Words(data, offsets, a, b, lower=True))
         key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
         edges = np.searchsorted(key, np.arange(b - a + 1) * BUCKETS)
         for i in range(b - a):
             c = count[edges[i] : edges[i + 1]]
-            rows.append((key[edges[i] : edges[i + 1]] % BUCKETS, (c / max(c.sum(), 1)).astype(np.float32)))
+            rows.append((key[edges[i] : edges[i + 1]] % BUCKETS, (c / max(c.sum(), 1)).astype(np.float32), int(c.sum())))
+    return rows
+
+
+def _slices(texts: list[bytes], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[bytes], np.ndarray]:
+    """The texts, and of each a run of words of every length that it exceeds, with their labels."""
+    out, own = list(texts), list(labels)
+    for t, y in zip(texts, labels):
+        words = t.split()
+        for n in SLICES:
+            if len(words) > n:
+                at = int(rng.integers(len(words) - n + 1))
+                out.append(b" ".join(words[at : at + n]))
+                own.append(y)
+    return out, np.array(own)
+
+
+def train(texts: list[bytes], labels: list[str]) -> Model | None:
+    """Fit the model on labelled texts; None without any."""
+    if not texts:
+        return None
+    languages = sorted(set(labels))
+    rows = _rows(texts)
     y = np.searchsorted(languages, labels)
     rng = np.random.default_rng(_SEED)
     order = rng.permutation(len(rows))
@@ -125,7 +156,7 @@ def train(texts: list[bytes], labels: list[str]) -> Model | None:
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(fit):
-            bucket, share = rows[i]
+            bucket, share, _ = rows[i]
             h = share @ table[bucket]
             z = h @ layer + bias
             g = np.exp(z - z.max())
@@ -137,14 +168,21 @@ def train(texts: list[bytes], labels: list[str]) -> Model | None:
     logits = (table @ layer).astype(np.float64)
     model = Model(languages, logits, bias.astype(np.float64), 1.0, 0.0)
     if len(check):
-        z = np.array([rows[i][1] @ logits[rows[i][0]] for i in check]) + bias
-        loss = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), y[check]], 1e-12)).mean() for t in np.geomspace(0.25, 8, 31)}
-        model.temperature = float(min(loss, key=loss.get))
-        p = softmax(z / model.temperature)
-        best, right = p.max(1), p.argmax(1) == y[check]
+        held, truth = _slices([texts[i] for i in check], y[check], rng)
+        kinds = _rows(held)
+        z, n = np.array([share @ logits[bucket] for bucket, share, _ in kinds]) + bias, np.array([x[2] for x in kinds])
+
+        def loss(model: Model) -> float:
+            return -np.log(np.maximum(model.calibrated(z, n)[np.arange(len(z)), truth], 1e-12)).mean()
+
+        grid = [Model(languages, model.logits, model.bias, float(t), 0.0, growth=float(g)) for t in np.geomspace(1 / 64, 64, 61) for g in np.arange(0, 1.01, 0.1)]
+        model = min(grid, key=loss)
+        p = model.calibrated(z, n)
+        best, right = p.max(1), p.argmax(1) == truth
         down = np.argsort(-best)
         good = np.flatnonzero(np.cumsum(right[down]) / np.arange(1, len(down) + 1) >= TARGET_ACCURACY)
         model.threshold = float(best[down][good[-1]]) if len(good) else 1.0
+        model.coverage = float((best >= model.threshold).mean())
     return model
 
 
@@ -157,7 +195,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str =
     each = min(PER_LANGUAGE, max(1, SAMPLE_BOUND // len(counts)))
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["n"]))]), F.col("lang"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(_SEED)), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(draw < share).select("lang", F.encode("text", "utf-8").alias("text"), "doc_id").limit(SAMPLE_BOUND).toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    text = F.encode("text", "utf-8").alias("text")
+    # ties of the draw by id and text: reruns take the same rows
+    order = [draw.alias("draw"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")]
+    drawn = labelled.where(draw < share).select("lang", text, "doc_id", F.octet_length("text").cast("long").alias("size"), *order).orderBy("draw", "id", "hash").limit(SAMPLE_BOUND)
+    upto = F.sum("size").over(Window.orderBy("draw", "id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sample = drawn.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("lang", "text", "doc_id").toPandas().sort_values(["doc_id", "lang"], kind="stable")
     return train([bytes(t) for t in sample["text"]], sample["lang"].tolist())
 
 

@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     leaders = saved(firsts.where("n > 1")).select(F.col("k0").alias("j0"), F.col("k1").alias("j1"), F.col("k2").alias("j2"), "first")
     copies = picked.select(order_id.alias("cid"), *[k.alias(f"k{i}") for i, k in enumerate(key)]).join(leaders, (F.col("k0") == F.col("j0")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).where("cid > first").select("cid", F.col("k0").alias("ck")).distinct()
     tagged = picked.withColumn("k0", F.xxhash64("text"))
-    flagged = tagged.join(copies, (order_id == F.col("cid")) & (F.col("k0") == F.col("ck")), "left").select("doc_id", "text", F.col("cid").isNotNull().alias("copy"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    flagged = tagged.join(copies, (order_id == F.col("cid")) & (F.col("k0") == F.col("ck")), "left").select("doc_id", "text", F.col("cid").isNotNull().alias("copy"), F.pmod(F.xxhash64("doc_id", "k0"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def announce(table: pa.Table) -> pa.Table:
         c = Chunk(table)

@@ -336,10 +336,35 @@ def test_language_id(spark, documents, none):
     assert all(0 <= r.score <= 1 for r in odd.values())
     assert langid.identify(none, model).count() == 0 and langid.fit(none) is None
     assert {r.lang_pred for r in langid.identify(documents, None).collect()} == {"und"}
+    # the temperature is inside its grid, and the threshold cuts off some slices but no great part of them
+    assert 1 / 64 < model.temperature < 64 and 0.3 < model.threshold < 1 - 1e-6 and 0.5 < model.coverage < 1
+    whole = [r for r in got if len(r.lang) and r.score >= model.threshold]
+    assert len(whole) >= 0.97 * len(got)
     right = [r for r in got if not r.rejected]
     assert np.mean([r.lang_pred == r.lang for r in right]) >= np.mean([r.lang_pred == r.lang for r in got])
 
 
+def test_language_scores_are_calibrated(spark):
+    """Scores of slices that training has not seen: about as many are right as they say, and the accepted ones are right."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rng = np.random.default_rng(17)
+    rows = []
+    for r in docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1 and lang is not null").collect():
+        words = r.text.split()
+        for n in (1, 2, 3, 6, 12):
+            if len(words) > n:
+                at = int(rng.integers(len(words) - n))
+                rows.append((len(rows), r.lang, " ".join(words[at : at + n])))
+    truth = {i: x for i, x, _ in rows}
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, lang string, text string"), model).where("lang_pred <> 'und'").collect()
+    right = np.array([r.lang_pred == truth[r.doc_id] for r in got])
+    score = np.array([r.score for r in got])
+    accepted = np.array([not r.rejected for r in got])
+    print("slices", right.mean(), "mean score", score.mean(), "accepted", accepted.mean(), right[accepted].mean(), model.temperature, model.growth, model.threshold, model.coverage)
+    assert abs(right.mean() - score.mean()) < 0.05 and right[accepted].mean() >= 0.97 and accepted.mean() > 0.5
+
+
 def test_pages_of_the_template(spark, small):
     for r in html_extract.extract(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
