@@ -9,9 +9,9 @@ document with a smaller doc_id.  Windows never cross documents.
 2.  Sparse suffixes.  Every window has an *anchor*, the position of the smallest
     hashed ``GRAM``-byte string in it (leftmost if tied).  Equal windows have equal
     anchors, so only anchor suffixes need sorting: about one position in 15.
-3.  Each chunk of documents sends its sorted anchor hashes (delta-coded) to
-    buckets of the hash space; a bucket answers with one bit per hash: does
-    another chunk, or another document of the chunk, have it?
+3.  Each chunk of documents sends its sorted anchor hashes (delta-coded) with the number of their documents to
+    buckets of the hash space; a bucket answers with two bits per hash: do two documents
+    have it, and do more than ``HOT``?
 4.  Chunks sort the suffixes of these anchors and send **front-coded runs**
     (common-prefix length + rest).  Equal neighbourhoods within a chunk are sent
     once, so a passage in a third of all documents is one entry per chunk.
@@ -24,6 +24,10 @@ document with a smaller doc_id.  Windows never cross documents.
     smallest document of each such class decides.  One bit mask goes back per entry.
 7.  Chunks turn masks into removed spans.
 
+Hot anchors, those of more than ``HOT`` documents, would bring one bucket a neighbourhood per document wherever text of the document's own is next to a
+passage that very many share.  Their windows are sent one by one instead, each distinct one once a chunk, to the bucket of the window's own hash, and are
+merged there with all others: foreign text then spreads over all buckets.
+
 The unit of memory is a chunk (about 12 MB of text) or a bucket (as many as chunks);
 both grow in number with the input.
 
@@ -44,10 +48,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import _BYTE_VALUES, blocks, chunk_count, mix, powers, saved, text_bytes, texts_of, window_min
+from pagemill.llm.common import _BYTE_VALUES, blocks, chunk_count, expand, mix, powers, saved, squeeze, stretch, text_bytes, texts_of, window_min
 
 WIDTH = 50
 GRAM = 24
+#: Documents that have a hot anchor are more than so many.
+HOT = 4096
 SPAN = WIDTH - GRAM  # most bytes between a window's start and its anchor
 _POS_BITS = np.uint64(28)
 
@@ -101,15 +107,16 @@ class Chunk:
         self.pos, self.hash, self.spans, self.doc = self.pos[live], self.hash[live], self.spans[live], self.doc[live]
 
     def grouped(self, buckets: int):
-        """Distinct anchor hashes by bucket: (hash, in two documents here), and each anchor's index into them."""
+        """Distinct anchor hashes by bucket: (hash, number of documents here), and each anchor's index into them."""
         order = np.lexsort((self.doc, self.hash))
         h, d = self.hash[order], self.doc[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        many = np.zeros(len(first), bool)
-        np.logical_or.at(many, group, d != d[first][group])
+        fresh = new.copy()
+        fresh[1:] |= d[1:] != d[:-1]
+        many = np.bincount(group[fresh], minlength=len(first))
         index = np.empty(len(h), np.int64)
         index[order] = group
         distinct = h[first]
@@ -143,6 +150,36 @@ def entries_of(chunk: Chunk, index: np.ndarray, shared: np.ndarray):
     return picked, keys, docs, least
 
 
+def windows_of(chunk: Chunk, index: np.ndarray, hot: np.ndarray):
+    """The windows of hot anchors: (start, anchor, doc) of each, its hash's number, and of each number the hash and the first window (of the least document).
+
+    Windows of a chunk are told apart by 64-bit hashes.
+    """
+    picked = np.flatnonzero(hot[index])
+    lo, size = chunk.spans[picked, 0], chunk.spans[picked, 1] - chunk.spans[picked, 0] + 1
+    start = expand(lo, size)
+    anchor, doc = np.repeat(chunk.pos[picked], size), np.repeat(chunk.doc[picked], size)
+    hashes = np.zeros(len(start), np.uint64)
+    up, _ = powers(WIDTH)
+    for a in range(0, len(start), 1 << 16):
+        part = start[a : a + (1 << 16)]
+        for j in range(WIDTH):
+            hashes[a : a + (1 << 16)] += _BYTE_VALUES[chunk.data[part + j]] * up[j]
+    hashes = mix(hashes)
+    order = np.lexsort((start, doc, hashes))
+    h = hashes[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return start, anchor, doc, number, h[new], order[new]
+
+
+def window_keys(raw: bytes, start: np.ndarray, anchor: np.ndarray) -> list[tuple[bytes, bytes, int, int]]:
+    """The key of each single window, as those of ``entries_of``."""
+    return [(raw[p : s + WIDTH], raw[s:p][::-1], p - s, p - s) for s, p in zip(start.tolist(), anchor.tolist())]
+
+
 def front_coded(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
     """A sorted run: for each row common prefix with the previous suffix, rest, reach, left context and document id."""
     head = struct.Struct("<BBBBq")
@@ -273,31 +310,18 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], _MSG_ARROW.field(i).type) for i in range(4)], schema=_MSG_ARROW)
 
 
-def _pack(h: np.ndarray) -> bytes:
-    import zstandard
-
-    step = np.diff(h, prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
-
-
-def _shared_flags(messages: pa.Table, buckets: int, edges: np.ndarray, n: int) -> np.ndarray:
-    """One flag for each distinct hash of a chunk, from the buckets' answers of kind 0."""
-    shared = np.zeros(n, bool)
+def _shared_flags(messages: pa.Table, edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shared and not hot, hot) for each distinct hash of a chunk, from the buckets' answers of kind 0."""
+    shared, hot = np.zeros(n, bool), np.zeros(n, bool)
     for b, kind, data in zip(messages.column("bucket").to_pylist(), messages.column("kind").to_pylist(), messages.column("data").to_pylist()):
         if kind == 0:
             lo, hi = int(edges[b]), int(edges[b + 1])
-            shared[lo:hi] = np.unpackbits(np.frombuffer(data, np.uint8), count=hi - lo).astype(bool)
-    return shared
+            both = np.unpackbits(np.frombuffer(data, np.uint8).reshape(2, -1), axis=1, count=hi - lo).astype(bool)
+            shared[lo:hi], hot[lo:hi] = both
+    return shared & ~hot, hot
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: counts, sha256 of what is left and the removed byte spans (starts, ends)."""
     import zstandard
 
@@ -323,28 +347,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for b in range(buckets):
             lo, hi = int(edges[b]), int(edges[b + 1])
             if hi > lo:
-                rows.append((me, b, hi - lo, _pack(distinct[lo:hi]) + np.packbits(many[lo:hi]).tobytes()))
+                rows.append((me, b, hi - lo, squeeze(distinct[lo:hi], many[lo:hi])))
         return _table(rows)
 
     def answer(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
         who, counts, data = table.column("chunk").to_pylist(), table.column("kind").to_pylist(), table.column("data").to_pylist()
-        hashes, many = [], []
-        for n, x in zip(counts, data):
-            tail = -(-n // 8)
-            hashes.append(_unpack(x[: len(x) - tail]))
-            many.append(np.unpackbits(np.frombuffer(x[len(x) - tail :], np.uint8), count=n).astype(bool))
-        every, flags = np.concatenate(hashes), np.concatenate(many)
-        order = np.argsort(every, kind="stable")
-        s = every[order]
-        hit = flags[order]
-        same = s[1:] == s[:-1]
-        hit[1:] |= same
-        hit[:-1] |= same
-        shared = np.empty(len(s), bool)
-        shared[order] = hit
+        parts = [stretch(x, n, 2) for n, x in zip(counts, data)]
+        every, docs_ = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+        _, at = np.unique(every, return_inverse=True)
+        total = np.bincount(at.reshape(-1), docs_)[at.reshape(-1)]  # documents that have the anchor, in all chunks
         cuts = np.cumsum([0, *counts])
-        return _table([(c, b, 0, np.packbits(shared[i:j]).tobytes()) for c, i, j in zip(who, cuts, cuts[1:])])
+        return _table([(c, b, 0, np.packbits(np.stack([total[i:j] > 1, total[i:j] > hot]), axis=1).tobytes()) for c, i, j in zip(who, cuts, cuts[1:])])
 
     def send(key, table: pa.Table, messages: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -352,7 +366,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         c = Chunk(table)
         me = key[0].as_py()
         distinct, _, index, edges = c.grouped(buckets)
-        picked, keys, docs_, least = entries_of(c, index, _shared_flags(messages, buckets, edges, len(distinct)))
+        shared, often = _shared_flags(messages, edges, len(distinct))
+        picked, keys, docs_, least = entries_of(c, index, shared)
         by: dict[int, list] = {}
         where = bucket_of(c.hash[picked], buckets).tolist()
         seen = set()
@@ -360,6 +375,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             if least[k] == d and k not in seen:
                 seen.add(k)
                 by.setdefault(b, []).append((*k, int(c.ids[d])))
+        start, anchor, doc, _, h, first = windows_of(c, index, often)
+        for k, d, b in zip(window_keys(c.data.tobytes(), start[first], anchor[first]), doc[first].tolist(), bucket_of(h, buckets).tolist()):
+            by.setdefault(b, []).append((*k, int(c.ids[d])))
         rows = []
         for b, x in by.items():
             x.sort()
@@ -389,12 +407,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if not n_docs:
             return _OUT_ARROW.empty_table()
         distinct, _, index, edges = c.grouped(buckets)
-        picked, keys, docs_, least = entries_of(c, index, _shared_flags(messages, buckets, edges, len(distinct)))
+        shared, often = _shared_flags(messages, edges, len(distinct))
+        picked, keys, docs_, least = entries_of(c, index, shared)
         masks = {b: np.frombuffer(zstandard.decompress(x), np.uint32) for b, kind, x in zip(messages.column("bucket").to_pylist(), messages.column("kind").to_pylist(), messages.column("data").to_pylist()) if kind == 1}
         by: dict[int, set] = {}
         where = bucket_of(c.hash[picked], buckets).tolist()
         for k, b in zip(keys, where):
             by.setdefault(b, set()).add((*k, int(c.ids[least[k]])))
+        start, anchor, doc, number, h, first = windows_of(c, index, often)
+        single = window_keys(c.data.tobytes(), start[first], anchor[first])
+        for k, d, b in zip(single, doc[first].tolist(), bucket_of(h, buckets).tolist()):
+            by.setdefault(b, set()).add((*k, int(c.ids[d])))
         mask_of: dict = {}
         for b, x in by.items():
             for k, m in zip(sorted(x), masks[b].tolist()):
@@ -415,6 +438,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if low:
             np.add.at(gone, np.array(low, np.int64), 1)
             np.add.at(gone, np.array(high, np.int64), -1)
+        if len(start):
+            away = np.array([bool(mask_of[k] >> k[2] & 1) for k in single])
+            out_of = start[away[number] | (c.ids[doc] > c.ids[doc[first]][number])]
+            np.add.at(gone, out_of, 1)
+            np.add.at(gone, out_of + WIDTH, -1)
         for i in np.flatnonzero(c.whole).tolist():
             a, b = int(c.offsets[i]), int(c.offsets[i + 1])
             if b - a >= WIDTH:

@@ -22,7 +22,8 @@ def key(i):
     return -(2**63) if i is None else i
 
 
-def test_suffix_dedup(documents, rows):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1, 3])
+def test_suffix_dedup(documents, rows, hot):
     first: dict = {}
     for r in rows:
         b = (r.text or "").encode()
@@ -37,7 +38,7 @@ def test_suffix_dedup(documents, rows):
                 gone[s : s + 50] = b"\1" * 50
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[(r.doc_id, len(b), sum(gone), sum(bool(x) for x in bytes(gone).split(b"\0")), hashlib.sha256(kept).hexdigest())] += 1
-    got = suffix_dedup.remove_repeats(documents).collect()
+    got = suffix_dedup.remove_repeats(documents, hot=hot).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert sum(r.n_removed for r in got) > 0
     assert all(sum(e - s for s, e in zip(r.starts, r.ends)) == r.n_removed for r in got)
