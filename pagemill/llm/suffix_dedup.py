@@ -100,7 +100,8 @@ class Chunk:
             pos, h, spans = anchors(self.data[base : int(self.offsets[b])], self.offsets[a : b + 1] - base)
             parts.append((pos + base, h, spans + base))
         self.pos = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        self.hash = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
+        # anchors are the least hashes of their windows: mixed again, they fill the buckets evenly
+        self.hash = mix(np.concatenate([p[1] for p in parts])) if parts else np.zeros(0, np.uint64)
         self.spans = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, 2), np.int64)
         self.doc = np.searchsorted(self.offsets, self.spans[:, 0], "right") - 1
         live = ~self.whole[self.doc] if len(self.doc) else np.zeros(0, bool)
