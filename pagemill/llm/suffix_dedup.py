@@ -331,14 +331,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chunks = chunk_count(n_bytes)
     buckets = max(256, 2 * chunks)  # more than chunks: a task then holds several small ones, evenly
     # copies: same text, first row by doc_id; two 64-bit hashes and the length stand for the text
-    key = [F.xxhash64("text"), F.hash("text"), F.octet_length("text")]
     order_id = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    firsts = picked.select(order_id.alias("id"), *[k.alias(f"k{i}") for i, k in enumerate(key)]).groupBy("k0", "k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    # written: a join of two plain shuffles can be split if a group of copies is large, and a small table is broadcast by its measured size
+    keyed = picked.select("*", F.xxhash64("text").alias("k0"), F.hash("text").alias("k1"), F.octet_length("text").alias("k2"))
+    firsts = keyed.groupBy("k0", "k1", "k2").agg(F.min(order_id).alias("first"), F.count(F.lit(1)).alias("n"))
+    # written: the join knows its size (a small table is broadcast, so that texts stay where they are), and can be split if a group of copies is large
     leaders = saved(firsts.where("n > 1")).select(F.col("k0").alias("j0"), F.col("k1").alias("j1"), F.col("k2").alias("j2"), "first")
-    copies = picked.select(order_id.alias("cid"), *[k.alias(f"k{i}") for i, k in enumerate(key)]).join(leaders, (F.col("k0") == F.col("j0")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).where("cid > first").select("cid", F.col("k0").alias("ck")).distinct()
-    tagged = picked.withColumn("k0", F.xxhash64("text"))
-    flagged = tagged.join(copies, (order_id == F.col("cid")) & (F.col("k0") == F.col("ck")), "left").select("doc_id", "text", F.col("cid").isNotNull().alias("copy"), F.pmod(F.xxhash64("doc_id", "k0"), F.lit(chunks)).cast("int").alias("chunk"))
+    same = (F.col("k0") == F.col("j0")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))
+    flagged = keyed.join(leaders, same, "left").select("doc_id", "text", F.coalesce(order_id > F.col("first"), F.lit(False)).alias("copy"), F.pmod(F.xxhash64("doc_id", "k0"), F.lit(chunks)).cast("int").alias("chunk"))
 
     def announce(table: pa.Table) -> pa.Table:
         c = Chunk(table)
