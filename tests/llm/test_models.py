@@ -159,6 +159,8 @@ def test_passage_whose_seeds_others_have(spark):
     rng = np.random.default_rng(36)
     some = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
     passage = some(64)
+    two = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([some(50), passage, passage + some(9), some(60), some(9) + passage[:50]], 7)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in chain_dedup.fuzzy_repeats(two).collect()} == {7: 7, 8: 8, 9: 8, 10: 10, 11: 8}
     for copies in (1, 5):  # with five, the short seeds have more documents than owners
         slices = [passage[a:b] for a, b in ((0, 20), (14, 36), (30, 50), (46, 64)) for _ in range(copies)]
         texts = [some(30) + x + some(30) for x in slices] + [some(25) + passage + some(35), some(40) + passage + some(10)]
@@ -209,6 +211,8 @@ def test_rows_of_one_id_are_told_apart(spark):
     leak = some(20) + passage
     rows = [(1, " ".join(passage + some(10))), (2, " ".join(leak)), (2, " ".join(clean)), (None, " ".join(some(30) + passage[:50])), (None, " ".join(some(70))), (2, " ".join(leak)), (3, " ".join(leak)), (4, None), (5, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key2", "2 as k0", "'x' as words", "3 as leader", "4L as chunk", "5 as source")
+    classes = {(r.doc_id, r.n_words): r.class_id for r in chain_dedup.fuzzy_repeats(df).collect()}
+    assert classes == {(None, 80): None, (None, 70): None, (1, 70): None, (2, 80): None, (2, 300): 2, (3, 80): None, (4, 0): 4, (5, 0): 5}
     got = sorted(((r.doc_id, r.n_words, r.n_dup_words, tuple(r.sources), r.n_linked) for r in chain_dedup.fuzzy_repeats(df).collect()), key=repr)
     # the null document comes first; 1 has 50 words of it, 2 and its copies 60 of 1
     assert got == sorted([(None, 80, 0, (), 2), (None, 70, 0, (), 0), (1, 70, 50, (None,), 1), (2, 80, 60, (None, 1), 1), (2, 80, 60, (None, 1), 1), (2, 300, 0, (), 0), (3, 80, 80, (2,), 0), (4, 0, 0, (), 0), (5, 0, 0, (), 0)], key=repr)
