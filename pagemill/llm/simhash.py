@@ -179,14 +179,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     # a round writes as many files as its edges need, not as many as there are shuffle partitions
     keep = lambda df, n: saved(df.coalesce(max(12, n // EDGES_PER_FILE)))
+    # dealt by another key than the join's: the minima are then no part of the join's stage, and adaptive execution can split a hub's edges
+    apart = lambda df: df.repartition(F.xxhash64("u"))
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     mark = stamp(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = apart(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         before, now = now, keep(small.select("e.u", "e.v").where("u <> v").distinct(), mark[0])
         mark, last = stamp(now), mark
