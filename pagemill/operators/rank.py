@@ -122,10 +122,16 @@ def rerank_docs(previews: DataFrame, queries: DataFrame, scorer: Callable[[Colum
     return scored.withColumn("rank", F.row_number().over(_by_query().orderBy(F.round("score", 9).desc(), "before"))).drop("before")
 
 
-def rerank_docs_unless_sure(pages: DataFrame, texts: DataFrame, queries: DataFrame, top_n: int = 3, margin: float = 0.035, **preview) -> DataFrame:
-    """F3 in document mode: sure queries keep their ranking, the others pay for the model; adds ``skipped``."""
+def rerank_docs_unless_sure(pages: DataFrame, texts: DataFrame, queries: DataFrame, top_n: int = 3, margin: float = 0.035, scorer: Callable[[Column, Column], Column] | None = overlap_score, **preview) -> DataFrame:
+    """F3 in document mode: sure queries keep their ranking, the others pay for the model ``scorer``; adds ``skipped``."""
     flags = skip_flags(pages, top_n, margin)
     sure = flags.where("skip").select("qid")
     kept = doc_ranking(pages.join(sure, "qid", "left_semi")).select("qid", "doc_id", "score", "rank", F.lit(True).alias("skipped"))
-    again = rerank_docs(doc_previews(pages.join(sure, "qid", "left_anti"), texts, **preview), queries).select("qid", "doc_id", "score", "rank", F.lit(False).alias("skipped"))
+    again = rerank_docs(doc_previews(pages.join(sure, "qid", "left_anti"), texts, **preview), queries, scorer).select("qid", "doc_id", "score", "rank", F.lit(False).alias("skipped"))
     return kept.unionByName(again)
+
+
+def rerank_changes(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, skipped, changed): whether the model put another document first; ``docs`` as ``rerank_docs_unless_sure`` returns it."""
+    before = doc_ranking(pages).where("rank = 1").select("qid", F.col("doc_id").alias("before"))
+    return docs.where("rank = 1").join(before, "qid").select("qid", "skipped", (~F.col("skipped") & (F.col("doc_id") != F.col("before"))).alias("changed"))

@@ -255,11 +255,8 @@ def segment_rows(pages: DataFrame, window: int, stride: int, demanded: DataFrame
     return pages.select("doc_id", "page_num", F.posexplode(segments("text", window, stride)).alias("seg_no", "x")).select("doc_id", "page_num", "seg_no", "x.start", "x.segment")
 
 
-def chunk_retrieval(seed: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, docs: int = 3, pages_per_doc: int = 6, doc_meta: DataFrame | None = None, min_top_doc_pages: int | None = None) -> DataFrame:
-    """Pages of the first ``docs`` seed documents scored by their best chunk, merged with the seeds by maximum.
-
-    ``chunks``: (doc_id, page_num, emb); ``queries``: (qid, emb); ``seed``: a ranking.
-    """
+def wanted_docs(seed: DataFrame, docs: int = 3, doc_meta: DataFrame | None = None, min_top_doc_pages: int | None = None) -> DataFrame:
+    """(qid, doc_id): the documents whose chunks a query asks for; none where its top document has too few pages."""
     from pagemill.operators.rank import doc_ranking
 
     ranked = doc_ranking(seed)
@@ -268,6 +265,15 @@ def chunk_retrieval(seed: DataFrame, chunks: DataFrame, queries: DataFrame, k: i
         enough = doc_meta.where(F.col("n_pages") >= min_top_doc_pages).select("doc_id")
         open_q = ranked.where("rank = 1").join(enough, "doc_id", "left_semi").select("qid")
         wanted = wanted.join(open_q, "qid", "left_semi")
+    return wanted
+
+
+def chunk_retrieval(seed: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, docs: int = 3, pages_per_doc: int = 6, doc_meta: DataFrame | None = None, min_top_doc_pages: int | None = None) -> DataFrame:
+    """Pages of the first ``docs`` seed documents scored by their best chunk, merged with the seeds by maximum.
+
+    ``chunks``: (doc_id, page_num, emb); ``queries``: (qid, emb); ``seed``: a ranking.
+    """
+    wanted = wanted_docs(seed, docs, doc_meta, min_top_doc_pages)
     pairs = wanted.join(queries.select("qid", F.col("emb").alias("q_emb")), "qid").join(chunks, "doc_id")
     best = dense_scores(pairs).groupBy("qid", "doc_id", "page_num").agg(F.max("score").alias("score"))
     order = Window.partitionBy("qid", "doc_id").orderBy(F.round("score", 9).desc(), "page_num")

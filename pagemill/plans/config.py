@@ -12,13 +12,14 @@ BASE = {
     "retrieval": {
         "top_k": 20, "index_mode": "page", "hybrid_enabled": False, "sparse_backend": "bm25", "sparse_top_k": 40, "hybrid_rrf_k": 60, "hybrid_dense_weight": 1.0, "hybrid_sparse_weight": 1.0,
         "structure_seed_top_k": 60, "structure_doc_topn": 3, "structure_pages_per_doc": 6, "structure_chunk_chars": 700, "structure_chunk_overlap": 120, "structure_heading_max_chars": 120, "structure_chunk_min_chars": 180,
+        "bge_max_length": 1536, "bge_batch_size": 8, "query_max_length": 256, "query_batch_size": 32, "structure_max_length": 512, "structure_bge_batch_size": 32,
         "structure_doc_guard_enabled": False, "structure_doc_guard_top_pages": 2, "structure_doc_guard_secondary_weight": 0.35,
     },
     "rerank": {"mode": "page", "model_preference": ["bge"], "max_length": 1024, "batch_size": 8, "page_text_chars": 4000, "doc_candidates_max": 6, "doc_preview_pages": 2, "doc_skip_topn": 3, "doc_skip_margin": 0.035},
     "llm": {"prompt_variant": "v4_evidence", "top_k_context": 4, "max_chars_per_page": 3500, "base_passes": 1, "hard_passes": 1, "easy_passes": 1, "confidence_gate_enabled": False, "easy_doc_margin": 0.12, "easy_page_margin": 0.05, "vote_temp": 0.5, "vote_margin": 0.08, "long_doc_hard_pages": 80, "n_ctx_candidates": [8192, 4096]},
     "page_selection": {
         "strategy": "same_doc_answer_aware", "answer_conditioning": "predicted_answer", "page_select_topk": 3, "segment_mode": "disabled", "segment_window": 900, "segment_stride": 512, "summary_topk": 3, "summary_chars": 320, "summary_heading_max_chars": 120,
-        "threshold_delta": 0.02, "threshold_max_pages": 4, "short_doc_max_pages": 12, "stage2_mode": "disabled", "stage2_margin": 0.03,
+        "summary_max_length": 256, "segment_max_length": 256, "threshold_delta": 0.02, "threshold_max_pages": 4, "short_doc_max_pages": 12, "stage2_mode": "disabled", "stage2_margin": 0.03,
     },
     "contracts": {"fail_on_component_fallback": False, "require_reranker": None, "require_gguf_filename": None, "require_n_ctx": None, "require_bm25_backend": False},
     "runtime": {"enable_runtime_governor": False, "time_budget_hours": 8.5, "fast_mode_warmup_q": 25, "fast_context_pages_cap": 3, "fast_max_chars_per_page_cap": 2500, "fast_disable_page_stage2": True},
@@ -28,7 +29,7 @@ _LOCK = {"lock_to_dense_top_doc": True}
 PRESETS: dict[str, dict] = {
     "base_local": BASE,
     "v7_baseline": {"inherits": "base_local", "rerank": {"model_preference": ["qwen3_0_6b", "bge"], "max_length": 2048, "batch_size": 4}, "llm": {"base_passes": 3, "hard_passes": 3}, "contracts": {"require_reranker": "qwen3_0_6b", "require_gguf_filename": "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf", "require_n_ctx": 8192}},
-    "v8_quality_branch": {"inherits": "base_local", "rerank": {"model_preference": ["qwen3_4b", "bge"], "batch_size": 4}, "llm": {"top_k_context": 5, "max_chars_per_page": 4000, "base_passes": 3, "hard_passes": 3}, "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "precompute", "segment_window": 1100, "segment_stride": 256, "stage2_mode": "always"}},
+    "v8_quality_branch": {"inherits": "base_local", "retrieval": {"bge_max_length": 2048}, "rerank": {"model_preference": ["qwen3_4b", "bge"], "batch_size": 4}, "llm": {"top_k_context": 5, "max_chars_per_page": 4000, "base_passes": 3, "hard_passes": 3}, "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "precompute", "segment_window": 1100, "segment_stride": 256, "stage2_mode": "always"}},
     "v9_regression": {"inherits": "base_local", "retrieval": {"top_k": 16}, "rerank": {"mode": "doc", "model_preference": ["qwen3_4b", "bge"], "batch_size": 4}, "llm": {"max_chars_per_page": 3200, "hard_passes": 3}, "contracts": {"require_reranker": "qwen3_4b", "require_gguf_filename": "MamayLM-Gemma-3-12B-IT-v1.0.Q4_K_M.gguf", "require_n_ctx": 8192}, "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "lazy", "stage2_mode": "adaptive"}, "runtime": _GOVERNED},
     "candidate_lazy_segments_v1": {"inherits": "v7_baseline", "page_selection": {"strategy": "locked_top_doc_all_pages", "segment_mode": "lazy", "stage2_mode": "adaptive"}},
     "candidate_locked_top_doc_v1": {"inherits": "v7_baseline", "page_selection": {"strategy": "locked_top_doc_all_pages"}},

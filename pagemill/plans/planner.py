@@ -18,6 +18,11 @@ from pagemill.operators import answer as an
 from pagemill.operators import locate, rank, retrieve
 from pagemill.plans import models
 from pagemill.plans.config import ContractError, check_contracts
+from pagemill.plans.runtime import for_pages
+from pagemill.sources.vectors import VectorStore
+
+#: Where an answer ends.
+STOPS, CHAT_STOPS = ("\n", "."), ("\n", ".", " ")
 
 
 @dataclass
@@ -29,6 +34,7 @@ class Plan:
     requests: DataFrame
     events: list[str] = field(default_factory=list)
     models: dict[str, str | None] = field(default_factory=dict)
+    rerank_flags: DataFrame | None = None
     kept: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
@@ -94,10 +100,12 @@ def fast_flags(config: dict, questions: DataFrame, timings: DataFrame | None, be
     return run.select("qid", F.coalesce(F.lag("fast").over(Window.partitionBy("run").orderBy("qid")), F.lit(False)).alias("fast"))
 
 
-def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.hashed_encoder, answerer=models.overlap_answerer, reranker=rank.overlap_score, strict: bool = False, rerankers: dict | None = None, timings: DataFrame | None = None, before_seconds: float = 0.0) -> Plan:
+def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.hashed_encoder, answerer=models.overlap_answerer, reranker=rank.overlap_score, strict: bool = False, rerankers: dict | None = None, timings: DataFrame | None = None, before_seconds: float = 0.0, store: VectorStore | None = None, sparse_backends: tuple[str, ...] = ("bm25",)) -> Plan:
     """``questions``: (qid long, question, options map<letter, text>); ``pages``: (doc_id long, page_num long, text, and see ``page_texts``).
 
-    ``rerankers``: the models that are there, by name; without it every model of the ladder is ``reranker``.
+    ``rerankers``: the models that are there, by name; without it every model of the ladder is ``reranker``.  ``store``: where vectors are kept
+    from run to run (texts that it lacks are encoded while the plan is built); without it they are computed as the plan runs.
+    Chunks and summaries are encoded for the documents that ask for them only (D7, D8).
     """
     search, choose, llm, rerank_cfg = config["retrieval"], config["page_selection"], config["llm"], config["rerank"]
     events: list[str] = []
@@ -108,23 +116,43 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
         kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return kept[-1]
 
+    def _sized(most: int, size: int):
+        """The encoder with a configuration's truncation and batch, where it can be told."""
+        return encoder.sized(most, size) if hasattr(encoder, "sized") else encoder
+
+    def _embedded(rows: DataFrame, text: str, encode) -> DataFrame:
+        """(doc_id, page_num, emb) of rows with a text."""
+        own = rows.select("doc_id", "page_num", F.col(text).alias("text"))
+        return own.select("doc_id", "page_num", encode(F.col("text")).alias("emb")) if store is None else store.embed(own, encode)
+
+    page_encoder, query_encoder = _sized(search["bge_max_length"], search["bge_batch_size"]), _sized(search["query_max_length"], search["query_batch_size"])
     rerankers = {m: reranker for m in rerank_cfg["model_preference"]} if rerankers is None else rerankers
     chosen = pick_reranker(config, rerankers, events, strict)
-    score_page = rerankers.get(chosen)
+    model = rerankers.get(chosen)
+    model = model.sized(rerank_cfg["max_length"], rerank_cfg["batch_size"]) if hasattr(model, "sized") else model
+    score_page = for_pages(model, rerank_cfg["page_text_chars"])
     governed = config["runtime"]["enable_runtime_governor"]
     texts = retrieve.neighbor_bleed(page_texts(pages, config["extraction"], events), config["extraction"]["neighbor_bleed_chars"]).select("doc_id", "page_num", F.col("bled").alias("text"))
-    vectors = _keep(texts.select("doc_id", "page_num", encoder(F.col("text")).alias("emb")))
-    asked = questions.select("qid", encoder(F.col("question")).alias("emb"))
+    vectors = _keep(_embedded(texts, "text", page_encoder))
+    asked = questions.select("qid", query_encoder(F.col("question")).alias("emb"))
     meta = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
 
     structured = search["index_mode"] == "structure_chunks"
     dense = retrieve.dense_topk(vectors, asked, search["structure_seed_top_k"] if structured else search["top_k"])
     if structured:
         cut = structure_chunks("text", "page_num", search["structure_chunk_chars"], search["structure_chunk_overlap"], search["structure_heading_max_chars"], search["structure_chunk_min_chars"])
-        chunks = texts.select("doc_id", "page_num", F.explode(cut).alias("chunk")).select("doc_id", "page_num", encoder(F.col("chunk")).alias("emb"))
+        dense = _keep(dense)  # the seeds say which documents' chunks are wanted
+        wanted = retrieve.wanted_docs(dense, search["structure_doc_topn"], meta, search.get("structure_doc_page_threshold"))
+        demanded = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        chunks = _embedded(demanded.select("doc_id", "page_num", F.explode(cut).alias("chunk")), "chunk", _sized(search["structure_max_length"], search["structure_bge_batch_size"]))
         dense = retrieve.chunk_retrieval(dense, chunks, asked, search["top_k"], search["structure_doc_topn"], search["structure_pages_per_doc"], meta, search.get("structure_doc_page_threshold"))
     candidates = dense
-    if search["hybrid_enabled"]:
+    if search["hybrid_enabled"] and search["sparse_backend"] not in sparse_backends:
+        # Dense alone, if the contract allows it
+        if config["contracts"]["require_bm25_backend"] or config["contracts"]["fail_on_component_fallback"]:
+            raise ContractError(f"sparse backend {search['sparse_backend']} is required")
+        events.append("retrieval: hybrid -> dense only")
+    elif search["hybrid_enabled"]:
         sparse = retrieve.bm25_topk(texts, questions.select("qid", F.col("question").alias("text")), max(search["top_k"], search["sparse_top_k"]))
         candidates = retrieve.hybrid(dense, sparse, search["top_k"], search["hybrid_rrf_k"], (search["hybrid_dense_weight"], search["hybrid_sparse_weight"]))
 
@@ -135,8 +163,11 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
         flags = rank.lock_flags(candidates, meta, choose.get("lock_to_dense_top_doc_min_pages", 0), choose.get("lock_dense_by_margin_threshold"))
         ordered = rank.exhaustive_lock(ordered, flags, vectors, asked) if choose.get("lock_exhaustive_dense") else rank.locked_order(ordered, flags)
     ordered = candidates if ordered is candidates else _keep(ordered)
-    if by_doc and score_page is not None:
-        docs = rank.rerank_docs_unless_sure(candidates, texts, questions, rerank_cfg["doc_skip_topn"], rerank_cfg["doc_skip_margin"], most_docs=rerank_cfg["doc_candidates_max"], preview_pages=rerank_cfg["doc_preview_pages"], page_chars=rerank_cfg["page_text_chars"]).drop("skipped")
+    rerank_flags = None
+    if by_doc and model is not None:
+        docs = rank.rerank_docs_unless_sure(candidates, texts, questions, rerank_cfg["doc_skip_topn"], rerank_cfg["doc_skip_margin"], model, most_docs=rerank_cfg["doc_candidates_max"], preview_pages=rerank_cfg["doc_preview_pages"], page_chars=rerank_cfg["page_text_chars"])
+        docs = _keep(docs)
+        rerank_flags, docs = rank.rerank_changes(candidates, docs), docs.drop("skipped")
     elif structured and search["structure_doc_guard_enabled"]:
         docs = rank.guarded_ranking(ordered, search["structure_doc_guard_top_pages"], search["structure_doc_guard_secondary_weight"])
     else:
@@ -177,12 +208,13 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
             F.lit(llm.get("chat_system_prompt", CHAT_SYSTEM) if chat else None).cast("string").alias("system"),
             F.when(F.col("pass_no") == 1, 0.0).otherwise(llm["vote_temp"]).alias("temperature"),
             F.lit(4 if chat else 3).alias("max_tokens"),
+            F.array(*map(F.lit, CHAT_STOPS if chat else STOPS)).alias("stop"),
             "context",
             "options",
         )
 
     def answered(requests: DataFrame) -> DataFrame:
-        return requests.select("qid", "pass_no", answerer(F.struct("prompt", "system", "temperature", "max_tokens", "pass_no", "context", "options")).alias("letter"))
+        return requests.select("qid", "pass_no", answerer(F.struct("prompt", "system", "temperature", "max_tokens", "stop", "pass_no", "context", "options")).alias("letter"))
 
     requests = requested(tries, contexts)
     votes = answered(requests)
@@ -199,19 +231,20 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
         queries = asked
     else:
         augmented = questions.join(voted.select("qid", "letter"), "qid").select("qid", F.trim(F.concat_ws(" ", "question", F.coalesce(F.try_element_at("options", F.col("letter")), F.lit("")))).alias("text"))
-        queries = augmented.select("qid", encoder(F.col("text")).alias("emb"))
+        queries = augmented.select("qid", query_encoder(F.col("text")).alias("emb"))
     strategy = choose["strategy"]
     if strategy == "same_doc_answer_aware":
         placed = locate.same_doc(ordered, tops, queries, vectors)
     elif strategy == "summary_then_answer_aware":
-        summaries = with_page_summary(texts, choose["summary_chars"], choose["summary_heading_max_chars"]).select("doc_id", "page_num", encoder(F.col("summary")).alias("emb"))
+        demanded = texts.join(tops.select("doc_id").distinct(), "doc_id", "left_semi")
+        summaries = _embedded(with_page_summary(demanded, choose["summary_chars"], choose["summary_heading_max_chars"]), "summary", _sized(choose["summary_max_length"], search["structure_bge_batch_size"]))
         placed = locate.summary_then_answer(tops, asked, queries, summaries, vectors, choose["summary_topk"])
     else:
         segments = None
         if choose["segment_mode"] != "disabled":
             lazy = choose["segment_mode"] == "lazy"
             cut = retrieve.segment_rows(texts, choose["segment_window"], choose["segment_stride"], tops if lazy else None, choose["short_doc_max_pages"] if lazy else None)
-            segments = cut.select("doc_id", "page_num", encoder(F.col("segment")).alias("emb"))
+            segments = _embedded(cut, "segment", _sized(choose["segment_max_length"], search["structure_bge_batch_size"]))
         scores = locate.page_scores(tops, queries, vectors, segments)
         if strategy == "avir_threshold":
             placed = locate.threshold(scores, ordered, choose["threshold_delta"], choose["threshold_max_pages"])
@@ -224,9 +257,9 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
                 if governed and caps["fast_disable_page_stage2"]:
                     listed = listed.join(flags, "qid")
                     wanted &= ~fast
-                if score_page is None:
+                if model is None:
                     wanted = F.lit(False)
-                again = rank.rerank_pages(listed.where(wanted).select("qid", "doc_id", "page_num", "score", "rank"), questions, texts, score_page or reranker)
+                again = rank.rerank_pages(listed.where(wanted).select("qid", "doc_id", "page_num", "score", "rank"), questions, texts, score_page)
                 placed = again.where("rank = 1").select("qid", "doc_id", "page_num", "score").unionByName(listed.where(~wanted & (F.col("rank") == 1)).select("qid", "doc_id", "page_num", "score"))
     predictions = questions.select("qid").join(voted.select("qid", "letter", "confidence"), "qid", "left").join(tops.withColumnRenamed("doc_id", "pred_doc"), "qid", "left").join(placed.select("qid", "page_num"), "qid", "left").select(F.col("qid").cast("string").alias("Question_ID"), F.coalesce("letter", F.lit(OPTION_LETTERS[0])).alias("Correct_Answer"), F.col("pred_doc").cast("string").alias("Doc_ID"), F.coalesce("page_num", F.lit(1)).cast("string").alias("Page_Num"))
-    return Plan(predictions, {"dense": dense, "candidates": candidates, "pages": ordered, "docs": docs}, contexts, votes, requests, events, {"reranker": chosen, "llm": config.get("llm_model", "default")}, kept)
+    return Plan(predictions, {"dense": dense, "candidates": candidates, "pages": ordered, "docs": docs}, contexts, votes, requests, events, {"reranker": chosen, "llm": config.get("llm_model", "default")}, rerank_flags, kept)
