@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import CHAT_SYSTEM, OPTION_LETTERS, blocks_text, longer_text, prompt, structure_chunks, with_page_summary, with_tables
 from pagemill.operators import answer as an
-from pagemill.operators import locate, rank, retrieve
+from pagemill.operators import locate, postings, rank, retrieve
 from pagemill.plans import models
 from pagemill.plans.config import ContractError, check_contracts
 from pagemill.plans.runtime import for_pages
@@ -100,11 +100,11 @@ def fast_flags(config: dict, questions: DataFrame, timings: DataFrame | None, be
     return run.select("qid", F.coalesce(F.lag("fast").over(Window.partitionBy("run").orderBy("qid")), F.lit(False)).alias("fast"))
 
 
-def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.hashed_encoder, answerer=models.overlap_answerer, reranker=rank.overlap_score, strict: bool = False, rerankers: dict | None = None, timings: DataFrame | None = None, before_seconds: float = 0.0, store: VectorStore | None = None, sparse_backends: tuple[str, ...] = ("bm25",)) -> Plan:
+def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.hashed_encoder, answerer=models.overlap_answerer, reranker=rank.overlap_score, strict: bool = False, rerankers: dict | None = None, timings: DataFrame | None = None, before_seconds: float = 0.0, store: VectorStore | None = None, sparse_backends: tuple[str, ...] = ("bm25",), index: postings.Index | None = None) -> Plan:
     """``questions``: (qid long, question, options map<letter, text>); ``pages``: (doc_id long, page_num long, text, and see ``page_texts``).
 
     ``rerankers``: the models that are there, by name; without it every model of the ladder is ``reranker``.  ``store``: where vectors are kept
-    from run to run (texts that it lacks are encoded while the plan is built); without it they are computed as the plan runs.
+    from run to run (texts that it lacks are encoded while the plan is built); without it they are computed as the plan runs.  ``index``: postings of the same pages, where they are kept.
     Chunks and summaries are encoded for the documents that ask for them only (D7, D8).
     """
     search, choose, llm, rerank_cfg = config["retrieval"], config["page_selection"], config["llm"], config["rerank"]
@@ -153,7 +153,8 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
             raise ContractError(f"sparse backend {search['sparse_backend']} is required")
         events.append("retrieval: hybrid -> dense only")
     elif search["hybrid_enabled"]:
-        sparse = retrieve.bm25_topk(texts, questions.select("qid", F.col("question").alias("text")), max(search["top_k"], search["sparse_top_k"]))
+        wanted, most = questions.select("qid", F.col("question").alias("text")), max(search["top_k"], search["sparse_top_k"])
+        sparse = retrieve.bm25_topk(texts, wanted, most) if index is None else postings.search(index, wanted, most)
         candidates = retrieve.hybrid(dense, sparse, search["top_k"], search["hybrid_rrf_k"], (search["hybrid_dense_weight"], search["hybrid_sparse_weight"]))
 
     candidates = _keep(candidates)

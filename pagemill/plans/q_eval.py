@@ -80,6 +80,17 @@ def metric_tree_diff(spark, d):
     return compare.tree_diff(left, right).select("path", "left", "right", R("delta"))
 
 
+@query("""WITH t AS (SELECT click_id // 2 AS id, click_id % 2 AS side, any_value(CASE WHEN json_valid(props) THEN props ELSE '{}' END) AS tree FROM clicks WHERE click_id IS NOT NULL GROUP BY click_id),
+n AS (SELECT t.id, t.side, replace(j.fullkey, '"', '') AS path, j.type = 'OBJECT' AS opens, CASE WHEN j.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN j.value::VARCHAR::DOUBLE WHEN j.type = 'BOOLEAN' THEN j.value::VARCHAR::BOOLEAN::DOUBLE END AS value FROM t, json_tree(t.tree) j WHERE NOT contains(j.fullkey, '[')),
+b AS (SELECT coalesce(l.id, r.id) AS id, coalesce(l.path, r.path) AS path, l.value AS a, r.value AS b, coalesce(l.opens, false) AND coalesce(r.opens, false) AS open FROM (SELECT * FROM n WHERE side = 0) l FULL JOIN (SELECT * FROM n WHERE side = 1) r ON l.id = r.id AND l.path = r.path)
+SELECT x.id::VARCHAR AS id, substr(x.path, 3) AS path, x.a AS "left", x.b AS "right", x.b - x.a AS delta FROM b x WHERE NOT x.open AND (x.path = '$' OR EXISTS (SELECT 1 FROM b y WHERE y.open AND y.id = x.id AND y.path = regexp_replace(x.path, '\\.[^.]*$', '')))""")
+def metric_tree_json_diff(spark, d):
+    """Trees of any shape: the properties of each click with an even number and of the one after it."""
+    props = table(spark, d, "clicks").where("click_id is not null").groupBy("click_id").agg(F.any_value("props").alias("tree"))
+    side = lambda k: props.where(F.col("click_id") % 2 == k).select(F.expr("click_id div 2").alias("id"), "tree")
+    return compare.metric_tree_diff(side(0), side(1))
+
+
 _SIDES = "l AS (SELECT * FROM a_p), r AS (SELECT * FROM b_p)"
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators import answer as an
-from pagemill.operators import locate, metrics, rank, retrieve
+from pagemill.operators import locate, metrics, postings, rank, retrieve
 from pagemill.plans.registry import DOCS, VEC, dense_sql, query, table, tokens_sql, vec_meta, vec_pages, vec_queries
+from pagemill.sources.scratch import scratch_path
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 
@@ -90,6 +91,13 @@ def bm25_topk(spark, d):
     return retrieve.bm25_topk(text_docs(spark, d), text_queries(spark, d), 10).select("qid", "doc_id", "page_num", R("score"), "rank")
 
 
+@query(f"WITH {bm25_sql(10)} SELECT qid, doc_id, page_num, round(score, 6) AS score, rank FROM bm")
+def bm25_index_topk(spark, d):
+    """The same ranking from a written index whose lists are read as far as their bounds ask for."""
+    index = postings.build_index(text_docs(spark, d), scratch_path(spark))
+    return postings.search(index, text_queries(spark, d), 10).select("qid", "doc_id", "page_num", R("score"), "rank")
+
+
 # the dense side of the fusion: pages of the query's neighbours by a second vector space (the vector reversed)
 _REV = """rev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, page_num) AS rank FROM (SELECT q.qid, v.doc_id, v.page_num, list_dot_product(list_transform(q.emb, lambda x: abs(x)), list_transform(v.emb, lambda x: abs(x))) AS score FROM q JOIN v ON v.page_num <> q.qid)) WHERE rank <= 40)"""
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagemill.schemas import QUESTION
+from pagemill.sources.page_files import read_pages, without_events
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -43,21 +44,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | None = None)
 
 
 def read_page_files(spark: SparkSession, root: str, parse, pattern: str = "*.pdf") -> DataFrame:
-    """A4: one row per page of every file under ``root``: (doc_id: file name, domain: folder, page_num, text).
+    """A4: one row per page of every file under ``root``: (doc_id: file name, domain: folder, page_num, text); files that break are left out.
 
-    ``parse``: bytes to a list of page texts; it runs on the executors, a file at a time.
+    ``parse``: bytes to a list of page texts.  ``page_files.read_pages`` takes parsers that stream, and tells which files broke.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
-    parts = F.split("path", "/")
-    named = files.select(F.element_at(parts, -1).alias("doc_id"), F.try_element_at(parts, F.lit(-2)).alias("domain"), "content")
-
-    def run(batches):
-        for pdf in batches:
-            pdf["texts"] = [list(parse(bytes(c))) for c in pdf["content"]]
-            yield pdf[["doc_id", "domain", "texts"]]
-
-    parsed = named.mapInPandas(run, "doc_id string, domain string, texts array<string>")
-    return parsed.select("doc_id", "domain", F.posexplode("texts").alias("i", "text")).select("doc_id", "domain", (F.col("i") + 1).alias("page_num"), "text")
+    pages = read_pages(spark, root, lambda file: parse(file.read()), pattern)
+    return without_events(pages)[0].select("doc_id", "domain", "page_num", "text")
 
 
 def resolve_split(root: str, split: str = "full", fold: int | None = None, file: str | None = None) -> str:

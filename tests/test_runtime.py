@@ -99,13 +99,24 @@ def test_store_encodes_a_text_once(spark, tmp_path):
     later.embed(rows, encoder.sized(3, 5))
     assert later.encoded == 3  # another truncation, other vectors
     # two runs that appended the same text at once
-    folder = f"{tmp_path}/vectors/encoder=fake-stored-10"
-    spark.read.parquet(folder).limit(2).write.mode("append").parquet(folder)
+    spark.read.parquet(*later.batches("fake-stored-10")).limit(2).write.parquet(f"{tmp_path}/vectors/encoder=fake-stored-10/again")
     assert later.embed(rows, encoder).count() == 5 and later.encoded == 0
     assert later.embed(rows.limit(0), encoder).count() == 0
+    # a batch that was not committed does not count
+    spark.createDataFrame([("0" * 64, [1.0])], "h string, emb array<float>").write.parquet(f"{tmp_path}/vectors/encoder=fake-stored-10/torn")
+    os.remove(f"{tmp_path}/vectors/encoder=fake-stored-10/torn/_SUCCESS")
+    assert not any(b.endswith("torn") for b in later.batches("fake-stored-10"))
 
 
-@pytest.mark.parametrize("name", ["candidate_structure_chunks_v1", "candidate_page_summary_selector_v1", "candidate_lazy_segments_v1"])
+def test_reads_of_one_plan_keep_their_own_batches(spark, tmp_path):
+    encoder = runtime.TextEncoder("fake-union", partial(load, str(tmp_path), Fake), 10, 5)
+    store = VectorStore(spark, f"{tmp_path}/vectors")
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "doc_id long, page_num long, text string")
+    first, second = store.embed(rows.where("doc_id = 1"), encoder), store.embed(rows, encoder)
+    assert first.unionByName(second).count() == 5
+
+
+@pytest.mark.parametrize("name", ["candidate_structure_chunks_v1", "candidate_page_summary_selector_v1"])
 def test_plans_with_kept_vectors(spark, tmp_path, inputs, name):
     """The same predictions, nothing encoded twice, and only documents that are asked for."""
     kept = [VectorStore(spark, str(tmp_path)) for _ in range(2)]
