@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import NO_CONTEXT, PAGE_TAG, strip
+from pagemill.sources.scratch import scratch_path, written
 
 
 def doc_mode_order(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -57,25 +58,22 @@ def passes(doc_margin: Column | str, n_docs: Column | str, page_margin: Column |
 
 
 def governor(steps: DataFrame, total: int | Column, budget_seconds: float = 8.5 * 3600, warm_up: int = 25, before_seconds: float = 0.0, run: str = "run", order: tuple[str, ...] = ("ts", "event_id"), seconds: str = "seconds") -> DataFrame:
-    """Adds done, elapsed, projected, trips and fast (latched) to the steps of each run, in order.
+    """Adds done, elapsed, projected, trips, fast (latched) and fast_before (what the step itself runs under) to the steps of each run, in order.
 
-    The state before a step decides: ``done`` counts the steps before it.
+    A distributed scan, so a run of any length is no one task's: steps are dealt by ranges of (run, order) and written with the number of their range; a range's
+    steps are counted and summed by themselves, and the totals of the run's earlier ranges, one row a range, are added.  The latch needs no
+    second scan: it holds from the first step that trips.
     """
-    whole = Window.partitionBy(run).orderBy(*order)
-    upto = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done = F.row_number().over(whole)
-    elapsed = F.sum(seconds).over(upto)
+    blocked = written(steps.repartitionByRange(run, *order).withColumn("_block", F.spark_partition_id()), scratch_path(steps.sparkSession))
+    by_range = blocked.groupBy(run, "_block").agg(F.count(F.lit(1)).alias("n"), F.sum(seconds).alias("s"))
+    earlier = Window.partitionBy(run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_range.select(F.col(run).alias("_run"), F.col("_block").alias("_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_done"), F.sum("s").over(earlier).alias("_elapsed"))
+    inside = Window.partitionBy(run, "_block").orderBy(*order)
+    local = blocked.withColumns({"_n": F.row_number().over(inside), "_s": F.sum(seconds).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    timed = local.join(offsets, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_block") == F.col("_range"))).withColumns({"done": F.col("_done") + F.col("_n"), "elapsed": F.when(F.col("_elapsed").isNull(), F.col("_s")).otherwise(F.col("_elapsed") + F.coalesce("_s", F.lit(0)))})
     total = F.lit(total) if isinstance(total, int) else total
-    timed = steps.withColumn("done", done).withColumn("elapsed", elapsed)
     projected = timed.withColumn("projected", before_seconds + F.col("elapsed") + F.col("elapsed") / F.col("done") * F.greatest(total - F.col("done"), F.lit(0)))
-    trips = projected.withColumn("trips", (F.col("done") >= warm_up) & (F.round("projected", 6) > budget_seconds))
-    return trips.withColumn("fast", F.max("trips").over(upto))
-
-
-def fast_caps(fast: Column, top_k_context: int = 4, page_chars: int = 3500, pages_cap: int = 3, chars_cap: int = 2500) -> dict[str, Column]:
-    """What the latch changes: passes, context pages, characters of a page, second stage."""
-    return {
-        "context_pages": F.when(fast, min(top_k_context, pages_cap)).otherwise(top_k_context),
-        "page_chars": F.when(fast, min(page_chars, chars_cap)).otherwise(page_chars),
-        "stage2": ~fast,
-    }
+    trips = projected.withColumn("trips", (F.col("done") >= warm_up) & (F.round("projected", 6) > budget_seconds)).drop("_block", "_range", "_run", "_n", "_s", "_done", "_elapsed")
+    first = trips.where("trips").groupBy(F.col(run).alias("_run")).agg(F.min("done").alias("_first"))
+    latched = lambda holds: F.coalesce(holds, F.lit(False))
+    return trips.join(first, F.col(run).eqNullSafe(F.col("_run")), "left").withColumns({"fast": latched(F.col("done") >= F.col("_first")), "fast_before": latched(F.col("done") > F.col("_first"))}).drop("_first", "_run")

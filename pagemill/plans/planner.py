@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import CHAT_SYSTEM, OPTION_LETTERS, blocks_text, longer_text, prompt, structure_chunks, with_page_summary, with_tables
@@ -94,10 +94,9 @@ def fast_flags(config: dict, questions: DataFrame, timings: DataFrame | None, be
         steps = asked.withColumn("seconds", F.lit(0.0))
     else:
         steps = asked.join(timings.select("qid", "seconds"), "qid", "left").fillna(0.0, ["seconds"])
-    total = F.count(F.lit(1)).over(Window.partitionBy("run"))
-    steps = steps.withColumn("total", total)
+    steps = steps.join(steps.groupBy("run").agg(F.count(F.lit(1)).alias("total")), "run")
     run = an.governor(steps, F.col("total"), limits["time_budget_hours"] * 3600, limits["fast_mode_warmup_q"], before_seconds, order=("qid",))
-    return run.select("qid", F.coalesce(F.lag("fast").over(Window.partitionBy("run").orderBy("qid")), F.lit(False)).alias("fast"))
+    return run.select("qid", F.col("fast_before").alias("fast"))
 
 
 def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.hashed_encoder, answerer=models.overlap_answerer, reranker=rank.overlap_score, strict: bool = False, rerankers: dict | None = None, timings: DataFrame | None = None, before_seconds: float = 0.0, store: VectorStore | None = None, sparse_backends: tuple[str, ...] = ("bm25",), index: postings.Index | None = None) -> Plan:
