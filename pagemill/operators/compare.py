@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAGES = ("dense_doc", "final_doc", "dense_page", "final_page")
@@ -47,39 +47,30 @@ def tree_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("path", F.col("value").alias("left")).join(right.select("path", F.col("value").alias("right")), "path", "full").select("path", "left", "right", (F.col("right") - F.col("left")).alias("delta"))
 
 
-def metric_nodes(trees: DataFrame, name: str = "id", tree: str = "tree") -> DataFrame:
-    """(id, path array<string>, parent, is_object, value): every node of JSON trees (strings) of any depth, the roots with an empty path.
+def metric_tree_diff(left: DataFrame, right: DataFrame, name: str = "id", tree: str = "tree") -> DataFrame:
+    """L3: (id, path, left, right, delta) of the JSON trees (strings, of any depth) of two runs.
 
-    ``value``: of numbers (and of true and false, as 1 and 0), else null.  Trees are VARIANTs that are opened level by level, all trees at once and without a
-    shuffle, as deep as the deepest; arrays stay closed.  Text that is not JSON is a tree without members.
+    The trees meet once, side by side as VARIANTs; from there each level opens in place, without a shuffle, for all pairs whose both sides are objects: a row
+    for each member that one of them has.  Where one side is no object, or lacks the member, the node itself is the result.  ``left`` and
+    ``right`` are the values of numbers (true and false are 1 and 0), else null, and so is their delta.  Text that is not JSON is a tree without members.
     """
-    spark = trees.sparkSession
-    level = trees.select(F.col(name).cast("string").alias("id"), F.array().cast("array<string>").alias("path"), F.coalesce(F.try_parse_json(F.col(tree)), F.parse_json(F.lit("{}"))).alias("v"))
-    nodes = level
-    while True:
-        inner = level.where(F.schema_of_variant("v").startswith("OBJECT<") & (F.schema_of_variant("v") != "OBJECT<>"))
-        if not inner.limit(1).count():
-            break
-        opened = inner.withColumnRenamed("v", "_v").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-        level = opened.select("id", F.concat("path", F.array("key")).alias("path"), F.col("value").alias("v"))
-        nodes = nodes.unionByName(level)
-    kind = F.schema_of_variant("v")
-    number = F.when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("v", "$", "double"))
-    parent = F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1))
-    return nodes.select("id", "path", parent.alias("parent"), kind.startswith("OBJECT").alias("is_object"), number.alias("value"))
 
+    def side(trees: DataFrame, label: str) -> DataFrame:
+        return trees.select(F.col(name).cast("string").alias("id"), F.coalesce(F.try_parse_json(F.col(tree)), F.parse_json(F.lit("{}"))).alias(label))
 
-def metric_tree_diff(left: DataFrame, right: DataFrame, name: str = "id", tree: str = "tree") -> DataFrame:
-    """L3: (id, path, left, right, delta) of the JSON trees of two runs, at every node that not both open.
+    members = lambda c: F.col(c).try_cast("map<string,variant>")
+    level = side(left, "l").join(side(right, "r"), "id", "full").select("id", F.array().cast("array<string>").alias("path"), "l", "r")
+    while level.where(members("l").isNotNull() & members("r").isNotNull()).limit(1).count():
+        opened = level.withColumns({"a": members("l"), "b": members("r")})
+        inner = F.transform(F.array_union(F.map_keys("a"), F.map_keys("b")), lambda k: F.struct(F.concat("path", F.array(k)).alias("path"), F.try_element_at("a", k).alias("l"), F.try_element_at("b", k).alias("r")))
+        both = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), inner).otherwise(F.array(F.struct("path", "l", "r")))
+        level = opened.select("id", F.explode(both).alias("x")).select("id", "x.path", "x.l", "x.r")
 
-    Members are compared as long as both sides are objects; where one side is none, or lacks the member, the node itself is reported with a null delta.
-    """
-    a, b = (metric_nodes(t, name, tree).select("id", "path", F.col("parent").alias(f"{s}_parent"), F.col("is_object").alias(f"{s}_object"), F.col("value").alias(s)) for t, s in ((left, "left"), (right, "right")))
-    both = a.join(b, ["id", "path"], "full").withColumn("open", F.coalesce("left_object", F.lit(False)) & F.coalesce("right_object", F.lit(False)))
-    parents = both.where("open").select("id", F.col("path").alias("parent"))
-    closed = both.where("not open").withColumn("parent", F.coalesce("left_parent", "right_parent"))
-    known = closed.join(parents, ["id", "parent"], "left_semi").unionByName(closed.where("parent is null"))
-    return known.select("id", F.array_join("path", ".").alias("path"), "left", "right", (F.col("right") - F.col("left")).alias("delta"))
+    def number(c: str) -> Column:
+        kind = F.when(members(c).isNull(), F.schema_of_variant(c))
+        return F.when(kind == "BOOLEAN", F.try_variant_get(c, "$", "boolean").cast("double")).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(c, "$", "double"))
+
+    return level.select("id", F.array_join("path", ".").alias("path"), number("l").alias("left"), number("r").alias("right")).withColumn("delta", F.col("right") - F.col("left"))
 
 
 def prediction_diff(left: DataFrame, right: DataFrame) -> DataFrame:
