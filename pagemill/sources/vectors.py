@@ -3,10 +3,10 @@
 Layout: ``<path>/encoder=<key>/<batch>/`` with rows (h, emb), h being the SHA-256 of the text.  The encoder's key names everything that its vectors depend
 on (model and truncation).  A demand for vectors
 
-1. hashes the demanded texts and keeps one row for each distinct one,
-2. takes out those that the table has (anti-join on the hash alone: the vectors are not read),
-3. encodes the rest as one Spark job into a batch of its own, which counts once the job has committed,
-4. joins the demanded rows with the batches that are there.
+1. hashes the demanded texts, and takes out the hashes that the table has (anti-join on the hash alone: no text is moved, no vector read),
+2. keeps one text for each hash that is left (in a steady state few: their side of the join is then broadcast at its measured size),
+3. encodes these as one Spark job into a batch of its own, which counts once the job has committed,
+4. joins the demanded rows with the demanded vectors of the batches that are there.
 
 A table is the list of its batches at the time of the read: two reads in one plan that saw different batches have different paths, so Spark does not
 take one for the other.  Two runs that encode the same text at once leave two equal rows; a read takes one of them.  Nothing is ever changed
@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "h string, emb array<float>"
+SCHEMA = "h binary, emb array<float>"
 
 
 class VectorStore:
@@ -53,11 +53,14 @@ class VectorStore:
     def embed(self, rows: DataFrame, encoder, text: str = "text") -> DataFrame:
         """``rows`` without ``text`` and with ``emb``; texts that the table lacks are encoded now, each once. Null texts count as empty."""
         key = getattr(encoder, "key", getattr(encoder, "__name__", type(encoder).__name__))
-        keyed = rows.withColumn(text, F.coalesce(text, F.lit(""))).withColumn("_h", F.sha2(text, 256))
-        wanted = keyed.select(F.col("_h").alias("h"), F.col(text).alias("text")).groupBy("h").agg(F.any_value("text").alias("text"))
-        wanted = wanted.join(self._rows(key).select("h"), "h", "left_anti")
+        keyed = rows.withColumn(text, F.coalesce(text, F.lit(""))).withColumn("_h", F.unhex(F.sha2(text, 256)))
+        demanded = keyed.select(F.col("_h").alias("h")).distinct()
+        # hashes first: of what the table has, no text is moved
+        missing = demanded.join(self._rows(key).select("h"), "h", "left_anti")
+        wanted = keyed.select(F.col("_h").alias("h"), F.col(text).alias("text")).join(missing, "h", "left_semi").groupBy("h").agg(F.any_value("text").alias("text"))
         batch = f"{self._folder(key)}/{uuid.uuid4().hex}"
         wanted.select("h", encoder(F.col("text")).alias("emb")).write.parquet(batch)
         self.encoded = self.spark.read.schema(SCHEMA).parquet(batch).count()
         self.total += self.encoded
-        return keyed.drop(text).join(self.table(key).withColumnRenamed("h", "_h"), "_h").drop("_h")
+        found = self._rows(key).join(demanded, "h", "left_semi").groupBy("h").agg(F.any_value("emb").alias("emb"))
+        return keyed.drop(text).join(found.withColumnRenamed("h", "_h"), "_h").drop("_h")

@@ -103,7 +103,7 @@ def test_store_encodes_a_text_once(spark, tmp_path):
     assert later.embed(rows, encoder).count() == 5 and later.encoded == 0
     assert later.embed(rows.limit(0), encoder).count() == 0
     # a batch that was not committed does not count
-    spark.createDataFrame([("0" * 64, [1.0])], "h string, emb array<float>").write.parquet(f"{tmp_path}/vectors/encoder=fake-stored-10/torn")
+    spark.createDataFrame([(b"0" * 32, [1.0])], "h binary, emb array<float>").write.parquet(f"{tmp_path}/vectors/encoder=fake-stored-10/torn")
     os.remove(f"{tmp_path}/vectors/encoder=fake-stored-10/torn/_SUCCESS")
     assert not any(b.endswith("torn") for b in later.batches("fake-stored-10"))
 
