@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.operators.metrics import quantile
+
 DISTANCES = (1, 2, 3, 5, 10)
 # The classes of the error taxonomy, and the limits of the risk filter.
 CLASSES = ("all_correct", "only_page_wrong", "only_doc_right", "only_answer_right", "only_answer_wrong", "all_wrong")
@@ -21,35 +26,88 @@ def draw(*parts: Column | str) -> Column:
 ITERATIONS = 10_000
 #: Where a uniform 32-bit number stops to stand for 0, 1, ... 8 occurrences of a Poisson variable of mean 1.
 POISSON = tuple(round(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(w + 1))) for w in range(9))
+#: Step between resamples, and the factors of the 32-bit mixing of key and resample.
+STEP, FACTORS = 2654435761, (2246822507, 3266489909)
+_ROWS = 64
 
 
-def bootstrap(deltas: DataFrame, iterations: int = ITERATIONS, seed: int = 42) -> DataFrame:
-    """Mean of ``delta`` and its 95 % interval over resamples; ``deltas``: (i, delta), ``i`` a key of the row.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in zip((16, 13), FACTORS):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return h
+
+
+def occurrences(a: np.ndarray, b: np.ndarray, iterations: int) -> np.ndarray:
+    """How often each row, given by the two halves of its key, occurs in each resample."""
+    steps = np.arange(iterations, dtype=np.uint32) * np.uint32(STEP)
+    u = _mixed(_mixed(a[:, None] + steps) ^ b[:, None])
+    out = np.zeros(u.shape, np.uint8)
+    for t in POISSON:
+        out += u >= np.uint32(t)
+    return out
+
+
+def bootstrap_metrics(deltas: DataFrame, names: list[str], iterations: int = ITERATIONS, seed: int = 42) -> DataFrame:
+    """(metric, delta, n, low, high) of each column of ``names``: its mean and 95 % interval over resamples; ``i`` is the key of a row.
 
-    A row occurs in each resample as often as a Poisson variable of mean 1 says, drawn by the hash of its key and the resample, four
-    resamples to a hash: no join, and a task sends on one row for four resamples.  ``iterations`` is rounded up to a multiple of four.
+    A row occurs in each resample as often as a Poisson variable of mean 1 says, drawn by the hash of its key and the resample, for all
+    metrics alike.  A task holds one vector of ``iterations`` sums for each metric and sends it on once, whatever number of rows it has
+    seen; sums of sums follow as a plain aggregation.  Nulls of a metric are left out of it; without any value ``delta``, ``low`` and
+    ``high`` are null and ``n`` is 0.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("block").cast("string")))
-    hashed = deltas.select("i", "delta", F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // 4) - 1))).alias("block")).select("delta", "block", key.alias("h"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string")))
+    half = lambda at: F.conv(F.substring("key", at, 8), 16, 10).cast("long")
+    keyed = deltas.select(key.alias("key"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(names)]).select(half(1).alias("a"), half(9).alias("b"), *[f"x{j}" for j in range(len(names))])
+    fields = [(f"{kind}{j}", pa.float64()) for j in range(len(names)) for kind in ("s", "w")]
+    schema = pa.schema([("resample", pa.int32()), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * len(names), iterations))
+        seen = 0
+        for batch in batches:
+            a, b = (np.asarray(batch.column(c)).astype(np.uint32) for c in (0, 1))
+            x = np.array([batch.column(2 + j).to_numpy(zero_copy_only=False) for j in range(len(names))], np.float64).reshape(len(names), -1)
+            known = np.array([batch.column(2 + j).is_valid().to_numpy(zero_copy_only=False) for j in range(len(names))]).reshape(len(names), -1)
+            both = np.empty((2 * len(names), len(a)))
+            both[::2], both[1::2] = np.where(known, x, 0.0), known
+            for at in range(0, len(a), _ROWS):
+                total += both[:, at : at + _ROWS] @ occurrences(a[at : at + _ROWS], b[at : at + _ROWS], iterations).astype(np.float64)
+            seen += len(a)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(iterations, dtype=np.int32)), *map(pa.array, total)], schema=schema)
+
+    sums = keyed.mapInArrow(run, "resample int, " + ", ".join(f"{c} double" for c, _ in fields)).groupBy("resample").agg(*[F.sum(c).alias(c) for c, _ in fields])
+    ends = sums.agg(*[F.percentile(F.try_divide(F.col(f"s{j}"), F.col(f"w{j}")), F.array(F.lit(0.025), F.lit(0.975))).alias(f"e{j}") for j in range(len(names))])
+    point = deltas.agg(*[F.struct(F.avg(c).alias("delta"), F.count(c).alias("n")).alias(f"p{j}") for j, c in enumerate(names)])
+    rows = [F.struct(F.lit(c).alias("metric"), F.col(f"p{j}.delta").cast("double").alias("delta"), F.col(f"p{j}.n").alias("n"), F.get(f"e{j}", F.lit(0)).alias("low"), F.get(f"e{j}", F.lit(1)).alias("high")) for j, c in enumerate(names)]
+    return point.crossJoin(ends).select(F.inline(F.array(*rows)))
+
+
+def bootstrap(deltas: DataFrame, iterations: int = ITERATIONS, seed: int = 42) -> DataFrame:
+    """N1 for one metric: (delta, n, low, high) of (i, delta) rows."""
+    return bootstrap_metrics(deltas, ["delta"], iterations, seed).drop("metric")
+
+
+#: The four metrics of a run, as columns of scored questions.
+METRICS = {"answer": "answer_correct", "doc": "doc_correct", "page": "page_proximity", "composite": "score"}
 
-    def weight(slot: int) -> Column:
-        u = F.conv(F.substring("h", 1 + 8 * slot, 8), 16, 10).cast("long")
-        out = F.when(u < POISSON[0], 0)
-        for w, t in enumerate(POISSON[1:], 1):
-            out = out.when(u < t, w)
-        return out.otherwise(len(POISSON))
 
-    weighted = hashed.select("delta", "block", *[weight(s).alias(f"w{s}") for s in range(4)])
-    sums = weighted.groupBy("block").agg(*[F.try_divide(F.sum(F.col("delta") * F.col(f"w{s}")), F.sum(f"w{s}")).alias(f"m{s}") for s in range(4)])
-    means = sums.select(F.explode(F.array(*[f"m{s}" for s in range(4)])).alias("mean"))
-    ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-    return deltas.agg(F.avg("delta").alias("delta"), F.count(F.lit(1)).alias("n")).crossJoin(ends)
+def metric_deltas(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(i, answer, doc, page, composite): change of each metric at each question that both runs (scored questions) have."""
+    a = left.select("Question_ID", *[F.col(c).alias(f"a_{m}") for m, c in METRICS.items()])
+    b = right.select("Question_ID", *[F.col(c).alias(f"b_{m}") for m, c in METRICS.items()])
+    return a.join(b, "Question_ID").select(F.col("Question_ID").alias("i"), *[F.round(F.col(f"b_{m}") - F.col(f"a_{m}"), 9).alias(m) for m in METRICS])
 
 
 def page_distances(scored: DataFrame, thresholds: tuple[int, ...] = DISTANCES) -> DataFrame:
-    """Distances of wrong pages in right documents, over all and by domain."""
+    """Distances of wrong pages in right documents, over all and by domain, all of them from the counts of each distance."""
     wrong = scored.where((F.col("doc_correct") == 1) & (F.col("pred_page") != F.col("true_page"))).withColumn("dist", F.abs(F.col("pred_page") - F.col("true_page")))
-    out = wrong.groupingSets([[], [F.col("Domain")]], F.col("Domain")).agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("dist") <= t).cast("double")).alias(f"within_{t}") for t in thresholds], F.percentile("dist", F.lit(0.5)).alias("median"), F.avg("dist").alias("mean"), F.grouping("Domain").alias("g"))
+    counted = wrong.groupBy("Domain", "dist").agg(F.count(F.lit(1)).alias("w"))
+    both = counted.groupingSets([[F.col("dist")], [F.col("Domain"), F.col("dist")]], F.col("Domain"), F.col("dist")).agg(F.sum("w").alias("w"), F.grouping("Domain").alias("g"))
+    near = [(F.sum(F.when(F.col("dist") <= t, F.col("w")).otherwise(0)) / F.sum("w")).alias(f"within_{t}") for t in thresholds]
+    out = quantile(both, "dist", "g", "Domain").groupBy("g", "Domain").agg(F.sum("w").alias("n"), *near, F.max("quantile").alias("median"), (F.sum(F.col("w") * F.col("dist")) / F.sum("w")).alias("mean"))
     return out.withColumn("Domain", F.when(F.col("g") == 1, "all").otherwise(F.col("Domain"))).drop("g")
 
 

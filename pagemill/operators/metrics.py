@@ -50,19 +50,42 @@ def rank_of(rankings: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame
     return truth.join(hit, "qid", "left")
 
 
-def rank_metrics(cuts: tuple[int, ...] = CUTS) -> list[Column]:
-    """K4: aggregates over a nullable ``rank``."""
-    rank = F.col("rank")
-    zero = F.lit(0.0)
-    return [
-        F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(1 / rank, zero)).alias("mrr"), F.avg(F.coalesce(1 / F.log2(rank + 1), zero)).alias("ndcg"), F.avg(rank.isNotNull().cast("double")).alias("found"),
-        F.coalesce(F.avg(rank), zero).alias("mean_rank_found"), F.percentile(rank, F.lit(0.5)).alias("median_rank_found"), *[F.avg(F.coalesce(rank <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in cuts],
-    ]
+def quantile(counted: DataFrame, value: str, *keys: str, share: float = 0.5, weight: str = "w") -> DataFrame:
+    """``counted`` with the exact quantile of its counted values by ``keys`` in ``quantile``, interpolated between neighbours.
+
+    ``counted`` has one row for each key and value, and the number of times it occurs in ``weight``: counts that any number of tasks
+    can add up, so that no row of the data itself is sorted or held.  Null values have no place in the order.
+    """
+    known = F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(0)
+    by = Window.partitionBy(*keys)
+    upto = F.sum(known).over(by.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counted.withColumn("_upto", upto).withColumn("_at", share * (F.sum(known).over(by) - 1))
+    # the first value whose running count passes a place stands there
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value))).over(by).cast("double")
+    low, high = at(F.floor("_at")), at(F.ceil("_at"))
+    return placed.withColumn("quantile", low + (high - low) * (F.col("_at") - F.floor("_at"))).drop("_upto", "_at")
+
+
+def rank_metrics(counted: DataFrame, *keys: str, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """K4: rank metrics by ``keys`` of (keys, nullable ``rank``, ``w``) rows, one for each rank with the number of its queries."""
+    rank, w = F.col("rank"), F.col("w")
+    zero, n, found = F.lit(0.0), F.sum("w"), F.sum(F.when(F.col("rank").isNotNull(), F.col("w")).otherwise(0))
+    mean = lambda c: F.try_divide(F.sum(w * F.coalesce(c, zero)), n)
+    return quantile(counted, "rank", *keys).groupBy(*keys).agg(
+        F.coalesce(n, F.lit(0)).alias("n"), mean(1 / rank).alias("mrr"), mean(1 / F.log2(rank + 1)).alias("ndcg"), F.try_divide(found.cast("double"), n).alias("found"),
+        F.coalesce(F.try_divide(F.sum(w * rank).cast("double"), found), zero).alias("mean_rank_found"), F.max("quantile").alias("median_rank_found"), *[mean((rank <= k).cast("double")).alias(f"recall_{k}") for k in cuts],
+    )
 
 
 def ir_report(ranked: DataFrame) -> DataFrame:
-    """K6: rank metrics of (stage, domain, rank) rows by stage, over all and by domain."""
-    out = ranked.groupingSets([[F.col("stage")], [F.col("stage"), F.col("domain")]], F.col("stage"), F.col("domain")).agg(*rank_metrics(), F.grouping("domain").alias("g"))
+    """K6: rank metrics of (stage, domain, rank) rows by stage, over all and by domain.
+
+    Queries are counted once by stage, domain and rank; everything else is made of these counts.
+    """
+    counted = ranked.groupBy("stage", "domain", "rank").agg(F.count(F.lit(1)).alias("w"))
+    sets = [[F.col("stage"), F.col("rank")], [F.col("stage"), F.col("domain"), F.col("rank")]]
+    both = counted.groupingSets(sets, F.col("stage"), F.col("domain"), F.col("rank")).agg(F.sum("w").alias("w"), F.grouping("domain").alias("g"))
+    out = rank_metrics(both, "stage", "g", "domain")
     return out.withColumn("domain", F.when(F.col("g") == 1, "all").otherwise(F.col("domain"))).drop("g")
 
 

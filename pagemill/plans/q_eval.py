@@ -157,18 +157,42 @@ def split_antijoin(spark, d):
 # -- analyses
 
 
-_WEIGHT = "CASE " + " ".join(f"WHEN u < {t} THEN {w}" for w, t in enumerate(analyses.POISSON)) + f" ELSE {len(analyses.POISSON)} END"
+_WEIGHT = "CASE " + " ".join(f"WHEN h < {t} THEN {w}" for w, t in enumerate(analyses.POISSON)) + f" ELSE {len(analyses.POISSON)} END"
 
 
-@query(f"""WITH {TRUTH}, {A}, {B}, {_DIFF}, it AS (SELECT unnest(range(0, {analyses.ITERATIONS // 4})) AS block),
-hashed AS (SELECT block, delta, md5('42:' || Question_ID || ':' || block::VARCHAR) AS h FROM diff CROSS JOIN it),
-drawn AS (SELECT block, slot, delta, ('0x' || substr(h, 1 + 8 * slot, 8))::BIGINT AS u FROM hashed CROSS JOIN (SELECT unnest(range(0, 4))::INTEGER AS slot)),
-means AS (SELECT block, slot, sum(delta * ({_WEIGHT})) / sum({_WEIGHT}) AS mean FROM drawn GROUP BY block, slot)
-SELECT (SELECT round(avg(delta), 6) FROM diff) AS delta, (SELECT count(*) FROM diff) AS n, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means""")
+def _resamples(source: str, names: list[str]) -> str:
+    """SQL of ``means``: the mean of each of ``names`` in each resample of ``source`` (i and these columns)."""
+    cut = lambda x: f"({x}) & 4294967295"
+    columns = ", ".join(names)
+    step = lambda e, inner: f"SELECT {columns}, b, r, {e} AS h FROM ({inner})"
+
+    def mixed(inner: str) -> str:
+        for shift, factor in zip((16, 13), analyses.FACTORS):
+            inner = step(cut(f"xor(h, h >> {shift}) * {factor}"), inner)
+        return step("xor(h, h >> 16)", inner)
+
+    keys = f"SELECT {columns}, ('0x' || substr(md5('42:' || i), 1, 8))::UBIGINT AS a, ('0x' || substr(md5('42:' || i), 9, 8))::UBIGINT AS b FROM {source}"
+    start = f"SELECT {columns}, b, r, {cut(f'a + r * {analyses.STEP}')} AS h FROM ({keys}) CROSS JOIN (SELECT unnest(range(0, {analyses.ITERATIONS}))::UBIGINT AS r)"
+    drawn = step(_WEIGHT, mixed(step("xor(h, b)", mixed(start))))
+    return f"means AS (SELECT r, {', '.join(f'sum({c} * h) / sum(h) AS {c}' for c in names)} FROM ({drawn}) GROUP BY r)"
+
+
+@query(f"""WITH {TRUTH}, {A}, {B}, {_DIFF}, keyed AS (SELECT Question_ID AS i, delta FROM diff), {_resamples("keyed", ["delta"])}
+SELECT (SELECT round(avg(delta), 6) FROM diff) AS delta, (SELECT count(*) FROM diff) AS n, round(quantile_cont(delta, 0.025), 6) AS low, round(quantile_cont(delta, 0.975), 6) AS high FROM means""")
 def bootstrap_ci(spark, d):
     return analyses.bootstrap(diff(spark, d).select(F.col("Question_ID").alias("i"), "delta")).select(R("delta"), "n", R("low"), R("high"))
 
 
+_DELTAS = "deltas AS (SELECT Question_ID AS i, " + ", ".join(f"round(b.{c} - a.{c}, 9) AS {m}" for m, c in analyses.METRICS.items()) + " FROM a JOIN b USING (Question_ID))"
+_ENDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT round(avg({m}), 6) FROM deltas) AS delta, (SELECT count({m}) FROM deltas) AS n, round(quantile_cont({m}, 0.025), 6) AS low, round(quantile_cont({m}, 0.975), 6) AS high FROM means" for m in analyses.METRICS)
+
+
+@query(f"WITH {TRUTH}, {A}, {B}, {_DELTAS}, {_resamples('deltas', list(analyses.METRICS))} {_ENDS}")
+def bootstrap_metrics(spark, d):
+    found = analyses.bootstrap_metrics(analyses.metric_deltas(scored(spark, d, 0), scored(spark, d, 1)), list(analyses.METRICS))
+    return found.select("metric", R("delta"), "n", R("low"), R("high"))
+
+
 @query(f"WITH {TRUTH}, {A}, {B} SELECT count(*) FILTER (WHERE b.page_proximity > a.page_proximity) AS improved, count(*) FILTER (WHERE b.page_proximity < a.page_proximity) AS regressed FROM a JOIN b USING (Question_ID) WHERE a.doc_correct = 1 AND b.doc_correct = 1")
 def same_doc_swings(spark, d):
     return compare.same_doc_swings(scored(spark, d, 0), scored(spark, d, 1))

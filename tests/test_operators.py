@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.operators import analyses, answer, compare, locate, metrics, rank, retrieve, splits
 
@@ -81,11 +82,33 @@ def test_scores(spark):
 
 def test_rank_metrics(spark):
     df = spark.createDataFrame([(1,), (3,), (None,), (2,)], "rank int")
-    r = df.agg(*metrics.rank_metrics()).first()
+    counted = lambda df: df.groupBy("rank").agg(F.count(F.lit(1)).alias("w"))
+    r = metrics.rank_metrics(counted(df)).first()
     assert [round(x, 6) for x in (r.mrr, r.ndcg, r.found, r.mean_rank_found, r.median_rank_found, r.recall_1, r.recall_3)] == [0.458333, 0.532732, 0.75, 2.0, 2.0, 0.25, 0.75]
     assert r.recall_1 <= r.recall_3 <= r.recall_5 <= r.recall_10
-    none = spark.createDataFrame([(None,)], "rank int").agg(*metrics.rank_metrics()).first()
+    none = metrics.rank_metrics(counted(spark.createDataFrame([(None,)], "rank int"))).first()
     assert none.mean_rank_found == 0 and none.median_rank_found is None
+    assert metrics.rank_metrics(counted(df.limit(0))).first().n == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.9, 1.0])
+def test_quantile_of_counts(spark, share):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(x) if x < 30 else None) for k in "abc" for x in rng.geometric(0.08, {"a": 1, "b": 200, "c": 333}[k])]
+    df = spark.createDataFrame([*rows, ("none", None)], "k string, x int")
+    got = {r.k: r.quantile for r in metrics.quantile(df.groupBy("k", "x").agg(F.count(F.lit(1)).alias("w")), "x", "k", share=share).collect()}
+    for k in "abc":
+        known = [x for key, x in rows if key == k and x is not None]
+        assert got[k] == (pytest.approx(np.quantile(known, share)) if known else None)
+    assert got["none"] is None
+
+
+def test_reports_sort_no_data(spark):
+    df = spark.createDataFrame([("s", "d", 1), ("s", "d", None), ("s", None, 4)], "stage string, domain string, rank int")
+    got = {(r.domain, r.n, r.median_rank_found) for r in metrics.ir_report(df).collect()}
+    assert got == {("all", 3, 2.5), ("d", 2, 1.0), (None, 1, 4.0)}
+    assert "percentile" not in metrics.ir_report(df)._jdf.queryExecution().toString().lower()
+    assert metrics.ir_report(df.limit(0)).collect() == []
 
 
 def questions(spark, counts, domains=2):
@@ -131,6 +154,25 @@ def test_bootstrap_interval(spark):
     got = analyses.bootstrap(df, 2000).first()
     means = [rng.choice(x, 400).mean() for _ in range(4000)]
     assert got.n == 400 and abs(got.low - np.quantile(means, 0.025)) < 0.02 and abs(got.high - np.quantile(means, 0.975)) < 0.02
+    again = analyses.bootstrap(df.repartition(7), 2000).first()
+    assert [round(x, 9) for x in again] == [round(x, 9) for x in got]
+
+
+def test_bootstrap_of_many_metrics_and_nulls(spark):
+    df = spark.createDataFrame([(i, i % 3 - 1.0, None if i % 4 else 2.0, None) for i in range(300)], "i long, a double, b double, c double")
+    got = {r.metric: r for r in analyses.bootstrap_metrics(df, ["a", "b", "c"], 1000).collect()}
+    assert (got["a"].n, got["b"].n, got["c"].n) == (300, 75, 0)
+    assert got["a"].low < got["a"].delta < got["a"].high and got["b"].low == got["b"].high == 2.0 and got["c"].low is None and got["c"].delta is None
+    none = analyses.bootstrap(df.select("i", F.col("a").alias("delta")).limit(0)).first()
+    assert (none.n, none.delta, none.low, none.high) == (0, None, None, None)
+
+
+def test_occurrences_are_poisson():
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, 2**32, 200, dtype=np.uint32) for _ in range(2))
+    w = analyses.occurrences(a, b, 1000)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w[:, :-1].ravel(), w[:, 1:].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
 
 
 def test_parity_of_unmatched_rows(spark):
