@@ -9,7 +9,9 @@ Training rows: a bounded sample of the labelled training documents; every langua
 ``PER_LANGUAGE`` rows (all, if it has fewer; less with over 33 languages), picked by the hash of doc_id so that
 reruns agree; whole texts are used.  ``SAMPLE_BOUND`` is the hard bound of the sample.
 
-No more than ``SAMPLE_BYTES`` of text are taken, in the order of the draw.
+No more than ``SAMPLE_BYTES`` of text are taken.  Every language has an equal share of them, which it fills in the order of the draw; a
+text larger than its language's share is left out of the sample and takes nothing from the others.  Only where a language has no other
+text, its smallest drawn one is cut at the share, at the end of a character, so that no language is lost to its long texts.
 
 Calibration: a temperature is fitted on a part of the sample that training does not see, on its whole texts and on a slice of each
 length of ``SLICES`` words of every text, as whole texts alone are hardly ever wrong.  The average says nothing of a text's length, so
@@ -186,6 +188,11 @@ def train(texts: list[bytes], labels: list[str]) -> Model | None:
     return model
 
 
+def whole_characters(text: bytes) -> bytes:
+    """``text`` without a last character that a cut has left incomplete."""
+    return text.decode("utf-8", "ignore").encode()
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> Model | None:
     """Train on the bounded sample of the labelled training documents."""
     labelled = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(False)))
@@ -199,9 +206,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str =
     # ties of the draw by id and text: reruns take the same rows
     order = [draw.alias("draw"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash")]
     drawn = labelled.where(draw < share).select("lang", text, "doc_id", F.octet_length("text").cast("long").alias("size"), *order).orderBy("draw", "id", "hash").limit(SAMPLE_BOUND)
-    upto = F.sum("size").over(Window.orderBy("draw", "id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sample = drawn.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("lang", "text", "doc_id").toPandas().sort_values(["doc_id", "lang"], kind="stable")
-    return train([bytes(t) for t in sample["text"]], sample["lang"].tolist())
+    room = SAMPLE_BYTES // len(counts)
+    fits = (F.col("size") <= room).cast("int")
+    own = Window.partitionBy("lang")
+    upto = F.sum(F.col("size") * fits).over(own.orderBy("draw", "id", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a language of giants only: its smallest drawn text, cut
+    least = F.row_number().over(own.orderBy("size", "draw", "id", "hash"))
+    placed = drawn.withColumn("fits", fits).withColumn("upto", upto).withColumn("any", F.max(fits).over(own)).withColumn("least", least)
+    taken = placed.where(((F.col("fits") == 1) & (F.col("upto") <= room)) | ((F.col("any") == 0) & (F.col("least") == 1)))
+    sample = taken.select("lang", F.substring("text", 1, room).alias("text"), "doc_id").toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    return train([whole_characters(bytes(t)) for t in sample["text"]], sample["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
