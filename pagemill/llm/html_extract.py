@@ -9,9 +9,14 @@ rest is short or nearly good.  Pass two gives these the label of their nearest d
 Stop words are those of the fixed list and, as any language's commonest words are its shortest, all words of up to
 ``SHORT_WORD`` letters.  Scripts without spaces between words count signs instead, each for ``SIGN`` letters, and clause marks for stop words.
 
-A class or id name marks a part for sure if it is a marking word itself, is made of marking words and words for boxes only, or has one of the
-``SURE_WORDS``.  A name that merely has a marking word in it (``social-science``) does so with a second sign: blocks there are bad if
-they are short, have many links or few stop words.
+A class or id name marks a part for sure if it is made of marking words and words for boxes only, or if its last word but for these and words for parts of
+such boxes, which says what it is, is one of the ``SURE_WORDS`` (``user-comments``, not ``comments-on-the-budget``).  A name with such a word elsewhere
+is likely to mark a part: it does so unless the running text under such names is more than that of the rest of the page, as then it is the article.  A
+name that merely has another marking word in it (``social-science``) does so with a second sign: blocks there are bad if they are short, have many
+links or few stop words.
+
+A page without any good block after pass one (dialogue, a few short paragraphs) has its nearly good ones and its short whole sentences without
+links as the article, if they hold more text than its links do.
 
 Every page is handled whole and by itself, in time linear in its length.
 
@@ -45,6 +50,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 DROP_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social related recommended comment comments reply replies disqus respond pagination pager search widget skip toolbar paywall".split())
 SURE_WORDS = frozenset("advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr login masthead nav navbar navigation newsletter pagination paywall popup promo promoted replies sidebar signup sponsored subscribe subscription".split())
 BOX_WORDS = frozenset("bar block bottom box container google inner left list outer page panel right site slot top unit wrap wrapper".split())
+PART_WORDS = frozenset("area author body content copyright count entry form head header item legal link links meta section text thread title".split())
 NOT_WORDS = frozenset("closed free has no non not off open with without".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 # Ends of sentences and marks between clauses, in several scripts.
@@ -70,7 +76,9 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SIGNS = re.compile(r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _ENDS = re.compile(rf"[{re.escape(SENTENCE_ENDS)}]+")
 _MARKS = re.compile(rf"[{re.escape(CLAUSE_MARKS)}]+")
-_NO, _PERHAPS, _SURE = range(3)
+_NO, _PERHAPS, _LIKELY, _SURE = range(4)
+#: A sentence's end, with closing quotes and brackets after it.
+_SENTENCE = re.compile(rf"[{re.escape(SENTENCE_ENDS)}][\"'\u00bb\u2019\u201c\u201d\u300d\u300f)\]]*\Z")
 
 
 class Block:
@@ -87,7 +95,11 @@ def _marked(name: str) -> int:
         return _NO
     if any(p in NOT_WORDS for p in parts):
         return _PERHAPS
-    return _SURE if all(p in DROP_WORDS or p in BOX_WORDS for p in parts) or any(p in SURE_WORDS for p in parts) else _PERHAPS
+    # single letters are of sizes and numbers
+    said = [p for p in parts if p in DROP_WORDS or p in SURE_WORDS or (p not in BOX_WORDS and len(p) > 1)]
+    if all(p in DROP_WORDS or p in SURE_WORDS for p in said) or [p for p in said if p not in PART_WORDS][-1] in SURE_WORDS:
+        return _SURE
+    return _LIKELY if any(p in SURE_WORDS for p in parts) else _PERHAPS
 
 
 def _drops(tag: str, attributes: str, in_article: bool) -> int:
@@ -183,8 +195,8 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def measures(text: str, stop_words: frozenset = STOP_WORDS) -> tuple[float, float, bool]:
-    """(length in letters, share of stop words, whether it is two or more whole sentences) of a block."""
+def measures(text: str, stop_words: frozenset = STOP_WORDS) -> tuple[float, float, int]:
+    """(length in letters, share of stop words, number of its sentences if they are whole ones, else 0) of a block."""
     signs = len(_SIGNS.findall(text))
     if 2 * signs > len(_WORDS.sub("", text)) + signs and signs > len(text) / 3:
         n, size = signs, len(text) + (SIGN - 1) * signs
@@ -194,15 +206,22 @@ def measures(text: str, stop_words: frozenset = STOP_WORDS) -> tuple[float, floa
         n, size = len(words), len(text)
         stops = sum(len(w) <= SHORT_WORD or w in stop_words for w in words) / n if n else 0.0
     ends = len(_ENDS.findall(text))
-    return size, stops, ends > 1 and SENTENCE[0] <= n / ends <= SENTENCE[1]
+    return size, stops, ends if ends and SENTENCE[0] <= n / ends <= SENTENCE[1] and _SENTENCE.search(text) else 0
 
 
 def classify(blocks: list[Block], stop_words: frozenset = STOP_WORDS) -> None:
     """Sets each block's label to good or bad."""
-    for b in blocks:
-        size, stops, whole = measures(b.text, stop_words)
-        links = b.link / len(b.text)
-        prose = stops >= STOP_HIGH or (whole and links <= SOME_LINKS)
+    seen = [(*measures(b.text, stop_words), b.link / len(b.text)) for b in blocks]
+    if any(b.dropped == _LIKELY for b in blocks):
+        runs = [0, 0]
+        for b, (size, stops, whole, links) in zip(blocks, seen):
+            if b.dropped != _SURE and size >= SHORT and links <= SOME_LINKS and (stops >= STOP_HIGH or whole):
+                runs[b.dropped == _LIKELY] += size
+        for b in blocks:
+            if b.dropped == _LIKELY:
+                b.dropped = _PERHAPS if runs[1] > runs[0] else _SURE
+    for b, (size, stops, whole, links) in zip(blocks, seen):
+        prose = stops >= STOP_HIGH or (whole > 1 and links <= SOME_LINKS)
         if b.dropped == _SURE or links > MAX_LINK_DENSITY:
             b.label = "bad"
         elif b.dropped and (size < SHORT or links > SOME_LINKS or stops < STOP_LOW):
@@ -211,10 +230,18 @@ def classify(blocks: list[Block], stop_words: frozenset = STOP_WORDS) -> None:
             b.label = "bad" if b.link and not b.article else "short"
         elif prose:
             b.label = "good" if size >= LONG or b.article else "near"
-        elif stops >= STOP_LOW or b.article:
+        elif stops >= STOP_LOW or b.article or (whole and links <= SOME_LINKS):
             b.label = "near"
         else:
             b.label = "bad"
+    if not any(b.label == "good" for b in blocks):
+        # whole sentences without links, however short, are the article of a page that has nothing longer
+        told = [b.label == "near" or (b.label == "short" and not b.link and _SENTENCE.search(b.text)) for b in blocks]
+        own = sum(len(b.text) for b, t in zip(blocks, told) if t)
+        if own >= SHORT and own > sum(b.link for b in blocks if b.dropped != _SURE):
+            for b, t in zip(blocks, told):
+                if t:
+                    b.label = "good"
     n = len(blocks)
 
     def decided(step: int) -> list[tuple[int, str] | None]:

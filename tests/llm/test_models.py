@@ -348,6 +348,16 @@ def test_language_id(spark, documents, none):
     assert np.mean([r.lang_pred == r.lang for r in right]) >= np.mean([r.lang_pred == r.lang for r in got])
 
 
+@pytest.mark.parametrize("long", [6000, 40000])
+def test_long_texts_do_not_push_out_a_language(spark, monkeypatch, long):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 5000)
+    rows = [(i, lang, " ".join([words] * 2)) for i, (lang, words) in enumerate([("en", "the cat sat on the mat"), ("de", "der hund liegt auf dem bett")] * 60)]
+    rows += [(1000 + i, "en", ("the house and the garden " * long)[:long]) for i in range(30)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string")).languages == ["de", "en"]
+    giants = [(i, "en", ("the house and the garden é" * long)[:long]) for i in range(9)] + [(i, "de", "der hund liegt auf dem bett") for i in range(20, 90)]
+    assert langid.fit(spark.createDataFrame(giants, "doc_id long, lang string, text string")).languages == ["de", "en"]
+
+
 def test_language_scores_are_calibrated(spark):
     """Scores of slices that training has not seen: about as many are right as they say, and the accepted ones are right."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -430,6 +440,42 @@ def test_marked_parts_go(name):
     assert html_extract.main_text(page) == "\n\n".join([ENGLISH.strip()] * 2)
 
 
+@pytest.mark.parametrize("name", ["cookie-recipe", "comments-on-the-budget", "newsletter-history", "navigation-systems", "consent-law", "footer-notes", "subscription-economics", "login-security-article", "cookie-policy-analysis"])
+def test_articles_about_marking_words(name):
+    text = ENGLISH.strip()
+    assert html_extract.main_text(page_of(text, name)) == f"{text}\n\n{text}"
+    # beside an article such a part is none
+    page = page_of(ENGLISH).replace("</body>", f'<div class="{name}"><p>{"This is what the marked part of the page has to say to all of its readers. " * 4}</p></div></body>')
+    assert html_extract.main_text(page) == f"{text}\n\n{text}"
+
+
+@pytest.mark.parametrize("name", ["post-comments", "user-comments", "comment-list", "commentThread", "comment-text", "cookie-banner", "footer-links", "site-footer-copyright", "ad-300x250", "newsletter-box"])
+def test_last_word_says_what_a_part_is(name):
+    page = f'<body><div class="{name}"><p>{ENGLISH}</p><p>{ENGLISH}</p></div><div class="story"><p>{ENGLISH}</p></div></body>'
+    assert html_extract.main_text(page) == ENGLISH.strip()
+
+
+SHORTS = {
+    "dialogue": ["\u201cWho is there?\u201d", "\u201cOnly me, as ever.\u201d", "\u201cYou are late.\u201d", "\u201cThe road was long.\u201d", "\u201cIt always is.\u201d", "\u201cMay I come in?\u201d", "\u201cIf you must.\u201d", "She did."],
+    "two": ["The shop is closed on Monday.", "It opens again on Tuesday at nine in the morning."],
+    "fi": ["Vanhus astui ulos talostaan ja lähti hitaasti kohti rantaa odottamaan kalastajia.", "Aamulla joen yllä leijui sakea sumu, ja rannan veneet näyttivät harmailta varjoilta."],
+    "tr": ["Sabahleyin nehrin üzerinde yoğun bir sis vardı ve kıyıdaki kayıklar gri gölgeler gibi görünüyordu.", "Yaşlı adam evinden çıktı, gökyüzüne baktı ve yavaşça suya doğru yürümeye başladı."],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(SHORTS))
+def test_pages_of_short_paragraphs(kind):
+    menu = "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(6))
+    page = f"<body><nav><ul>{menu}</ul></nav><h1>Title</h1><div>{''.join(f'<p>{x}</p>' for x in SHORTS[kind])}</div><footer><p>All rights reserved. Do not copy.</p></footer></body>"
+    assert html_extract.main_text(page).split("\n\n")[-len(SHORTS[kind]) :] == SHORTS[kind]
+    assert "Part" not in html_extract.main_text(page) and "rights" not in html_extract.main_text(page)
+
+
+def test_page_of_parts_only():
+    menu = "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(6))
+    assert html_extract.main_text(f"<body><nav>{menu}</nav><p>Ok.</p><form>Your name and your password, please, all of you.</form><footer>All rights reserved.</footer></body>") == ""
+
+
 def test_parts_inside_marked_parts():
     page = f'<div class="related-work"><p>{ENGLISH}</p><div class="ad"><p>{ENGLISH} Buy.</p></div><p>{ENGLISH}</p></div><p>{ENGLISH}</p>'
     assert html_extract.main_text(page) == "\n\n".join([ENGLISH.strip()] * 3)
