@@ -92,15 +92,43 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         a = min(b, n)
 
 
+# First and last code points of scripts without spaces between words (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han), and of
+# punctuation beyond ASCII that parts words.
+SIGNS = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+MARKS = ((0x2010, 0x2027), (0x2030, 0x205E), (0x3000, 0x3004), (0x3008, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def parted(buf: np.ndarray) -> np.ndarray | None:
+    """Where single signs begin and end in the UTF-8 bytes ``buf``, whose marks become spaces; None if it has no sign."""
+    at = np.flatnonzero(buf >= 0xE0)
+    if not len(at):
+        return None
+    tail = [(buf[np.minimum(at + j, len(buf) - 1)] & 63).astype(np.int64) for j in (1, 2, 3)]
+    three = ((buf[at] & 15).astype(np.int64) << 12) | (tail[0] << 6) | tail[1]
+    long = buf[at] >= 0xF0
+    code = np.where(long, ((buf[at] & 7).astype(np.int64) << 18) | (tail[0] << 12) | (tail[1] << 6) | tail[2], three)
+    within = lambda ranges: np.logical_or.reduce([(code >= a) & (code <= b) for a, b in ranges])
+    for j in range(3):
+        buf[at[within(MARKS)] + j] = 32
+    sign = within(SIGNS)
+    if not sign.any():
+        return None
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[at[sign]] = True
+    cut[at[sign] + np.where(long[sign], 4, 3)] = True
+    return cut
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a range of documents, as positions and 64-bit ids.
 
     ``data``: the bytes, one space after each document; ``start``/``end``: byte
     range of each word; ``doc``: its document (index in the range); ``first``:
-    index of each document's first word, with one more at the end.
+    index of each document's first word, with one more at the end.  With ``signs``, every sign of a script
+    without spaces is a word of its own, and punctuation of any script parts words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: int = 0, b: int | None = None, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: int = 0, b: int | None = None, lower: bool = False, signs: bool = False):
         b = len(offsets) - 1 if b is None else b
         own = offsets[a : b + 1] - offsets[a]
         n_docs = b - a
@@ -112,9 +140,14 @@ class Words:
         keep[own[1:] + np.arange(n_docs)] = False
         buf[keep] = body
         self.data, self.doc_start, self.n_docs = buf, own + np.arange(n_docs + 1), n_docs
+        cut = parted(buf) if signs else None
         solid = ~_SPACE[buf]
         edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if cut is None:
+            self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        else:
+            here, before = np.append(solid, False), np.concatenate([[False], solid])
+            self.start, self.end = np.flatnonzero(here & (~before | cut)), np.flatnonzero(before & (~here | cut))
         self.first = np.searchsorted(self.start, self.doc_start)
         self.count = np.diff(self.first)
         self._sums = None

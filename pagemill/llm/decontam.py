@@ -1,6 +1,6 @@
 """Operator 6: benchmark decontamination by latent semantic retrieval.
 
-1.  Terms: lower-cased runs of letters and digits, hashed to ``TERMS`` buckets.
+1.  Terms: lower-cased runs of letters and digits, in scripts without spaces (Han, kana, Thai, ...) single signs, hashed to ``TERMS`` buckets.
     Document frequencies are counted over the passages (``PASSAGE`` terms) of all documents.
 2.  Distributed randomised SVD of the passage-term TF-IDF matrix A: every task adds up its part
     of Z = A'(A O) for a Gaussian O; the sum has TERMS x SKETCH cells at any corpus
@@ -39,6 +39,7 @@ LENGTHS = (16, 32, 48, 64)
 COSINE = 0.3  # the cosine of a text with LCS_LIKELY of the words, half a step off, less the noise of the sketch
 LCS_SURE, LCS_LIKELY, ANSWER = 0.8, 0.6, 0.5
 ITEM_BLOCK = 4000
+SUMMED = 1024  # tasks whose parts of the sketch are added up at once
 ITEMS_AT_ONCE = 256
 TASK_BYTES = 64 << 20
 _SEED = 6
@@ -50,7 +51,7 @@ _CLEAN[[b for b in range(128) if not (chr(b).isalnum())]] = 32
 
 def terms(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word id, term bucket, index of each document's first word, with one more)."""
-    w = Words(_CLEAN[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
+    w = Words(_CLEAN[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], signs=True)
     ids = w.ids()
     return ids, (ids >> np.uint64(50)).astype(np.int32), w.first
 
@@ -122,7 +123,10 @@ def singular_vectors(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
         return pa.table([table.column("part").slice(0, 1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], schema=schema)
 
     z = np.zeros((TERMS, SKETCH))
-    for r in docs.mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").collect():
+    # parts of neighbouring tasks first: no group holds those of all tasks
+    parts = docs.mapInArrow(run, "part int, data binary").withColumn("few", F.expr(f"spark_partition_id() div {SUMMED}"))
+    few = parts.groupBy("few", "part").applyInArrow(add, "part int, data binary")
+    for r in few.groupBy("part").applyInArrow(add, "part int, data binary").collect():
         z[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["data"], np.float32).reshape(step, SKETCH)
     core = random.T.astype(np.float64) @ z
     value, vector = np.linalg.eigh((core + core.T) / 2)

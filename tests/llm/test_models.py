@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import chain_dedup, decontam, html_extract, langid, mixing
+from pagemill.llm import chain_dedup, common, decontam, html_extract, langid, mixing
 
 SF = "/root/testdata/sf0.01"
 
@@ -238,6 +238,52 @@ def test_fenwick_chains_against_brute_force():
             assert value == pytest.approx(max(best))
 
 
+def signs(rng, n, script):
+    first, last = {"han": (0x4E00, 0x9FA5), "kana": (0x3041, 0x3096), "thai": (0x0E01, 0x0E2E), "rare": (0x20000, 0x2A6DF)}[script]
+    return [chr(x) for x in rng.integers(first, last + 1, n)]
+
+
+def spoken(run, mark="\u3002"):
+    """A run of signs with a mark after every 17."""
+    return mark.join("".join(run[i : i + 17]) for i in range(0, len(run), 17))
+
+
+@pytest.mark.parametrize("text", ["ab\u4e00\u4e01cd \u3042\u3001\u3044", "\u0e01\u0e32\u0e23", "\U00020000x\U00020001", "don\u2019t \u201cgo\u201d na\u00efve \u043c\u0438\u0440", "\uff21\uff22\uff01\uff23", "\ud55c\uad6d\uc5b4 \ub9d0", "", "\u3002", "\u4e00"])
+def test_words_of_any_script(text):
+    class_of = lambda ranges: "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+    want = [w for run in re.split(rf"\s+|{class_of(common.MARKS)}", text) for w in re.findall(rf"{class_of(common.SIGNS)}|(?:(?!{class_of(common.SIGNS)}).)+", run)]
+    data = np.frombuffer((text + "zz" + text).encode(), np.uint8)
+    n = len(text.encode())
+    w = common.Words(data, np.array([0, n, n + 2, 2 * n + 2]), signs=True)
+    got = [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end)]
+    assert got == [*want, "zz", *want] and w.count.tolist() == [len(want), 1, len(want)]
+
+
+@pytest.mark.parametrize("script", ["han", "kana", "thai", "rare"])
+def test_leaks_without_spaces(spark, script):
+    rng = np.random.default_rng(12)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200).select("doc_id", "text")
+    item = signs(rng, 60, script)
+    changed = [x if i % 5 else y for i, (x, y) in enumerate(zip(item, signs(rng, 60, script)))]
+    around = lambda: spoken(signs(rng, 150, script))
+    planted = [(10**6, around() + "".join(item) + around()), (10**6 + 1, around() + "\u3002" + spoken(item) + "\u3002" + around()), (10**6 + 2, "in English " + "".join(changed) + " too"), (10**6 + 3, around() + around()), (10**6 + 4, None)]
+    items = spark.createDataFrame([(1, "".join(item)), (2, None)], "item_id long, text string")
+    got = {r.doc_id for r in decontam.contaminated(docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string")), items).collect()}
+    assert got == {10**6, 10**6 + 1, 10**6 + 2}
+
+
+@pytest.mark.parametrize("script", ["han", "thai"])
+def test_passages_without_spaces(spark, script):
+    rng = np.random.default_rng(13)
+    shared = signs(rng, 200, script)
+    changed = [x if (i + 1) % 15 else y for i, (x, y) in enumerate(zip(shared, signs(rng, 200, script)))]
+    around = lambda: spoken(signs(rng, 120, script))
+    rows = [(1, around() + spoken(shared) + around()), (2, around() + "".join(shared)), (3, "Quoted: " + "".join(changed) + around()), (4, around() + around())]
+    found = chain_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()
+    assert {(r.doc_id, r.source) for r in found} >= {(2, 1), (3, 1)} and {r.doc_id for r in found} == {2, 3}
+    assert all(r.common >= 180 for r in found if r.source == 1)
+
+
 def test_leaks_are_found_and_clean_documents_left(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
