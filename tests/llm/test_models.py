@@ -169,6 +169,25 @@ def test_passage_whose_seeds_others_have(spark):
         assert [(r.doc_id, r.source, r.start, r.end, r.common) for r in found] == [(n - 1, n - 2, 40, 104, 64)]
 
 
+@pytest.mark.parametrize("copies,each", [(6, 12), (60, 4)])
+def test_verbatim_passages_whose_slices_are_common(spark, copies, each):
+    """Two documents share 40 to 60 words in a row, of which every slice of 20 words stands in 6 or 60 earlier documents."""
+    rng = np.random.default_rng(39)
+    some = lambda n: ["".join(x) for x in rng.choice(list("abcdefgh"), (n, 6))]
+    slices, pairs, want = [], [], {}
+    for length in (40, 41, 45, 50, 60):
+        for _ in range(each):
+            passage = some(length)
+            slices += [some(15) + passage[a : a + 24] + some(15) for a in range(0, length - 19, 5) for _ in range(copies)]
+            pairs += [some(25) + passage + some(35), some(40) + passage + some(10)]
+    texts = slices + pairs
+    for i in range(len(slices) + 1, len(texts), 2):
+        want[i] = (i - 1, 40, 40 + len(pairs[i - len(slices)]) - 50)
+    found = chain_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))[1].collect()
+    got = {r.doc_id: (r.source, r.start, r.end) for r in found}
+    assert len(found) == len(got) and got == want
+
+
 def test_recall_on_mosaics_against_all_pairs(spark):
     """Documents made of pieces that others have too: each word in a passage that brute force finds in an earlier document."""
     rng = np.random.default_rng(37)
