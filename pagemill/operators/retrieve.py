@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import dot, tokens
+from pagemill.sources.scratch import scratch_path, written
 
 #: Bytes of queries that meet all pages in one scan.
 QUERY_BYTES = 32 << 20
@@ -89,13 +90,18 @@ def _in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(np.lexsort((page, doc))))
 
 
-def _ranked(pages: DataFrame, blocks: Iterator[list], scorer, k: int) -> DataFrame:
-    """Best k of all blocks of queries; every task sends on at most k rows a query."""
+def _joined(pages: DataFrame, blocks: Iterator[list], scorer) -> DataFrame:
+    """What all tasks send on for all blocks of queries."""
     out = None
     for block in blocks:
         part = pages.mapInArrow(scorer(block), _RANKED_DDL) if block else pages.sparkSession.createDataFrame([], _RANKED_DDL)
         out = part if out is None or not block else out.unionByName(part)
-    return top_k(out, k)
+    return out
+
+
+def _ranked(pages: DataFrame, blocks: Iterator[list], scorer, k: int) -> DataFrame:
+    """Best k of all blocks of queries; every task sends on at most k rows a query."""
+    return top_k(_joined(pages, blocks, scorer), k)
 
 
 def dense_topk(pages: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -268,14 +274,63 @@ def wanted_docs(seed: DataFrame, docs: int = 3, doc_meta: DataFrame | None = Non
     return wanted
 
 
+class BestPages(Best):
+    """As ``Best``, for rows that are parts of pages: a page counts once, by its best part."""
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        if self.parts:
+            q, score, doc, page = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.lexsort((score, page, doc, q))
+            q, score, doc, page = q[order], score[order], doc[order], page[order]
+            new = np.ones(len(q), bool)
+            new[1:] = (q[1:] != q[:-1]) | (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])
+            self.parts = [(q[new], score[new], doc[new], page[new])]
+        return super().cut()
+
+
+def chunk_scores(chunks: DataFrame, asked: DataFrame, pages_per_doc: int) -> DataFrame:
+    """(qid, doc_id, page_num, score): the best ``pages_per_doc`` pages, by their best chunk, of each (qid, doc_id, emb) of ``asked``.
+
+    Pairs come in blocks and meet all chunks in place: a task holds ``pages_per_doc`` rows a pair, whatever the number of a document's chunks.
+    """
+
+    def scorer(rows: list):
+        rows = sorted(rows, key=lambda r: r["doc_id"])
+        ids, docs = np.array([r["qid"] for r in rows], np.int64), np.array([r["doc_id"] for r in rows], np.int64)
+        matrix = np.array([r["emb"] for r in rows], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = BestPages(len(ids), pages_per_doc)
+            for batch in batches:
+                batch = batch.filter(pa.array(np.isin(np.asarray(batch.column(0)), docs)))
+                for low in range(0, batch.num_rows, ROWS):
+                    part = _in_order(batch.slice(low, ROWS))
+                    doc, page = np.asarray(part.column(0)), np.asarray(part.column(1))
+                    emb = np.asarray(part.column(2).flatten(), np.float64).reshape(part.num_rows, -1)
+                    edge = [*np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)).tolist(), len(doc)]
+                    for a, b in zip(edge, edge[1:]):
+                        start = np.flatnonzero(np.diff(page[a:b], prepend=page[a] - 1))
+                        first, last = np.searchsorted(docs, doc[a], "left"), np.searchsorted(docs, doc[a], "right")
+                        for q in range(first, last, COLUMNS):
+                            score = np.maximum.reduceat(emb[a:b] @ matrix[q : min(q + COLUMNS, last)].T, start, axis=0)
+                            best.add(q, score, doc[a:b][start], page[a:b][start])
+            yield best.rows(ids)
+
+        return run
+
+    picked = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_num").cast("long").alias("page_num"), F.col("emb").cast("array<double>").alias("emb")).where("emb is not null and doc_id is not null")
+    pairs = asked.select(F.col("qid").cast("long").alias("qid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("emb").cast("array<double>").alias("emb")).where("emb is not null and doc_id is not null")
+    return _joined(picked, _query_blocks(pairs, lambda r: 8 * len(r["emb"])), scorer)
+
+
 def chunk_retrieval(seed: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, docs: int = 3, pages_per_doc: int = 6, doc_meta: DataFrame | None = None, min_top_doc_pages: int | None = None) -> DataFrame:
     """Pages of the first ``docs`` seed documents scored by their best chunk, merged with the seeds by maximum.
 
     ``chunks``: (doc_id, page_num, emb); ``queries``: (qid, emb); ``seed``: a ranking.
     """
+    seed = written(seed.select("qid", "doc_id", "page_num", "score", "rank"), scratch_path(seed.sparkSession))  # it says what is wanted, and is merged
     wanted = wanted_docs(seed, docs, doc_meta, min_top_doc_pages)
-    pairs = wanted.join(queries.select("qid", F.col("emb").alias("q_emb")), "qid").join(chunks, "doc_id")
-    best = dense_scores(pairs).groupBy("qid", "doc_id", "page_num").agg(F.max("score").alias("score"))
+    best = chunk_scores(chunks, wanted.join(queries.select("qid", "emb"), "qid"), pages_per_doc).groupBy("qid", "doc_id", "page_num").agg(F.max("score").alias("score"))
     order = Window.partitionBy("qid", "doc_id").orderBy(F.round("score", 9).desc(), "page_num")
     best = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= pages_per_doc).drop("n")
     merged = seed.select("qid", "doc_id", "page_num", "score").unionByName(best.select("qid", "doc_id", "page_num", "score")).groupBy("qid", "doc_id", "page_num").agg(F.max("score").alias("score"))

@@ -260,3 +260,26 @@ def test_rankings_send_k_rows_a_query_and_task(spark):
     for _ in range(40):
         best.add(0, rng.integers(0, 3, (50, 3)).astype(float), np.arange(50), np.zeros(50, np.int64))
     assert max(len(x[0]) for x in best.parts) <= 6 and best.rows(np.arange(3)).num_rows == 6
+
+
+def test_chunk_scores_are_bounded_and_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(p % 3), int(p), rng.integers(-3, 4, 4).astype(float).tolist()) for p in range(300) for _ in range(3)]
+    rng.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "doc_id long, page_num long, emb array<double>").repartition(4)
+    asked = [(q, d, rng.integers(-3, 4, 4).astype(float).tolist()) for q in range(7) for d in (0, 2, 9)]
+    got = retrieve.chunk_scores(chunks, spark.createDataFrame(asked, "qid long, doc_id long, emb array<double>"), 6).collect()
+    # a task sends on six pages of a pair, whatever the number of the document's chunks
+    assert len(got) <= 4 * 14 * 6
+    found = {}
+    for r in got:
+        key = (r["qid"], r["doc_id"], r["page_num"])
+        found[key] = max(found.get(key, -1e9), r["score"])
+    for q, d, emb in asked:
+        best = {}
+        for doc, page, x in rows:
+            if doc == d:
+                best[page] = max(best.get(page, -1e9), float(np.dot(x, emb)))
+        want = sorted(best.items(), key=lambda y: (-y[1], y[0]))[:6]
+        mine = sorted(((k[2], v) for k, v in found.items() if k[:2] == (q, d)), key=lambda y: (-y[1], y[0]))[:6]
+        assert mine == want
