@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import dot, tokens
+from pagemill.session import bounded_batches
 from pagemill.sources.scratch import scratch_path, written
 
 #: Bytes of queries that meet all pages in one scan.
 QUERY_BYTES = 32 << 20
-#: Rows and queries of one matrix of scores, and its most cells.
-ROWS, COLUMNS, CELLS = 2000, 2000, 4_000_000
+#: Rows and queries of one matrix of scores, and its most cells (4 MB).
+ROWS, COLUMNS, CELLS = 2000, 250, 500_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -53,22 +54,23 @@ class Best:
     def __init__(self, n: int, k: int):
         self.n, self.k, self.size = n, k, 0
         self.parts: list[tuple[np.ndarray, ...]] = []
+        #: The score that a row needs to be among the best k so far.
+        self.floor = np.full(n, -np.inf)
 
     def add(self, low: int, score: np.ndarray, doc: np.ndarray, page: np.ndarray) -> None:
-        """Scores of (row, query ``low`` + column); rows in the order of doc and page; -inf is no score."""
-        score = np.round(score, 9)
-        m = len(score)
-        if m > self.k:
-            least = np.partition(score, m - self.k, axis=0)[m - self.k]
+        """Scores of (row, query ``low`` + column), which are rounded in place; rows in the order of doc and page; -inf is no score."""
+        np.round(score, 9, out=score)
+        m, width = score.shape
+        keep = np.isfinite(score) & (score >= self.floor[low : low + width])
+        if m > self.k and np.count_nonzero(keep) > self.k * width:
+            least = np.partition(score, m - self.k, axis=0)[m - self.k].copy()
             above, level = score > least, score == least
             # of rows at the least score the first ones stay, so that a query never has more than k
-            keep = above | (level & (np.cumsum(level, axis=0) <= self.k - above.sum(0)))
-            row, q = np.nonzero(keep & np.isfinite(score))
-        else:
-            row, q = np.nonzero(np.isfinite(score))
+            keep &= above | (level & (np.cumsum(level, axis=0, dtype=np.int32) <= self.k - above.sum(0)))
+        row, q = np.nonzero(keep)
         self.parts.append((q + low, -score[row, q], doc[row], page[row]))
         self.size += len(q)
-        if self.size > 4 * self.n * self.k + (1 << 16):
+        if self.size > 2 * self.n * self.k + (1 << 16):
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:
@@ -78,6 +80,9 @@ class Best:
         order = order[np.arange(len(order)) - start[q[order]] < self.k]
         self.parts = [(q[order], score[order], doc[order], page[order])]
         self.size = len(order)
+        full = np.bincount(q[order], minlength=self.n) == self.k
+        last = np.cumsum(np.bincount(q[order], minlength=self.n)) - 1
+        self.floor[full] = -score[order][last[full]]
         return self.parts[0]
 
     def rows(self, ids: np.ndarray) -> pa.RecordBatch:
@@ -92,6 +97,7 @@ def _in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _joined(pages: DataFrame, blocks: Iterator[list], scorer) -> DataFrame:
     """What all tasks send on for all blocks of queries."""
+    bounded_batches(pages.sparkSession)
     out = None
     for block in blocks:
         part = pages.mapInArrow(scorer(block), _RANKED_DDL) if block else pages.sparkSession.createDataFrame([], _RANKED_DDL)
@@ -108,9 +114,10 @@ def dense_topk(pages: DataFrame, queries: DataFrame, k: int, exclude_self: bool
     """D3, D4 (rows without a vector are left out): inner products of ``queries`` (qid long, emb) with all ``pages`` (doc_id long, page_num long, emb), best k."""
 
     def scorer(rows: list):
+        # arrays, not rows: what a worker gets is 8 bytes a number
+        ids, matrix = np.array([r["qid"] for r in rows], np.int64), np.array([r["emb"] for r in rows], np.float64)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = np.array([r["qid"] for r in rows], np.int64)
-            matrix = np.array([r["emb"] for r in rows], np.float64)
             best = Best(len(ids), k)
             for batch in batches:
                 for low in range(0, batch.num_rows, ROWS):

@@ -283,3 +283,31 @@ def test_chunk_scores_are_bounded_and_exact(spark):
         want = sorted(best.items(), key=lambda y: (-y[1], y[0]))[:6]
         mine = sorted(((k[2], v) for k, v in found.items() if k[:2] == (q, d)), key=lambda y: (-y[1], y[0]))[:6]
         assert mine == want
+
+
+def test_best_holds_small_blocks_and_stays_exact():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, k, rows, step = 2500, 5, min(retrieve.ROWS, 2000), retrieve.COLUMNS
+    emb, queries = rng.integers(-2, 3, (3 * rows, 4)).astype(float), rng.integers(-2, 3, (n, 4)).astype(float)
+    best = retrieve.Best(n, k)
+    tracemalloc.start()
+    for low in range(0, len(emb), rows):
+        doc = np.arange(low, low + rows)
+        for q in range(0, n, step):
+            best.add(q, emb[low : low + rows] @ queries[q : q + step].T, doc, doc)
+    # blocks of 4 MB of scores, whatever the number of queries (before: 32 MB, five at a time)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    q, score, doc, _ = best.cut()
+    for i in range(0, n, 97):
+        want = np.lexsort((np.arange(len(emb)), -(emb @ queries[i])))[:k]
+        assert doc[q == i].tolist() == want.tolist()
+
+
+def test_arrow_batches_of_rankings_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.createDataFrame([(1, 1, "a b c")], "doc_id long, page_num long, text string")
+    retrieve.bm25_topk(docs, spark.createDataFrame([(1, "a")], "qid long, text string"), 2)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
