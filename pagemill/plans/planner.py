@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,8 @@ from pagemill.operators import locate, postings, rank, retrieve
 from pagemill.plans import models
 from pagemill.plans.config import ContractError, check_contracts
 from pagemill.plans.runtime import for_pages
+from pagemill.session import bounded_batches
+from pagemill.sources.scratch import remove_written, scratch_path, written
 from pagemill.sources.vectors import VectorStore
 
 #: Where an answer ends.
@@ -35,12 +36,11 @@ class Plan:
     events: list[str] = field(default_factory=list)
     models: dict[str, str | None] = field(default_factory=dict)
     rerank_flags: DataFrame | None = None
-    kept: list[DataFrame] = field(default_factory=list)
+    kept: list[str] = field(default_factory=list)
 
     def release(self) -> None:
-        """Frees what the plan has cached, once its results are written."""
-        for df in self.kept:
-            df.unpersist()
+        """Removes what the plan has written on its way, once its results are written."""
+        remove_written(self.kept)
 
 
 def page_texts(pages: DataFrame, extraction: dict, events: list[str]) -> DataFrame:
@@ -108,12 +108,20 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
     """
     search, choose, llm, rerank_cfg = config["retrieval"], config["page_selection"], config["llm"], config["rerank"]
     events: list[str] = []
-    kept: list[DataFrame] = []
+    kept: list[str] = []
+    bounded_batches(pages.sparkSession)
 
     def _keep(df: DataFrame) -> DataFrame:
-        """Several later steps read this: computed once (top-k rows per query, or vectors that a model had to make)."""
-        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return kept[-1]
+        """Several later steps read this: computed once and written (top-k rows per query, pages, or vectors that a model had to make).
+
+        Later plans start from files of known size: small ones are broadcast, so the pages beside them are filtered in place and not shuffled.
+        """
+        kept.append(scratch_path(df.sparkSession))
+        return written(df, kept[-1])
+
+    def _texts_of(listed: DataFrame) -> DataFrame:
+        """The texts of these pages only."""
+        return texts.join(listed.select("doc_id", "page_num"), ["doc_id", "page_num"], "left_semi")
 
     def _sized(most: int, size: int):
         """The encoder with a configuration's truncation and batch, where it can be told."""
@@ -131,10 +139,10 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
     model = model.sized(rerank_cfg["max_length"], rerank_cfg["batch_size"]) if hasattr(model, "sized") else model
     score_page = for_pages(model, rerank_cfg["page_text_chars"])
     governed = config["runtime"]["enable_runtime_governor"]
-    texts = retrieve.neighbor_bleed(page_texts(pages, config["extraction"], events), config["extraction"]["neighbor_bleed_chars"]).select("doc_id", "page_num", F.col("bled").alias("text"))
+    texts = _keep(retrieve.neighbor_bleed(page_texts(pages, config["extraction"], events), config["extraction"]["neighbor_bleed_chars"]).select("doc_id", "page_num", F.col("bled").alias("text")))
     vectors = _keep(_embedded(texts, "text", page_encoder))
     asked = questions.select("qid", query_encoder(F.col("question")).alias("emb"))
-    meta = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    meta = _keep(pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages")))
 
     structured = search["index_mode"] == "structure_chunks"
     dense = retrieve.dense_topk(vectors, asked, search["structure_seed_top_k"] if structured else search["top_k"])
@@ -158,14 +166,14 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
 
     candidates = _keep(candidates)
     by_doc = rerank_cfg["mode"] == "doc"
-    ordered = candidates if by_doc or score_page is None else rank.rerank_pages(candidates, questions, texts, score_page)
+    ordered = candidates if by_doc or score_page is None else rank.rerank_pages(candidates, questions, _texts_of(candidates), score_page)
     if choose.get("lock_to_dense_top_doc"):
         flags = rank.lock_flags(candidates, meta, choose.get("lock_to_dense_top_doc_min_pages", 0), choose.get("lock_dense_by_margin_threshold"))
         ordered = rank.exhaustive_lock(ordered, flags, vectors, asked) if choose.get("lock_exhaustive_dense") else rank.locked_order(ordered, flags)
     ordered = candidates if ordered is candidates else _keep(ordered)
     rerank_flags = None
     if by_doc and model is not None:
-        docs = rank.rerank_docs_unless_sure(candidates, texts, questions, rerank_cfg["doc_skip_topn"], rerank_cfg["doc_skip_margin"], model, most_docs=rerank_cfg["doc_candidates_max"], preview_pages=rerank_cfg["doc_preview_pages"], page_chars=rerank_cfg["page_text_chars"])
+        docs = rank.rerank_docs_unless_sure(candidates, _texts_of(candidates), questions, rerank_cfg["doc_skip_topn"], rerank_cfg["doc_skip_margin"], model, most_docs=rerank_cfg["doc_candidates_max"], preview_pages=rerank_cfg["doc_preview_pages"], page_chars=rerank_cfg["page_text_chars"])
         docs = _keep(docs)
         rerank_flags, docs = rank.rerank_changes(candidates, docs), docs.drop("skipped")
     elif structured and search["structure_doc_guard_enabled"]:
@@ -181,18 +189,19 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
 
     def context_of(listed: DataFrame) -> DataFrame:
         """G1, with fewer and shorter pages once the governor has latched."""
-        most, chars = llm["top_k_context"], llm["max_chars_per_page"]
+        most, chars, texts = llm["top_k_context"], llm["max_chars_per_page"], _texts_of(listed)
         if not governed:
             return an.build_context(listed, texts, most, chars)
         flagged = listed.join(flags, "qid")
         few, short = min(most, caps["fast_context_pages_cap"]), min(chars, caps["fast_max_chars_per_page_cap"])
         return an.build_context(flagged.where(~fast).drop("fast"), texts, most, chars).unionByName(an.build_context(flagged.where(fast).drop("fast"), texts, few, short))
 
-    contexts = context_of(shown)
+    contexts = _keep(context_of(shown))
     tops = docs.where("rank = 1").select("qid", "doc_id")
     margins = docs.groupBy("qid").agg(rank.top_margin().alias("doc_margin"), F.count(F.lit(1)).alias("n_docs")).join(rank.margins(ordered).withColumnRenamed("margin", "page_margin"), "qid").join(tops.join(meta, "doc_id", "left").select("qid", F.col("n_pages").alias("top_pages")), "qid", "left")
     if governed:
         margins = margins.join(flags, "qid")
+    margins = _keep(margins)
     effort = an.passes("doc_margin", "n_docs", "page_margin", "top_pages", llm["base_passes"], llm["hard_passes"], llm["vote_margin"], llm["long_doc_hard_pages"], llm["confidence_gate_enabled"], llm["easy_passes"], llm["easy_doc_margin"], llm["easy_page_margin"], fast if governed else None)
     tries = margins.select("qid", F.explode(F.sequence(F.lit(1), effort)).alias("pass_no"))
     chat = llm.get("use_chat_template", False)
@@ -259,7 +268,7 @@ def build(config: dict, questions: DataFrame, pages: DataFrame, encoder=models.h
                     wanted &= ~fast
                 if model is None:
                     wanted = F.lit(False)
-                again = rank.rerank_pages(listed.where(wanted).select("qid", "doc_id", "page_num", "score", "rank"), questions, texts, score_page)
+                again = rank.rerank_pages(listed.where(wanted).select("qid", "doc_id", "page_num", "score", "rank"), questions, _texts_of(listed), score_page)
                 placed = again.where("rank = 1").select("qid", "doc_id", "page_num", "score").unionByName(listed.where(~wanted & (F.col("rank") == 1)).select("qid", "doc_id", "page_num", "score"))
     predictions = questions.select("qid").join(voted.select("qid", "letter", "confidence"), "qid", "left").join(tops.withColumnRenamed("doc_id", "pred_doc"), "qid", "left").join(placed.select("qid", "page_num"), "qid", "left").select(F.col("qid").cast("string").alias("Question_ID"), F.coalesce("letter", F.lit(OPTION_LETTERS[0])).alias("Correct_Answer"), F.col("pred_doc").cast("string").alias("Doc_ID"), F.coalesce("page_num", F.lit(1)).cast("string").alias("Page_Num"))
     return Plan(predictions, {"dense": dense, "candidates": candidates, "pages": ordered, "docs": docs}, contexts, votes, requests, events, {"reranker": chosen, "llm": config.get("llm_model", "default")}, rerank_flags, kept)

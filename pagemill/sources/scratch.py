@@ -31,8 +31,9 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def remove_written() -> None:
-    for path, spark in list(_written.items()):
+def remove_written(paths: list[str] | None = None) -> None:
+    """Removes these paths, or all that were given out."""
+    for path, spark in [(p, s) for p, s in _written.items() if paths is None or p in paths]:
         with contextlib.suppress(Exception):  # the cluster may have ended before
             if spark.sparkContext._jsc is not None:
                 at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,7 @@
 """Configurations, contracts, whole plans, files and the stream."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +227,14 @@ def test_streaming_governor(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.table("governed").orderBy("done").collect()
     assert [r.done for r in rows if r.fast][0] == 25 and len(rows) == 40
+
+
+def test_steps_of_a_plan_are_written_once_and_removed(spark, inputs):
+    plan = planner.build(config.resolve("v7_baseline"), *inputs)
+    # the page texts and vectors are read from files: no window over all pages, no encoder, is left in the predictions' plan but that of the questions
+    text = plan.predictions._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in text and text.count("encode(") <= 2
+    assert len(plan.predictions.collect()) == inputs[0].count()
+    assert plan.kept and all(os.path.exists(p) for p in plan.kept)
+    plan.release()
+    assert not any(os.path.exists(p) for p in plan.kept)
