@@ -174,6 +174,16 @@ def test_language_model_scores_by_hand(documents, rows):
         assert min(abs(x / scored(t, weight, False) - 1) for x in got[r.doc_id, len(t)]) < 1e-6
 
 
+def test_transitions_of_every_pair(spark, monkeypatch):
+    """Pairs without a core word are counted too."""
+    monkeypatch.setattr(brown_lm, "CORE", 2)
+    docs = spark.createDataFrame([(i, "the a the b " + " ".join(f"{x}{(i + j) % 40}" for j in range(30) for x in "uv")) for i in range(60)], "doc_id long, text string")
+    some, every = (sum(r.score for r in brown_lm.score(docs, every_pair=x).collect() if r.held_out) for x in (False, True))
+    assert every > some
+    cls, first = np.array([0, 1, -1, 1, 0]), np.array([0, 2, 5])
+    assert brown_lm.pairs_of(cls, first, 2, 3).tolist() == [6, 1, 3]
+
+
 def test_language_model_without_training(spark, documents):
     none = documents.where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
     got = brown_lm.score(none).collect()
