@@ -605,3 +605,30 @@ def test_pipeline_of_nothing(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("length", [40, 45, 60])
+def test_verbatim_runs_whose_long_seeds_others_have(spark, length):
+    """Every run of 34 words of a passage stands in six earlier documents, or its first 36 words stand in its owner before it; the passage is found where it stands."""
+    rng = np.random.default_rng(40)
+    some = lambda n: ["".join(x) for x in rng.choice(list("abcdefgh"), (n, 6))]
+    passage = some(length)
+    slices = [some(50) + passage[a : a + 34] + some(50) for a in range(length - 33) for _ in range(6)]
+    again = some(length)
+    texts = slices + [some(25) + passage + some(35), some(40) + passage + some(10), some(20) + again[:36] + some(80) + again + some(30), some(70) + again + some(70)]
+    n = len(texts)
+    found = chain_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))[1].collect()
+    got = {(r.doc_id, r.source, r.start, r.end, r.source_start) for r in found if r.doc_id >= n - 4 and r.source >= n - 4}
+    assert got == {(n - 3, n - 4, 40, 40 + length, 25), (n - 1, n - 2, 70, 70 + length, 136)}
+
+
+def test_places_of_one_run_inside_a_found_passage_are_not_tested_again():
+    """A sentence that a document repeats on and on: all its words are covered, by few passages."""
+    rng = np.random.default_rng(41)
+    own = np.concatenate([rng.integers(100, 200, 70), np.full(2000, 7), rng.integers(100, 200, 70)]).astype(np.uint32)
+    other = np.concatenate([rng.integers(200, 300, 64), np.full(60, 7), rng.integers(200, 300, 40)]).astype(np.uint32)
+    found = chain_dedup.found_at([(own, other, np.arange(70, 2041), np.array([64]), np.array([chain_dedup.LONG]))])[0]
+    covered = np.zeros(len(own), bool)
+    for a, b, *_ in found:
+        covered[a:b] = True
+    assert covered[70:2070].all() and not covered[:60].any() and not covered[2080:].any() and len(found) < 100
