@@ -8,6 +8,9 @@ from pagemill.operators import analyses, compare, metrics, splits
 from pagemill.plans.q_ranking import _GUARD, _RANKED, _ranked, dense
 from pagemill.plans.registry import DOCS, TRUTH, dense_sql, query, run_predictions, run_sql, table, truth, vec_queries
 
+#: Bytes of a table's files for each part of a deal by pair.
+PART_BYTES = 8 << 20
+
 R = lambda c, n=6: F.round(c, n).alias(c)
 A, B = run_sql("a", 0), run_sql("b", 1)
 
@@ -86,8 +89,12 @@ b AS (SELECT coalesce(l.id, r.id) AS id, coalesce(l.path, r.path) AS path, l.val
 SELECT x.id::VARCHAR AS id, substr(x.path, 3) AS path, x.a AS "left", x.b AS "right", x.b - x.a AS delta FROM b x WHERE NOT x.open AND (x.path = '$' OR EXISTS (SELECT 1 FROM b y WHERE y.open AND y.id = x.id AND y.path = regexp_replace(x.path, '\\.[^.]*$', '')))""")
 def metric_tree_json_diff(spark, d):
     """Trees of any shape: the properties of each click with an even number and of the one after it."""
-    props = table(spark, d, "clicks").where("click_id is not null").groupBy("click_id").agg(F.any_value("props").alias("tree"))
-    side = lambda k: props.where(F.col("click_id") % 2 == k).select(F.expr("click_id div 2").alias("id"), "tree")
+    clicks = table(spark, d, "clicks").where("click_id is not null").select(F.expr("click_id div 2").cast("string").alias("id"), "click_id", "props")
+    # dealt once, by pair, into parts of a bounded size: repeats of a click and both sides of a pair meet there, so that no task sorts more at a larger input
+    size = int(str(clicks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    dealt = clicks.repartition(max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)), "id")
+    props = dealt.groupBy("id", "click_id").agg(F.any_value("props").alias("tree"))
+    side = lambda k: props.where(F.col("click_id") % 2 == k).select("id", "tree")
     return compare.metric_tree_diff(side(0), side(1))
 
 

@@ -31,3 +31,15 @@ def test_trees(spark):
     want = sorted((k, *row) for k, (a, b) in {**pairs, "broken": ({"a": 1}, {})}.items() for row in differ(a, b))
     key = lambda rows: sorted(rows, key=repr)
     assert key(got) == key(want) and len(want) > 150
+
+
+def test_trees_of_clicks_are_dealt_in_bounded_parts(spark, small, monkeypatch):
+    """A larger table has more parts, not larger ones."""
+    import os
+
+    from pagemill.plans import q_eval
+
+    monkeypatch.setattr(q_eval, "PART_BYTES", 2000, raising=False)
+    out = q_eval.metric_tree_json_diff(spark, small)
+    assert out.rdd.getNumPartitions() >= os.path.getsize(f"{small}/clicks.parquet") // 8000
+    assert out.count() > 0
