@@ -632,3 +632,39 @@ def test_places_of_one_run_inside_a_found_passage_are_not_tested_again():
     for a, b, *_ in found:
         covered[a:b] = True
     assert covered[70:2070].all() and not covered[:60].any() and not covered[2080:].any() and len(found) < 100
+
+
+def _covered(found, n):
+    out = np.zeros(n, bool)
+    for a, b, *_ in found:
+        out[a:b] = True
+    return out
+
+
+def test_words_repeated_on_and_on_are_few_passages(spark):
+    """Documents that go on with two words of an earlier one: all their words are covered, by passages that grow with the words, not with the places."""
+    rng = np.random.default_rng(42)
+    some = lambda n: ["".join(x) for x in rng.choice(list("abcdefgh"), (n, 6))]
+    texts = [some(80) + ["red", "blue"] * 35 + some(60)] + [some(70) + ["red", "blue"] * 300 + some(70) for _ in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = chain_dedup.passages(docs)[1].collect()
+    for i in range(1, 7):
+        own = [(r.start, r.end) for r in found if r.doc_id == i and r.source == 0]
+        assert len(own) < 30
+        covered = _covered(own, 740)
+        assert covered[70:670].all() and not covered[:60].any() and not covered[680:].any()
+
+
+def test_places_of_a_chain_are_all_tested_and_the_fewest_passages_stay():
+    rng = np.random.default_rng(43)
+    for _ in range(20):
+        other = np.concatenate([rng.integers(200, 300, 64), np.tile([7, 8], 35), rng.integers(200, 300, 64)]).astype(np.uint32)
+        own = np.concatenate([rng.integers(100, 200, 70), np.tile([7, 8], 200), rng.integers(100, 200, 70)]).astype(np.uint32)
+        own[rng.integers(70, 470, 30)] = 9
+        places = np.array([p for p in range(70, 464) if own[p] == 7 and np.array_equal(own[p : p + 6], other[64:70])])
+        n = np.array([6])
+        each = [x for p in places for x in chain_dedup.found_at([(own[max(0, p - 64) : p + 70], other, np.array([min(p, 64)]), n * 0 + 64, n)])[0] for x in [(x[0] + max(0, p - 64), x[1] + max(0, p - 64), *x[2:])]]
+        got = chain_dedup.found_at([(own, other, places, n * 0 + 64, np.full(len(places), 6))])[0]
+        assert set(got) <= set(each) and (_covered(got, len(own)) == _covered(each, len(own))).all()
+        # each word is in two of them at most
+        assert all(a[1] <= c[0] for a, c in zip(got, got[2:]))
