@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,14 +34,15 @@ DIM = 256
 def hashed_encoder(text: Column) -> Column:
     """L2-normalised counts of hashed words: an encoder that needs no weights."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # lists stay flat: an object for each row and number would be most of the work
         for hashed in batches:
-            sizes = np.array([0 if h is None else len(h) for h in hashed], np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *[np.asarray(h, np.int64) for h in hashed if h is not None]])
-            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * DIM + flat % DIM, minlength=len(sizes) * DIM).reshape(-1, DIM)
+            n, sizes = len(hashed), np.asarray(pc.fill_null(pc.list_value_length(hashed), 0), np.int64)
+            flat = np.asarray(hashed.flatten(), np.int64)
+            counts = np.bincount(np.repeat(np.arange(n), sizes) * DIM + flat % DIM, minlength=n * DIM).reshape(-1, DIM)
             counts = counts / np.maximum(np.linalg.norm(counts, axis=1), 1e-12)[:, None]
-            yield pd.Series(list(counts.astype(np.float32)))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * DIM), pa.array(counts.astype(np.float32).ravel()))
 
     return encode(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << 31))))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import rank
-from pagemill.plans import config, planner, runtime
+from pagemill.plans import config, models, planner, runtime
 from pagemill.plans.q_plans import questions
 from pagemill.plans.registry import text_pages
 from pagemill.sources.vectors import VectorStore
@@ -161,3 +161,21 @@ def test_sparse_backend(spark, inputs):
     loose = config.resolve("candidate_hybrid_rrf_v1", {"contracts": {"require_bm25_backend": False}})
     plan = planner.build(loose, *inputs, sparse_backends=())
     assert "retrieval: hybrid -> dense only" in plan.events and plan.rankings["candidates"].count()
+
+
+def test_hashed_encoder_works_on_flat_arrays(spark):
+    """Normalised counts of hashed words, by Arrow arrays and not by an object for each row and number."""
+    from pyspark.util import PythonEvalType
+
+    texts = ["red red blue", "", None, "  ", "Так 17 так"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").repartition(1)
+    out = df.select("i", models.hashed_encoder(F.col("text")).alias("emb"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan
+    words = {0: ["red", "red", "blue"], 4: ["так", "17", "так"]}
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for ws in words.values() for w in set(ws)], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(1 << 31)).alias("h")).collect()}
+    for r in out.collect():
+        want = np.zeros(models.DIM)
+        for w in words.get(r.i, []):
+            want[hashed[w] % models.DIM] += 1
+        assert np.allclose(r.emb, want / max(np.linalg.norm(want), 1e-12)) and len(r.emb) == models.DIM
